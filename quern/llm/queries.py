@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from quern.llm.mixing import mix_sources
 from quern.llm.sharding import shard_documents
+from quern.llm.warc import archive_and_read
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records with revisits, written and read back."""
+    return archive_and_read(_table(spark, sf_dir, "pages"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal byte shares for all sources over one epoch: the copies of each document, with their text, in shuffled order."""
     mixed = mix_sources(_table(spark, sf_dir, "documents"), epochs=1.0, seed=42)
@@ -29,4 +35,4 @@ def op6_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op6_shard_documents)}
+QUERIES = {f.__name__: f for f in (op1_warc_pages, op4_mix_sources, op6_shard_documents)}
