@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.mixing import mix_sources
 from quern.llm.sharding import shard_documents
+from quern.llm.tokenfiles import encode_and_read
 from quern.llm.warc import archive_and_read
 
 
@@ -25,6 +26,13 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "copy", "source", "rate", "shuffle_key", "text")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as byte-level BPE ids in Simple-8b files, read back."""
+    import public_tokenizers
+
+    return encode_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=0)
+
+
 def op6_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forty contiguous shards of near-equal bytes."""
     docs = _table(spark, sf_dir, "documents")
@@ -35,4 +43,4 @@ def op6_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_pages, op4_mix_sources, op6_shard_documents)}
+QUERIES = {f.__name__: f for f in (op1_warc_pages, op4_mix_sources, op5_token_files, op6_shard_documents)}

@@ -65,12 +65,30 @@ def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
 
 
 def range_index(value: Column, bounds: list[int]) -> Column:
-    """How many of the ascending `bounds` are <= value (null counts as lowest): a binary search unrolled into a CASE tree."""
+    """How many of the ascending `bounds` are <= value (null counts as lowest): a binary search over a literal array."""
+    if not bounds:
+        return F.lit(0)
+    table, steps = F.lit(bounds), len(bounds).bit_length()
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value >= F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+    def step(at: Column, k: Column) -> Column:
+        to = at + F.element_at(F.lit([1 << (steps - 1 - i) for i in range(steps)]), k)
+        return F.when((to <= len(bounds)) & (value >= F.element_at(table, F.least(to, F.lit(len(bounds))))), to).otherwise(at)
 
-    return tree(0, len(bounds)).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0), step)
+
+
+#: Rows that Python takes at once; a batch of long texts stays far below a worker's memory.
+BATCH_ROWS = 256
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in batches of at most BATCH_ROWS."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def in_key_order(df: DataFrame, key: str, tie: Column) -> DataFrame:
+    """`df` in ascending key order (nulls first, then `tie`) over partitions 0, 1, ..., with one shuffle and a scan of the key."""
+    bounds = range_bounds(df, key, shuffle_partitions(df.sparkSession))
+    dealt = df.repartitionById(len(bounds) + 1, range_index(F.col(key), bounds))
+    return dealt.sortWithinPartitions(F.col(key).asc_nulls_first(), tie)
