@@ -11,6 +11,7 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -183,8 +184,8 @@ class Encoder:
     The library's model encodes each distinct piece once; a text is cut at single spaces between two other characters,
     where the pre-tokenizer never joins, and the pieces' ids are kept in a bounded cache."""
 
-    #: Pieces kept; the cache starts anew beyond it.
-    CACHE = 400_000
+    #: Pieces and words kept; a cache starts anew beyond its bound.
+    PIECES, WORDS = 400_000, 800_000
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str):
@@ -193,28 +194,50 @@ class Encoder:
         self.model = Tokenizer.from_file(path).model
         self.pattern = regex.compile(self.PATTERN)
         self.cut = regex.compile(r"(?<=\S) (?=\S)")
-        self.uneven = regex.compile(r"\s\s|^\s|\s$|\p{Z}(?<! )|[\x1c-\x1f\x85]")
         self.bytes = {i: c for i, c in enumerate(byte_alphabet())}
-        self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # ids of a piece with a space before it
+        self.words: dict[str, bytes] = {}  # ids of a pre-token
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bytes)
+            found = self.words[word] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return found
 
     def _piece(self, piece: str) -> bytes:
-        ids = []
-        for word in [piece] if piece.isascii() and piece[1:].isalpha() and piece[0] == " " else self.pattern.findall(piece):
-            ids += [t.id for t in self.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bytes))]
-        return np.array(ids, dtype="<u4").tobytes()
+        if piece[0] == " " and max(piece) < "\u0250":  # letters there are letters in any version of Unicode
+            if piece[1:].isalpha():
+                return self._word(piece)
+            if piece[-1] in ".,!?;:" and piece[1:-1].isalpha():
+                return self._word(piece[:-1]) + self._word(piece[-1])
+        return b"".join(map(self._word, self.pattern.findall(piece)))
+
+    def _join(self, pieces: list[str], cut: bool) -> bytes | None:
+        """The ids of pieces that single spaces divide; None where a piece not known yet has white space at such a space."""
+        known, last = self.pieces, len(pieces) - 1
+        found = list(map(known.get, pieces))
+        if last and not cut and (not pieces[0] or pieces[0][-1].isspace()):
+            return None
+        found[0] = self._piece(pieces[0]) if pieces[0] else b""
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            piece = pieces[i]
+            if not cut and (not piece or piece[0].isspace() or i < last and piece[-1].isspace()):
+                return None
+            ids = self._piece(" " + piece)
+            if i < last or not piece[-1].isspace():
+                known[piece] = ids
+            found[i] = ids
+        return b"".join(found)
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        pieces = text.split(" ") if self.uneven.search(text) is None else self.cut.split(text)
-        cache, out = self.cache, [self._piece(pieces[0])] if pieces[0] else []
-        if len(cache) > self.CACHE:
-            cache.clear()
-        for piece in pieces[1:]:
-            found = cache.get(piece)
-            if found is None:
-                found = cache[piece] = self._piece(" " + piece)
-            out.append(found)
-        return b"".join(out)
+        """The ids as unsigned 32-bit integers in the machine's order."""
+        if len(self.pieces) > self.PIECES:
+            self.pieces.clear()
+        if len(self.words) > self.WORDS:
+            self.words.clear()
+        found = self._join(text.split(" "), False)
+        return self._join(self.cut.split(text), True) if found is None else found
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -251,7 +274,7 @@ class TokenWriter(DataSourceArrowWriter):
             file = BlockFile(out)
             for batch in iterator:
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = np.concatenate([np.frombuffer(encode(text or ""), dtype="<u4").astype(np.uint64), end])
+                    ids = np.concatenate([np.frombuffer(encode(text or ""), dtype=np.uint32).astype(np.uint64), end])
                     tokens += len(ids)
                     file.add(key, ids)
             file.close()
