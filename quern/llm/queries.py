@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.fingerprints import fingerprint_documents
 from quern.llm.mixing import mix_sources
 from quern.llm.sharding import shard_documents
 from quern.llm.tokenfiles import encode_and_read
@@ -43,4 +44,9 @@ def op6_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_pages, op4_mix_sources, op5_token_files, op6_shard_documents)}
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and the likenesses."""
+    return fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_pages, op4_mix_sources, op5_token_files, op6_shard_documents, op7_fingerprints)}
