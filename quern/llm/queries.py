@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.fingerprints import fingerprint_documents
+from quern.llm.language import held_out, identify, learnable, train
 from quern.llm.mixing import mix_sources
 from quern.llm.sharding import shard_documents
+from quern.llm.tokencounts import count_tokens
 from quern.llm.tokenfiles import encode_and_read
 from quern.llm.warc import archive_and_read
 
@@ -21,6 +23,21 @@ def op1_warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_read(_table(spark, sf_dir, "pages"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of all documents over a vocabulary of 32,000 pieces."""
+    import public_tokenizers
+
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of all documents, learned from those that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs.filter(learnable()).select("lang", "text"))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal byte shares for all sources over one epoch: the copies of each document, with their text, in shuffled order."""
     mixed = mix_sources(_table(spark, sf_dir, "documents"), epochs=1.0, seed=42)
@@ -49,4 +66,4 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_pages, op4_mix_sources, op5_token_files, op6_shard_documents, op7_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_warc_pages, op2_token_counts, op3_language_id, op4_mix_sources, op5_token_files, op6_shard_documents, op7_fingerprints)}
