@@ -9,6 +9,7 @@ from quern.llm.fingerprints import fingerprint_documents
 from quern.llm.language import held_out, identify, learnable, train
 from quern.llm.mixing import mix_sources
 from quern.llm.sharding import shard_documents
+from quern.llm.simhash import cluster
 from quern.llm.tokencounts import count_tokens
 from quern.llm.tokenfiles import encode_and_read
 from quern.llm.warc import archive_and_read
@@ -66,4 +67,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_pages, op2_token_counts, op3_language_id, op4_mix_sources, op5_token_files, op6_shard_documents, op7_fingerprints)}
+def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and the components of those within two bits."""
+    found = cluster(_table(spark, sf_dir, "documents"), size=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_pages, op2_token_counts, op3_language_id, op4_mix_sources, op5_token_files, op6_shard_documents, op7_fingerprints, op10_simhash_components)}
