@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.decontamination import find_leaks
 from quern.llm.fingerprints import fingerprint_documents
 from quern.llm.language import held_out, identify, learnable, train
 from quern.llm.mixing import mix_sources
@@ -67,10 +68,15 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best window of each document for each benchmark item that it holds."""
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and the components of those within two bits."""
     found = cluster(_table(spark, sf_dir, "documents"), size=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_pages, op2_token_counts, op3_language_id, op4_mix_sources, op5_token_files, op6_shard_documents, op7_fingerprints, op10_simhash_components)}
+QUERIES = {f.__name__: f for f in (op1_warc_pages, op2_token_counts, op3_language_id, op4_mix_sources, op5_token_files, op6_shard_documents, op7_fingerprints, op9_decontamination, op10_simhash_components)}
