@@ -9,6 +9,7 @@ from quern.llm.decontamination import find_leaks
 from quern.llm.fingerprints import fingerprint_documents
 from quern.llm.language import held_out, identify, learnable, train
 from quern.llm.mixing import mix_sources
+from quern.llm.pseudolikelihood import score_documents
 from quern.llm.sharding import shard_documents
 from quern.llm.simhash import cluster
 from quern.llm.tokencounts import count_tokens
@@ -68,6 +69,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-log-likelihood of all documents under a network trained on all of them."""
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best window of each document for each benchmark item that it holds."""
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -79,4 +85,4 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_pages, op2_token_counts, op3_language_id, op4_mix_sources, op5_token_files, op6_shard_documents, op7_fingerprints, op9_decontamination, op10_simhash_components)}
+QUERIES = {f.__name__: f for f in (op1_warc_pages, op2_token_counts, op3_language_id, op4_mix_sources, op5_token_files, op6_shard_documents, op7_fingerprints, op8_lm_scores, op9_decontamination, op10_simhash_components)}
