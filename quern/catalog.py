@@ -1,7 +1,236 @@
-"""All registered queries of the analytics engine and their DuckDB equivalents."""
+"""All registered queries of the analytics engine; names begin with the operator families of the inventory that they apply."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern import roles
+from quern.functions.dates import to_ymd
+from quern.functions.numbers import is_whole, money, to_number, to_price
+from quern.functions.text import letters_for_digits, looked_up, squeezed, tidy, title_case, trimmed
+from quern.operators import cleaning, profile, quality
+from quern.operators.best import repeated
+from quern.oracles import ORACLES
+from quern.plans import star
+from quern.sources.tables import EXPORT_ORDER, MART
+
 FLAGSHIP = "a1_mart"
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
+
+
+def _round6(*columns: str) -> list[Column]:
+    """Means agree between engines up to the order of summation."""
+    return [F.round(F.col(c) * F.lit(1e6)).cast("long").alias(c) for c in columns]
+
+
+def _customers(spark: SparkSession, sf: str) -> DataFrame:
+    return cleaning.clean_customers(roles.raw(spark, sf, "customers"), roles.CITIES)
+
+
+def _products(spark: SparkSession, sf: str) -> DataFrame:
+    return cleaning.clean_products(roles.raw(spark, sf, "products"), roles.CATEGORIES, roles.LETTERS)
+
+
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    return cleaning.judge_sales(roles.raw(spark, sf, "sales"), _customers(spark, sf), _products(spark, sf))
+
+
+def _weather(spark: SparkSession, sf: str) -> DataFrame:
+    return cleaning.clean_weather(roles.raw(spark, sf, "weather_daily"))
+
+
+def _silver(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return {"customers": _customers(spark, sf), "products": _products(spark, sf), "sales": cleaning.accepted_sales(_judged(spark, sf)), "weather_daily": _weather(spark, sf)}
+
+
+def _gold(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return star.build(_silver(spark, sf))
+
+
+def s4_pruned_scan(spark, sf):
+    """Scan with pushed filters and a pruned schema, cast and projected."""
+    rows = roles.table(spark, sf, "lineitem").filter(F.col("l_quantity").between(10, 20) & (F.col("l_discount") > 0.05))
+    return rows.select(F.col("l_orderkey").cast("int").alias("order_id"), F.col("l_shipdate").cast("date").cast("string").alias("shipped"), money(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("net"))
+
+
+def t1_tidy_texts(spark, sf):
+    """Trim, lower, collapse white space and blank to null over whole texts."""
+    rows = roles.table(spark, sf, "documents").select("doc_id", tidy(F.concat(F.lit(" \t"), F.col("text"), F.lit("\n "))).alias("tidy"))
+    return rows.select("doc_id", F.md5(F.col("tidy").cast("binary")).alias("tidy_md5"), F.length("tidy").alias("n_chars"))
+
+
+def t4_title_case(spark, sf):
+    """Title case after any non-letter (T4), and a lookup that keeps what it does not know."""
+    rows = roles.raw(spark, sf, "customers")
+    return rows.select("last_name", title_case(tidy(F.col("first_name"))).alias("first_title"), title_case(looked_up(tidy(F.col("city")), roles.CITIES)).alias("city_title"))
+
+
+def t6_prices(spark, sf):
+    """Prices out of text."""
+    price = to_price(F.col("price"))
+    return roles.raw(spark, sf, "products").select("product_id", "price", price.alias("parsed"), F.when(price > 0, price).alias("valid"))
+
+
+def t15_categories(spark, sf):
+    """Canonical categories, all else unknown."""
+    return roles.raw(spark, sf, "products").select("product_id", "category", cleaning.category_of(tidy(F.col("category")), roles.CATEGORIES).alias("canonical"))
+
+
+def d1_leet_names(spark, sf):
+    """Look-alike digits back to letters by a left-to-right fold."""
+    return roles.raw(spark, sf, "products").select("product_id", "product_name", letters_for_digits(squeezed(trimmed(F.col("product_name"))), roles.LETTERS).alias("plain"))
+
+
+def d1_dates(spark, sf):
+    """Year-month-day dates, anything else null (D-1, D-3)."""
+    return roles.raw(spark, sf, "customers").select("customer_id", "signup_date", to_ymd(F.col("signup_date")).cast("string").alias("parsed"))
+
+
+def m1_numbers(spark, sf):
+    """Numbers out of text, whole or not."""
+    rows = roles.raw(spark, sf, "sales").select("sale_id", "customer_id", "quantity", "discount").distinct()
+    number = to_number(F.col("quantity"))
+    return rows.select("sale_id", "customer_id", "quantity", "discount", number.alias("quantity_num"), is_whole(number).alias("quantity_whole"),
+                       F.when(F.coalesce(trimmed(F.col("discount")), F.lit("")) == "", F.lit(0.0)).otherwise(to_number(F.col("discount"))).alias("discount_num"))
+
+
+def n4_json_rows(spark, sf):
+    """A JSON object to typed columns, and a split exploded to rows."""
+    rows = roles.table(spark, sf, "events").select("event_id", F.from_json("props", "k long").getField("k").alias("k"), F.explode(F.split("event_type", "")).alias("letter"))
+    return rows.filter("letter != ''").groupBy("letter").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("sum_k"))
+
+
+def w1_customers(spark, sf):
+    """Silver customers: the best row of each id."""
+    return _customers(spark, sf).withColumn("signup_date", F.col("signup_date").cast("string"))
+
+
+def w2_products(spark, sf):
+    """Silver products."""
+    return _products(spark, sf)
+
+
+def w3_sales(spark, sf):
+    """Silver sales."""
+    return cleaning.accepted_sales(_judged(spark, sf)).withColumn("sale_date", F.col("sale_date").cast("string"))
+
+
+def t12_rejected_sales(spark, sf):
+    """Rejected sales with their ordered reasons."""
+    return cleaning.rejected_sales(_judged(spark, sf))
+
+
+def a19_reason_counts(spark, sf):
+    """Rejected sales by reason, in reporting order."""
+    return cleaning.reason_counts(cleaning.rejected_sales(_judged(spark, sf)))
+
+
+def f3_split(spark, sf):
+    """Clean and rejected counts and the reject rate."""
+    n, bad = F.count(F.lit(1)), F.count_if(F.col("reject_reasons").isNotNull())
+    return _judged(spark, sf).agg(n.alias("judged"), bad.alias("rejected"), (n - bad).alias("accepted"), F.round(bad / n * F.lit(1e6)).cast("long").alias("reject_ppm"))
+
+
+def w4_weather(spark, sf):
+    """Silver weather: the most complete row of each date and city."""
+    return _weather(spark, sf).withColumn("date", F.col("date").cast("string"))
+
+
+def w5_repeated_lines(spark, sf):
+    """Rows whose key occurs more than once."""
+    rows = roles.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return repeated(rows, ["l_orderkey", "l_linenumber"]).groupBy("l_linenumber", "is_repeated").agg(F.count(F.lit(1)).alias("n"), F.sum("l_partkey").alias("sum_part"))
+
+
+def p3_dim_customers(spark, sf):
+    """Customer dimension (P3, D-2)."""
+    return star.dim_customers(_customers(spark, sf)).withColumn("signup_date", F.col("signup_date").cast("string"))
+
+
+def p3_dim_products(spark, sf):
+    """Product dimension."""
+    return star.dim_products(_products(spark, sf))
+
+
+def m5_dim_weather(spark, sf):
+    """Weather dimension with surrogate key and buckets."""
+    return star.dim_weather(_weather(spark, sf)).withColumn("date", F.col("date").cast("string"))
+
+
+def p6_fact_sales(spark, sf):
+    """Sales fact with amounts and weather."""
+    return _gold(spark, sf)["fact_sales"].withColumn("sale_date", F.col("sale_date").cast("string"))
+
+
+def a1_mart(spark, sf):
+    """Sales by date, city and category with weather."""
+    mart = _gold(spark, sf)[MART]
+    means = ("avg_temp_c", "avg_precip_mm", "avg_precip_hours")
+    return mart.select(F.col("sale_date").cast("string").alias("sale_date"), *[c for c in mart.columns if c not in (*means, "sale_date")], *_round6(*means))
+
+
+def o3_mart_preview(spark, sf):
+    """The first ten rows of the sorted mart."""
+    mart = _gold(spark, sf)[MART].orderBy(*EXPORT_ORDER[MART]).limit(10)
+    return mart.select(F.col("sale_date").cast("string").alias("sale_date"), "city", "category", "total_units", "num_orders", "total_revenue")
+
+
+def v13_invariants(spark, sf):
+    """Violations of the nine invariants."""
+    return star.invariants(_gold(spark, sf))
+
+
+def v11_link_counts(spark, sf):
+    """Counts over sales and what they refer to."""
+    silver = _silver(spark, sf)
+    return quality.link_counts(silver["sales"], silver["customers"], silver["products"], silver["weather_daily"])
+
+
+def a13_profile(spark, sf):
+    """Null counts and rule violations of raw sales in one pass."""
+    rows = roles.raw(spark, sf, "sales")
+    return rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in rows.columns],
+                    F.count_if(to_number(F.col("quantity")) <= 0).alias("quantity_le_0"), F.count_if(~to_number(F.col("discount")).between(0, 100)).alias("discount_out_of_range"))
+
+
+def a14_duplicates(spark, sf):
+    """Duplicate rows and keys, and exact cardinalities."""
+    rows = roles.raw(spark, sf, "products")
+    extra = rows.groupBy(*rows.columns).agg((F.count(F.lit(1)) - 1).alias("x")).agg(F.sum("x").alias("duplicate_rows"))
+    keys = rows.groupBy("product_id").agg((F.count(F.lit(1)) - 1).alias("x")).agg(F.sum("x").alias("duplicate_keys"))
+    return rows.agg(*[F.count_distinct(c).alias(f"distinct_{c}") for c in rows.columns]).join(extra).join(keys)  # one row each
+
+
+def a18_top_categories(spark, sf):
+    """The ten most frequent raw categories."""
+    return profile.top_values(roles.raw(spark, sf, "products"), "category", 10)
+
+
+def a22_digits_in_names(spark, sf):
+    """Silver product names that still hold a digit."""
+    return _products(spark, sf).agg(F.count_if(F.col("product_name").rlike(r"\d")).alias("with_digit"), F.count(F.lit(1)).alias("products"))
+
+
+def a23_row_accounts(spark, sf):
+    """Extracted, published and unpublished rows by dataset."""
+    silver, judged, out = _silver(spark, sf), _judged(spark, sf), None
+    for name, df in silver.items():
+        n = roles.raw(spark, sf, name).agg(F.count(F.lit(1)).alias("extracted"))
+        kept = (judged if name == "sales" else df).agg(F.count(F.lit(1)).alias("judged"))
+        row = n.join(kept).select(F.lit(name).alias("dataset"), "extracted", "judged", (F.col("extracted") - F.col("judged")).alias("unpublished"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def j6_orphans(spark, sf):
+    """Raw sales that refer to no customer, by an anti join."""
+    rows = roles.raw(spark, sf, "sales").select(to_number(F.col("customer_id")).cast("long").alias("customer_id")).filter("customer_id IS NOT NULL")
+    return rows.join(_customers(spark, sf).select("customer_id"), "customer_id", "left_anti").groupBy("customer_id").agg(F.count(F.lit(1)).alias("sales"))
+
+
+QUERIES = {f.__name__: f for f in (
+    a1_mart, s4_pruned_scan, t1_tidy_texts, t4_title_case, t6_prices, t15_categories, d1_leet_names, d1_dates, m1_numbers, n4_json_rows, w1_customers, w2_products, w3_sales, t12_rejected_sales,
+    a19_reason_counts, f3_split, w4_weather, w5_repeated_lines, p3_dim_customers, p3_dim_products, m5_dim_weather, p6_fact_sales, o3_mart_preview, v13_invariants, v11_link_counts, a13_profile,
+    a14_duplicates, a18_top_categories, a22_digits_in_names, a23_row_accounts, j6_orphans,
+)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,10 +18,9 @@ def best_row(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
 
 def repeated(df: DataFrame, keys: Sequence[str], name: str = "is_repeated") -> DataFrame:
     """All rows, marked if their key has several rows: counts are combined before the shuffle and joined back null-safely."""
-    counts = df.groupBy(*keys).agg((F.count(F.lit(1)) > 1).alias(name))
-    same = [df[k].eqNullSafe(counts[k]) for k in keys]
-    joined = df.join(counts, same[0] if len(same) == 1 else same[0] & same[1], "left")
-    return joined.select(*[df[c] for c in df.columns], counts[name])
+    counts = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg((F.count(F.lit(1)) > 1).alias(name))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return df.join(counts, reduce(lambda x, y: x & y, same), "left").select(*df.columns, name)
 
 
 def filled(*flags: Column) -> Column:
