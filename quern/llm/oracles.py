@@ -1,3 +1,42 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express. The others have no SQL form (trained models, tries,
+XXH64 and sketches) and are tested against brute force."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+_CHUNKS = [f"('0x' || substr(hx, {5 * k + 1}, 5))::BIGINT" for k in range(8)]
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((({v}) >> {s}) & 31)::INT + 1, 1)" for v in _CHUNKS for s in (15, 10, 5, 0))
+
+_OP1 = f"""
+WITH hashed AS (SELECT page_id, url, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hx FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY hx, n) AS first_id FROM hashed)
+SELECT page_id, n::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to, url AS target_uri FROM firsts
+"""
+
+_OP4 = """
+WITH masses AS (SELECT source, SUM(coalesce(strlen(text), 0) + 1)::BIGINT AS mass FROM documents GROUP BY source),
+rates AS (SELECT source, (1.0::DOUBLE / (SELECT COUNT(*) FROM masses)::DOUBLE) * 1.0::DOUBLE * (SELECT SUM(mass) FROM masses)::DOUBLE / mass::DOUBLE AS rate FROM masses),
+parts AS (SELECT source, rate, greatest(1, ceil(rate / 16.0::DOUBLE))::INT AS n FROM rates),
+cdf AS (SELECT source, k, SUM(exp(-rate / n + k * ln(rate / n) - lgamma(k + 1.0::DOUBLE))) OVER (PARTITION BY source ORDER BY k) AS c FROM parts, range(0, 81) AS r(k)),
+draws AS (SELECT doc_id, source, (('0x' || substr(md5('poisson|42|' || doc_id || '|' || j), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+          FROM (SELECT doc_id, source, unnest(range(1, n + 1)) AS j FROM documents JOIN parts USING (source))),
+counts AS (SELECT d.doc_id, COUNT(*) AS n FROM draws d JOIN cdf ON cdf.source = d.source AND cdf.c < d.u GROUP BY d.doc_id),
+copies AS (SELECT doc_id, unnest(range(1, n + 1)) AS copy FROM counts)
+SELECT doc_id, copy::INT AS copy, source, rate, md5('order|42|' || doc_id || '|' || copy) AS shuffle_key, text
+FROM copies JOIN documents USING (doc_id) JOIN rates USING (source)
+"""
+
+#: One step of CRC-32 (reflected polynomial 0xEDB88320) for a table value.
+_BIT = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+_OP6 = f"""
+WITH steps AS (SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, i: {_BIT}) AS v FROM range(256) AS r(b))),
+sized AS (SELECT doc_id, text, coalesce(strlen(text), 0)::BIGINT + 16 AS size FROM documents),
+summed AS (SELECT *, SUM(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS run, SUM(size) OVER () AS total FROM sized),
+placed AS (SELECT *, least(39, (40 * (2 * run - size)) // (2 * total))::INT AS shard FROM summed),
+bytes AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents)
+SELECT doc_id, size, CASE WHEN b IS NULL THEN NULL ELSE xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[(xor(c & 255, x) + 1)]))) END AS text_crc32,
+  'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM placed JOIN bytes USING (doc_id), steps
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_pages": _OP1, "op4_mix_sources": _OP4, "op6_shard_documents": _OP6}
