@@ -46,3 +46,6 @@ def difference(spark_df, con, sql: str) -> str:
         return ""
     only_a, only_b = [x for x in a if x not in set(b)][:3], [x for x in b if x not in set(a)][:3]
     return f"{len(a)} and {len(b)} rows; only Spark {only_a}; only SQL {only_b}"
+
+#: Tables for the tests.
+TINY = "/root/testdata/sf0.001"

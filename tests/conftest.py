@@ -8,7 +8,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from quern.session import build_session  # noqa: E402
 
-TINY = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

@@ -4,8 +4,8 @@ import sys
 from pathlib import Path
 
 import pytest
-from compare import difference, duck
-from conftest import TINY
+from compare import TINY, difference, duck
+
 
 from quern import catalog
 
