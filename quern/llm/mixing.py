@@ -27,11 +27,12 @@ def hash_unit(*parts: Column | str) -> Column:
 
 def source_rates(docs: DataFrame, weights: Mapping[str, float] | None, epochs: float, source: str, text: str) -> DataFrame:
     """One row for each source: `source`, `mass` (UTF-8 bytes, one more for each document) and `rate`, the mean number of
-    copies that gives the source its share of `epochs` times the corpus. Without weights all sources get equal shares."""
+    copies that gives the source its share of `epochs` times the corpus. Without weights a source's weight is the whole
+    part of the square root of its mass, which lifts small sources without repeating them as often as equal shares would."""
     mass = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + F.lit(1)
     stats = materialise(docs.groupBy(F.col(source).alias("source")).agg(F.sum(mass).alias("mass")), "mix-sources")
     if weights is None:
-        stats = stats.withColumn("weight", F.lit(1.0))
+        stats = stats.withColumn("weight", F.floor(F.sqrt("mass")).cast("double"))
     else:
         table = F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, float(w))])
         stats = stats.withColumn("weight", F.coalesce(F.try_element_at(table, F.col("source")), F.lit(0.0)))

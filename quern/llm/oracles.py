@@ -15,7 +15,7 @@ SELECT page_id, n::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WH
 
 _OP4 = """
 WITH masses AS (SELECT source, SUM(coalesce(strlen(text), 0) + 1)::BIGINT AS mass FROM documents GROUP BY source),
-rates AS (SELECT source, (1.0::DOUBLE / (SELECT COUNT(*) FROM masses)::DOUBLE) * 1.0::DOUBLE * (SELECT SUM(mass) FROM masses)::DOUBLE / mass::DOUBLE AS rate FROM masses),
+rates AS (SELECT source, (floor(sqrt(mass)) / (SELECT SUM(floor(sqrt(mass))) FROM masses)::DOUBLE) * 1.0::DOUBLE * (SELECT SUM(mass) FROM masses)::DOUBLE / mass::DOUBLE AS rate FROM masses),
 parts AS (SELECT source, rate, greatest(1, ceil(rate / 16.0::DOUBLE))::INT AS n FROM rates),
 cdf AS (SELECT source, k, SUM(exp(-rate / n + k * ln(rate / n) - lgamma(k + 1.0::DOUBLE))) OVER (PARTITION BY source ORDER BY k) AS c FROM parts, range(0, 81) AS r(k)),
 draws AS (SELECT doc_id, source, (('0x' || substr(md5('poisson|42|' || doc_id || '|' || j), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u

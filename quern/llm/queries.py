@@ -42,7 +42,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal byte shares for all sources over one epoch: the copies of each document, with their text, in shuffled order."""
+    """Sources by the square root of their bytes over one epoch: the copies of each document, with their text, in shuffled order."""
     mixed = mix_sources(_table(spark, sf_dir, "documents"), epochs=1.0, seed=42)
     return mixed.select("doc_id", "copy", "source", "rate", "shuffle_key", "text")
 

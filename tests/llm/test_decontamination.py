@@ -1,0 +1,105 @@
+import re
+from collections import Counter
+
+import pytest
+from compare import TINY
+from pyspark.sql import functions as F
+
+from quern.llm import decontamination as dc
+
+
+def words_of(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def shingles(words):
+    return Counter(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+
+
+def brute(docs, items):
+    """The best window of every document for every item, over all starts."""
+    out = {}
+    for key, text in docs:
+        words = words_of(text)
+        for item, item_text in items:
+            target = words_of(item_text)
+            if not words or not target:
+                continue
+            want, best = shingles(target), (0, 0)
+            for start in range(max(1, len(words) - len(target) + 1)):
+                own = shingles(words[start : start + len(target)])
+                shared = sum((own & want).values())
+                best = max(best, (shared / (sum(own.values()) + sum(want.values()) - shared), -start))
+            if best[0] >= 0.8:
+                out[key, item] = (-best[1], round(best[0], 9))
+    return out
+
+
+def found_in(docs, items):
+    return {(r["doc_id"], r["item_id"]): (r["start_word"], round(r["similarity"], 9)) for r in dc.find_leaks(docs, items).collect()}
+
+
+def test_against_brute_force(spark, docs, words):
+    items = [(i, " ".join(words(n, 50 + i))) for i, n in enumerate([18, 25, 40, 60, 33, 7, 3, 1])] + [(90, None), (91, "?!")]
+    table = []
+    for i in range(60):
+        text = words(120, 1000 + i, 5000)
+        item, own = items[i % 8], None
+        own = item[1].split()
+        if i % 4 == 1 and len(own) > 20:
+            own[-2:] = ["changed", "end"]
+        elif i % 4 == 2 and len(own) > 20:
+            own.insert(1, "put")
+        elif i % 4 == 3 and len(own) > 10:
+            del own[0]
+        text[30:30] = own
+        table.append((i, ", ".join(text) if i % 2 else " ".join(text).upper()))
+    table += [(70, items[1][1]), (71, " ".join(items[1][1].split()[:-2])), (72, None), (73, ""), (74, "..."), (74, "..."), (75, items[6][1])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(table, items)
+    assert len({k for k, _ in want}) > 30 and found_in(docs(*table), benchmark) == want
+    kept = {r["doc_id"] for r in dc.remove_leaks(docs(*table), benchmark).collect()}
+    assert kept == {k for k, _ in table} - {k for k, _ in want}
+
+
+def test_query_against_brute_force(spark):
+    from quern.llm.queries import op9_decontamination
+
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{TINY}/documents.parquet").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{TINY}/benchmark.parquet").collect()]
+    shared = {x for _, t in items for x in shingles(words_of(t))}
+    near = [d for d in docs if any(x in shared for x in shingles(words_of(d[1])))]
+    found = {(r["doc_id"], r["item_id"]): (r["start_word"], round(r["similarity"], 9)) for r in op9_decontamination(spark, TINY).collect()}
+    assert found == brute(near, items)
+
+
+def test_odd_rows(spark, odd):
+    benchmark = spark.createDataFrame([(1, "same text of several words", "x"), (None, "null key text here now", "y"), (2, "one", "z"), (2, "one", "z")], "item_id long, text string, words string")
+    clash = odd.withColumns({"words": F.lit("clash"), "n": F.lit(1), "key": F.lit("k")})
+    found = sorted(((r["doc_id"], r["item_id"], r["similarity"]) for r in dc.find_leaks(clash, benchmark).collect()), key=repr)
+    assert found == [(4, 2, 1.0), (5, 1, 1.0), (6, 1, 1.0), (None, None, 1.0)]
+    kept = dc.remove_leaks(clash, benchmark)
+    assert {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 7, 8, 9, 10} and kept.columns == clash.columns
+    assert dc.find_leaks(odd.limit(0), benchmark).count() == 0 and dc.find_leaks(odd, benchmark.limit(0)).count() == 0
+    assert dc.remove_leaks(odd, benchmark.limit(0)).count() == odd.count()
+
+
+def test_a_shuffled_scan_gives_the_same(spark, odd, monkeypatch):
+    benchmark = spark.createDataFrame([(1, "same text of several words")], "item_id long, text string")
+    monkeypatch.setattr(dc, "MAX_BROADCAST_SHINGLES", 0)
+    assert {r["doc_id"] for r in dc.find_leaks(odd, benchmark).collect()} == {5, 6}
+
+
+@pytest.mark.parametrize("n", [5, 9, 13, 14, 20, 36, 56, 200])
+def test_the_stride_is_safe(n):
+    step = dc.safe_stride(range(max(1, int(0.8 * n)), n + 1), 0.8)
+    for length in range(max(1, int(0.8 * n)), n + 1):
+        assert length // step > length - dc.least_matches(length, 0.8)
+
+
+def test_fingerprint_equals_a_loop(spark):
+    words = ["a", "b", "a", "c", "dd"]
+    hashes = [r["h"] % 2**64 for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").alias("h")).collect()]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    got = spark.createDataFrame([(words,)], "w array<string>").select(dc.simhash_of(F.col("w"))).first()[0]
+    assert got % 2**64 == want
