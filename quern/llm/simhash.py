@@ -15,11 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.graph import components
-from quern.llm.storage import bound_batches, free_names, materialise
+from quern.llm.storage import bound_batches, materialise
 
 RADIUS = 2
 #: Groups of masks for the candidate search: of these, all but RADIUS have to agree.
@@ -119,21 +119,36 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     return rows.mapInArrow(_fingerprints(size), f"key {rows.schema['key'].dataType.simpleString()}, fp long")
 
 
-def distance_table(fp: Column) -> Column:
-    """Hamming distances to all reference fingerprints."""
-    return F.transform(F.lit(PIVOTS), lambda p: F.bit_count(fp.bitwiseXOR(p)).cast("int"))
+def distance_tables(prints: np.ndarray) -> np.ndarray:
+    """Hamming distances of each fingerprint (unsigned) to all reference fingerprints."""
+    return np.bitwise_count(prints[:, None] ^ np.array(PIVOTS, np.int64).view(np.uint64)).astype(np.int64)
 
 
-def _search_keys(table: Column, salt: Column, radius: int, groups: int) -> Column:
-    """For each choice of `groups - radius` groups of masks, a hash of their coordinates less that of zero."""
-    zero = F.element_at(table, 1)
-    coordinates = F.transform(F.slice(table, 2, len(MASKS)), lambda d: d - zero)
-    width = len(MASKS) // groups
-    cuts = [(1 + g * width, width if g < groups - 1 else len(MASKS) - g * width) for g in range(groups)]
+def search_keys(prints: np.ndarray, salts: np.ndarray, radius: int, groups: int) -> np.ndarray:
+    """For each fingerprint and each choice of `groups - radius` groups of masks, a hash of the salt and of the chosen
+    coordinates less that of zero. Equal coordinates give equal keys; that others may, too, costs a comparison."""
+    tables = distance_tables(prints)
+    coordinates = (tables[:, 1 : 1 + len(MASKS)] - tables[:, :1] + 3).astype(np.uint64)
+    weights = np.array([xxhash.xxh64_intdigest(str(i), 9) | 1 for i in range(len(MASKS) + 2)], np.uint64)
+    weighted = coordinates * weights[: len(MASKS)]
     keys = []
-    for n, chosen in enumerate(itertools.combinations(range(groups), groups - radius)):
-        keys.append(F.xxhash64(F.lit(n), salt, *[F.slice(coordinates, *cuts[g]) for g in chosen]))
-    return F.array(*keys)
+    for n, chosen in enumerate(itertools.combinations(np.array_split(np.arange(len(MASKS)), groups), groups - radius)):
+        key = weighted[:, np.concatenate(chosen)].sum(axis=1) + salts.astype(np.uint64) * weights[-1] + np.uint64((n + 1) * int(weights[-2]) % (1 << 64))
+        key ^= key >> np.uint64(31)
+        keys.append(key * np.uint64(0x9E3779B97F4A7C15))
+    return np.stack(keys, axis=1)
+
+
+def _keyed(radius: int, groups: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            salts, prints = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            keys = search_keys(prints.view(np.uint64), salts, radius, groups)
+            n = keys.shape[1]
+            arrays = [pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(salts, n)), pa.array(np.repeat(prints, n))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "t", "fp"])
+
+    return rows
 
 
 def links_within(prints: DataFrame, radius: int = RADIUS, groups: int = GROUPS) -> DataFrame:
@@ -145,7 +160,7 @@ def links_within(prints: DataFrame, radius: int = RADIUS, groups: int = GROUPS)
     them loses no connection. Rows stay proportional to the fingerprints however dense a group is. `radius` is 1 or 2."""
     if radius not in (1, 2):
         raise ValueError("radius must be 1 or 2")
-    keyed = prints.withColumn("key", F.explode(_search_keys(distance_table(F.col("fp")), F.col("t"), radius, groups)))
+    keyed = prints.select(F.col("t").cast("int").alias("t"), "fp").mapInArrow(_keyed(radius, groups), "key long, t int, fp long")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialise(keyed.join(sizes, "key"), "buckets")
     small = shared.filter(F.col("n") <= BUCKET).select("key", "t", "fp")
