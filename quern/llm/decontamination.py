@@ -62,8 +62,12 @@ def simhash_of(words: Column) -> Column:
                a["fp"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(a["fp"]).alias("fp"), a["sums"].alias("sums"), a["n"].alias("n")), lambda a: a["fp"])
 
 
+def _block(fp: Column, i: int) -> Column:
+    return F.call_function("shiftrightunsigned", fp, F.lit(i * _BLOCK_BITS)).bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1))
+
+
 def _blocks(fp: Column) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.call_function("shiftrightunsigned", fp, F.lit(i * _BLOCK_BITS)).bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1)).alias("bits")) for i in range(BLOCKS)])
+    return F.array(*[F.struct(F.lit(i).alias("block"), _block(fp, i).alias("bits")) for i in range(BLOCKS)])
 
 
 def _flips(radius: int) -> list[int]:
@@ -94,7 +98,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     and meets the benchmark's shingles in a broadcast join (a shuffled one beyond MAX_BROADCAST_SHINGLES); what follows
     handles windows around the hits alone, which carry their own words, so texts are never shuffled."""
     items = benchmark.select(F.col(item).alias("item"), words_of(F.col(item_text)).alias("item_words")).filter(F.size("item_words") > 0).distinct()
-    items = materialise(items.withColumns({"item_n": F.size("item_words"), "item_fp": simhash_of(F.col("item_words"))}), "benchmark")
+    items = items.withColumns({"item_n": F.size("item_words"), "item_fp": simhash_of(F.col("item_words")), "item_shingles": shingles_of(F.col("item_words")), "iid": F.monotonically_increasing_id()})
+    items = materialise(items, "benchmark")
     bounds = items.agg(F.min("item_n").alias("lo"), F.max("item_n").alias("hi"), F.collect_set(F.least("item_n", F.lit(SHINGLE))).alias("sizes"),
                        F.min(F.when(F.col("item_n") >= SHINGLE, F.col("item_n"))).alias("lo_full"), F.sum("item_n").alias("total")).first()
     sizes = sorted(bounds["sizes"] or [])
@@ -125,16 +130,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     windows = materialise(windows.withColumn("fp", simhash_of(F.col("window"))), "windows")
 
     cells = items.withColumn("cell", F.explode(_blocks(F.col("item_fp"))))
-    cells = cells.select("item", "item_words", "item_n", "item_fp", "cell.block", F.explode(F.transform(F.lit(_flips(radius)), lambda m: F.col("cell.bits").bitwiseXOR(m.cast("long")))).alias("bits"))
+    cells = cells.select("iid", "item_n", "item_fp", "cell.block", F.explode(F.transform(F.lit(_flips(radius)), lambda m: F.col("cell.bits").bitwiseXOR(m.cast("long")))).alias("bits"))
     probes = windows.withColumn("cell", F.explode(_blocks(F.col("fp")))).select("key", "item_n", "start", "window", "fp", "cell.block", "cell.bits")
-    near = probes.join(cells, ["item_n", "block", "bits"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).cast("int"))
+    # the index has thousands of rows for each item, so it is never broadcast
+    near = probes.join(cells.hint("shuffle_hash"), ["item_n", "block", "bits"])
+    gap = F.col("fp").bitwiseXOR(F.col("item_fp"))
     # a pair that meets in several blocks is taken at the first of them
-    first = F.array_min(F.transform(F.filter(F.arrays_zip(_blocks(F.col("fp")).alias("x"), _blocks(F.col("item_fp")).alias("y")), lambda z: F.bit_count(
-        z["x"]["bits"].bitwiseXOR(z["y"]["bits"])) <= radius // BLOCKS), lambda z: z["x"]["block"]))
-    near = near.filter(F.col("distance") <= radius).filter(F.col("block") == first)
-    scored = near.withColumn("similarity", weighted_similarity(shingles_of(F.col("window")), shingles_of(F.col("item_words")))).filter(F.col("similarity") >= similarity)
+    first = F.lit(BLOCKS)
+    for i in reversed(range(BLOCKS)):
+        first = F.when(F.bit_count(_block(gap, i)) <= radius // BLOCKS, i).otherwise(first)
+    near = near.filter((F.bit_count(gap) <= radius) & (F.col("block") == first)).select("key", "start", "window", "iid", F.bit_count(gap).cast("int").alias("distance"))
+    # both shingle arrays are written out: each is made once, however often the similarity looks at it
+    pairs = near.join(items.select("iid", "item", "item_shingles"), "iid").withColumn("shingles", shingles_of(F.col("window"))).withColumn("n_words", F.size("window"))
+    pairs = materialise(pairs.select("key", "item", "start", "n_words", "distance", "shingles", "item_shingles"), "leak-pairs")
+    scored = pairs.withColumn("similarity", weighted_similarity(F.col("shingles"), F.col("item_shingles"))).filter(F.col("similarity") >= similarity)
     best = scored.groupBy("key", "item").agg(F.min(F.struct(
-        (-F.col("similarity")).alias("order"), "start", F.size("window").alias("n_words"), "similarity", "distance")).alias("best"))
+        (-F.col("similarity")).alias("order"), "start", "n_words", "similarity", "distance")).alias("best"))
     return best.select(F.col("key").alias(key), F.col("item").alias(item), F.col("best.start").alias("start_word"), "best.n_words", "best.similarity", "best.distance")
 
 
