@@ -10,6 +10,10 @@ from quern.functions.text import trimmed
 
 def to_ymd(c: Column) -> Column:
     """A date from `year-month-day` or `year/month/day` with a four-digit year; null for anything else. Each value is judged alone."""
-    text = trimmed(c)
+    return parsed_ymd(trimmed(c))
+
+
+def parsed_ymd(text: Column) -> Column:
+    """The same of text that is trimmed already."""
     dashed = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, "y-M-d"))
     return F.coalesce(dashed, F.when(text.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), F.try_to_date(text, "y/M/d")))

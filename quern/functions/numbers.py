@@ -13,7 +13,11 @@ _NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
 
 def to_number(c: Column) -> Column:
     """A double, or null where the trimmed text is no number."""
-    text = trimmed(c)
+    return parsed_number(trimmed(c))
+
+
+def parsed_number(text: Column) -> Column:
+    """The same of text that is trimmed already."""
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 

@@ -8,9 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: All characters that count as white space (by rule: those that Python's str.isspace() names).
+SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def trimmed(c: Column) -> Column:
     """Without white space (any Unicode one) at either end."""
-    return F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", "")
+    return F.btrim(c.cast("string"), F.lit(SPACES))
 
 
 def squeezed(c: Column) -> Column:

@@ -10,8 +10,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.dates import to_ymd
-from quern.functions.numbers import is_whole, to_number, to_price
+from quern.functions.dates import parsed_ymd, to_ymd
+from quern.functions.numbers import is_whole, parsed_number, to_number, to_price
 from quern.functions.text import joined_flags, letters_for_digits, looked_up, none_if_blank, squeezed, tidy, title_case, trimmed
 from quern.operators.best import best_row, filled
 
@@ -88,13 +88,16 @@ def judge_sales(raw: DataFrame, customers: DataFrame, products: DataFrame, tie:
     """The best row of each valid sale_id (and every row without one), with parsed columns and `reject_reasons`: null for a
     row that is clean. Reasons stand in the order of REASONS with `|` between them; raw columns stay as they were read."""
     ids = {"sale_id": "_sale", "customer_id": "_customer", "product_id": "_product"}
-    rows = raw.withColumns({new: to_number(F.col(c)) for c, new in ids.items()}).withColumns({
-        "_date": to_ymd(F.col("sale_date")), "_quantity": to_number(F.col("quantity")), "_no_discount": none_if_blank(trimmed(F.col("discount"))).isNull(),
+    # trimmed once, as columns of their own: what follows looks at each several times
+    rows = raw.withColumns({f"_t_{c}": none_if_blank(trimmed(F.col(c))) for c in SALES_COLUMNS})
+    rows = rows.withColumns({new: parsed_number(F.col(f"_t_{c}")) for c, new in ids.items()}).withColumns({
+        "_date": parsed_ymd(F.col("_t_sale_date")), "_quantity": parsed_number(F.col("_t_quantity")),
+        "_discount": F.when(F.col("_t_discount").isNull(), F.lit(0.0)).otherwise(parsed_number(F.col("_t_discount"))),
     })
-    rows = rows.withColumn("_discount", F.when(F.col("_no_discount"), F.lit(0.0)).otherwise(to_number(F.col("discount"))))
     for c, new in ids.items():
-        missing = none_if_blank(trimmed(F.col(c))).isNull()
+        missing = F.col(f"_t_{c}").isNull()
         rows = rows.withColumns({f"{new}_missing": missing, f"{new}_bad": ~missing & ~is_whole(F.col(new))})
+    rows = rows.drop(*[f"_t_{c}" for c in SALES_COLUMNS])
     rows = _known(_known(rows, customers.select("customer_id"), "_customer", "_has_customer"), products.select("product_id"), "_product", "_has_product")
     in_range = F.coalesce(F.col("_discount").between(0, 100), F.lit(False))
     sold = F.coalesce((F.col("_quantity") % 1 == 0) & (F.col("_quantity") > 0), F.lit(False))
