@@ -136,3 +136,12 @@ def test_staging_is_removed_only_below_its_root(tmp_path):
     (tmp_path / "root/run").mkdir(parents=True)
     assert not remove_staging(tmp_path / "root", tmp_path / "root") and not remove_staging(tmp_path, tmp_path / "root")
     assert remove_staging(tmp_path / "root/run", tmp_path / "root") and not (tmp_path / "root/run").exists()
+
+
+def test_staged_tables_come_back(spark, tmp_path):
+    from quern.plans import staging
+
+    assert staging.folder_name("manual__2025-01-01T00:00:00+00:00/é x") == "manual__2025-01-01T00_00_00_00_00_x"
+    for n in (3, 2):
+        folder = staging.stage({"a": spark.range(n)}, str(tmp_path), "run:1")
+    assert staging.staged(spark, folder, ("a",))["a"].count() == 2 and remove_staging(folder, tmp_path)
