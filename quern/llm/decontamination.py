@@ -23,6 +23,8 @@ _BLOCK_BITS = 64 // BLOCKS
 #: Benchmark shingles are broadcast up to so many rows (some 50 MB); beyond it the scan joins them by a shuffle.
 MAX_BROADCAST_SHINGLES = 1_000_000
 _MAX_STRIDE = 8
+#: Documents are scanned in pieces of so many words at least, a multiple of every stride, so rows stay small in long documents.
+_PIECE, _GRID = 1024, math.lcm(*range(1, _MAX_STRIDE + 1))
 
 
 def words_of(text: Column) -> Column:
@@ -76,8 +78,23 @@ def _flips(radius: int) -> list[int]:
 
 
 def _anchor(size: int):
-    """A position and the hash of the shingle of `size` words that starts there."""
-    return lambda p: F.struct(p.alias("p"), F.xxhash64(F.lit(size), *[F.get(F.col("words"), p + i) for i in range(size)]).alias("h"))
+    """A position and the hash of the shingle of `size` words that starts there, of a piece whose first word is number `lo`."""
+    return lambda p: F.struct(p.alias("p"), F.xxhash64(F.lit(size), *[F.get(F.col("words"), p - F.col("lo") + i) for i in range(size)]).alias("h"))
+
+
+def _pieces(docs: DataFrame, key: str, text: str, longest: int) -> tuple[DataFrame, int]:
+    """(key, n, base, lo, words, mark) for each piece of a document, and the piece's length: the positions from `base` on are
+    its own; its words start at number `lo` and reach far enough to both sides for any window around such a position."""
+    reach, context = _GRID * math.ceil(max(_PIECE, 4 * longest) / _GRID), 2 * longest
+    rows = docs.select(F.col(key).alias("key"), words_of(F.col(text)).alias("words")).withColumn("n", F.size("words"))
+    bases = F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(reach))
+
+    def piece(base: Column) -> Column:
+        lo = F.greatest(base - context, F.lit(0))
+        return F.struct(base.alias("base"), lo.alias("lo"), F.slice("words", lo + 1, reach + 2 * context).alias("words"))
+
+    cut = rows.select("key", "n", F.explode(F.transform(bases, piece)).alias("piece"))
+    return cut.select("key", "n", "piece.base", "piece.lo", "piece.words").withColumn("mark", F.xxhash64("words")), reach
 
 
 def weighted_similarity(a: Column, b: Column) -> Column:
@@ -95,25 +112,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     an empty result. Other columns are not read.
 
     One scan hashes every s-th position's shingle, where s is the largest step at which no similar window can pass unseen,
-    and meets the benchmark's shingles in a broadcast join (a shuffled one beyond MAX_BROADCAST_SHINGLES); what follows
-    handles windows around the hits alone, which carry their own words, so texts are never shuffled."""
+    and meets the benchmark's shingles in a broadcast join; beyond MAX_BROADCAST_SHINGLES the positions' hashes are shuffled
+    to them, and then the pieces of texts once to what was found. What follows handles windows around the hits alone, which
+    carry their own words. Long texts are scanned in overlapping pieces, so a row never carries more than a piece."""
     items = benchmark.select(F.col(item).alias("item"), words_of(F.col(item_text)).alias("item_words")).filter(F.size("item_words") > 0).distinct()
     items = items.withColumns({"item_n": F.size("item_words"), "item_fp": simhash_of(F.col("item_words")), "item_shingles": shingles_of(F.col("item_words")), "iid": F.monotonically_increasing_id()})
     items = materialise(items, "benchmark")
     bounds = items.agg(F.min("item_n").alias("lo"), F.max("item_n").alias("hi"), F.collect_set(F.least("item_n", F.lit(SHINGLE))).alias("sizes"),
                        F.min(F.when(F.col("item_n") >= SHINGLE, F.col("item_n"))).alias("lo_full"), F.sum("item_n").alias("total")).first()
     sizes = sorted(bounds["sizes"] or [])
-    rows = docs.select(F.col(key).alias("key"), words_of(F.col(text)).alias("words")).withColumn("n", F.size("words"))
+    pieces, reach = _pieces(docs, key, text, bounds["hi"] or SHINGLE)
     scans = []
     for size in sizes or [SHINGLE]:
         step = 1
         if size == SHINGLE and sizes:
             least, most = bounds["lo_full"] - SHINGLE + 1, bounds["hi"] - SHINGLE + 1
             step = safe_stride(range(max(1, math.ceil(similarity * least)), most + 1), similarity)
-        at = F.sequence(F.lit(0), F.greatest(F.col("n") - size, F.lit(0)), F.lit(step))
-        hashed = F.transform(at, _anchor(size))
-        scans.append(F.when(F.col("n") >= size, hashed).otherwise(F.array().cast("array<struct<p:int,h:bigint>>")))
-    anchors = rows.withColumn("anchor", F.explode(F.concat(*scans))).select("key", "words", "n", "anchor.p", "anchor.h")
+        last = F.least(F.col("base") + F.lit(reach - 1), F.col("n") - size)
+        hashed = F.transform(F.sequence(F.col("base"), F.greatest(F.col("base"), last), F.lit(step)), _anchor(size))
+        scans.append(F.when(last >= F.col("base"), hashed).otherwise(F.array().cast("array<struct<p:int,h:bigint>>")))
+    anchors = pieces.withColumn("anchors", F.concat(*scans)).select("key", "n", "base", "lo", "words", "mark", F.explode("anchors").alias("anchor"))
+    anchors = anchors.select("key", "n", "base", "lo", "words", "mark", "anchor.p", "anchor.h")
 
     slack = F.col("item_n") - F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.greatest(F.col("item_n") - SHINGLE + 1, F.lit(1)) - 1e-9) - F.least(F.lit(SHINGLE - 1), F.col("item_n") - 1)
     hashes = F.when(F.col("item_n") >= SHINGLE, F.transform(F.sequence(F.lit(0), F.greatest(F.col("item_n") - SHINGLE, F.lit(0))), lambda p: F.xxhash64(
@@ -121,12 +140,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     for size in range(1, SHINGLE):
         hashes = hashes.when(F.col("item_n") == size, F.array(F.xxhash64(F.lit(size), *[F.get(F.col("item_words"), F.lit(i)) for i in range(size)])))
     index = items.select("item_n", slack.cast("int").alias("slack"), F.posexplode(hashes).alias("offset", "h")).distinct()
-    index = F.broadcast(index) if (bounds["total"] or 0) <= MAX_BROADCAST_SHINGLES else index
-    hits = anchors.join(index, "h")
+    if (bounds["total"] or 0) <= MAX_BROADCAST_SHINGLES:
+        hits = anchors.join(F.broadcast(index), "h")
+    else:  # slim rows are shuffled by the shingle; what they find meets its piece again (an equal mark only adds a window to verify)
+        met = anchors.select(F.col("key").alias("met_key"), F.col("base").alias("met_base"), F.col("mark").alias("met_mark"), "p", "h").join(index, "h").drop("h").distinct()
+        hits = pieces.join(met, pieces["key"].eqNullSafe(met["met_key"]) & (pieces["base"] == met["met_base"]) & (pieces["mark"] == met["met_mark"]))
     starts = F.sequence(F.col("p") - F.col("offset") - F.col("slack"), F.col("p") - F.col("offset") + F.col("slack"))
     starts = F.array_distinct(F.transform(starts, lambda s: F.greatest(F.lit(0), F.least(s, F.col("n") - F.col("item_n")))))
-    windows = hits.select("key", "words", "item_n", F.explode(starts).alias("start"))
-    windows = windows.select("key", "item_n", "start", F.expr("slice(words, start + 1, item_n)").alias("window")).distinct()
+    windows = hits.select("key", "words", "lo", "item_n", F.explode(starts).alias("start"))
+    windows = windows.select("key", "item_n", "start", F.expr("slice(words, start - lo + 1, item_n)").alias("window")).distinct()
     windows = materialise(windows.withColumn("fp", simhash_of(F.col("window"))), "windows")
 
     cells = items.withColumn("cell", F.explode(_blocks(F.col("item_fp"))))

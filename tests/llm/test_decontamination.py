@@ -84,10 +84,28 @@ def test_odd_rows(spark, odd):
     assert dc.remove_leaks(odd, benchmark.limit(0)).count() == odd.count()
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_long_texts_in_pieces(spark, docs, words, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(dc, "MAX_BROADCAST_SHINGLES", 0)
+    items = [(i, " ".join(words(n, 70 + i))) for i, n in enumerate([24, 60, 6, 3])]
+    table = []
+    for i, at in enumerate((0, 1640, 1655, 1668, 1676, 1679, 1680, 1690, 3340, 3359, 4990)):
+        text, own = words(5000, 2000 + i, 9000), items[i % 4][1].split()
+        if i % 2:
+            own[1:1] = ["put"]
+        text[at:at] = own
+        table.append((i, " ".join(text)))
+    table += [(None, table[2][1]), (2, table[2][1])]  # a null key, and a row that repeats
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(table, items)
+    assert len(want) >= 9 and found_in(docs(*table), benchmark) == want
+
+
 def test_a_shuffled_scan_gives_the_same(spark, odd, monkeypatch):
-    benchmark = spark.createDataFrame([(1, "same text of several words")], "item_id long, text string")
+    benchmark = spark.createDataFrame([(1, "same text of several words"), (2, "null key text here now")], "item_id long, text string")
     monkeypatch.setattr(dc, "MAX_BROADCAST_SHINGLES", 0)
-    assert {r["doc_id"] for r in dc.find_leaks(odd, benchmark).collect()} == {5, 6}
+    assert {r["doc_id"] for r in dc.find_leaks(odd, benchmark).collect()} == {None, 5, 6}
 
 
 @pytest.mark.parametrize("n", [5, 9, 13, 14, 20, 36, 56, 200])
