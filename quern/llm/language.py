@@ -162,12 +162,13 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, families: Mapping[str, str] = FAMILIES, lang: str = "lang", text: str = "text", order: Column | None = None) -> Hierarchy:
-    """Fit on the `sample` rows of each language (null labels and texts without letters left out) whose hash `order` is
-    smallest. A threshold on the hash, from counts for each language, keeps all other rows out of the shuffle."""
+    """Fit on the `sample` distinct texts of each language (null labels and texts without letters left out) whose hash `order`
+    is smallest, so copies weigh nothing. A threshold on the hash, from counts of distinct hashes for each language, keeps
+    all other rows out of the shuffle, and equal rows are combined before it."""
     bound_batches(labelled.sparkSession)
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), (order if order is not None else F.md5(F.col(text))).alias("draw"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
@@ -175,7 +176,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, families: Mapping[str, str]
     # the first eight hexadecimal digits of the hash as a share of all; twice the sample and some more are let through
     share = F.conv(F.substring("draw", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     most = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (2.0 * sample + 100) / r["n"]))])
-    few = rows.filter(share < F.element_at(most, F.col("lang")))
+    few = rows.filter(share < F.element_at(most, F.col("lang"))).groupBy("lang", "draw").agg(F.min("text").alias("text"))
     first = few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).filter(F.col("place") <= sample)
     found = first.select("lang", "text", "draw").mapInArrow(_sample_features, "lang string, at binary, vals binary").collect()
     samples = [(r["lang"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["vals"], np.float32)) for r in found]
