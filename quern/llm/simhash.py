@@ -172,9 +172,10 @@ def links_within(prints: DataFrame, radius: int = RADIUS, groups: int = GROUPS)
     flips = F.lit([0, *[_signed(1 << i) for i in range(64)]])
     around = dense.select("t", "fp", F.explode(F.transform(flips, lambda b: F.col("fp").bitwiseXOR(b))).alias("mid"))
     cliques = around.groupBy("t", "mid").agg(F.collect_set("fp").alias("members")).filter(F.size("members") > 1)  # 65 at most
-    star = cliques.select("t", F.array_min("members").alias("u"), F.explode("members").alias("v")).filter("u != v")
-    if radius == 1:
-        star = star.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 1)
+    if radius == 1:  # two values within one bit share each of themselves, so a member links to those around it
+        cliques = cliques.filter(F.array_contains("members", F.col("mid")))
+    star = cliques.select("t", (F.array_min("members") if radius == 2 else F.col("mid")).alias("u"), F.explode("members").alias("v")).filter("u != v")
+    star = star.select("t", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     return near.union(star).distinct()
 
 
