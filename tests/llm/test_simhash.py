@@ -172,3 +172,17 @@ def test_keeping_one_of_odd_rows(spark, odd):
     assert [r["doc_id"] for r in rows].count(4) == 1 and {r["doc_id"] for r in rows} >= {1, 3, 4, 5, 7, 8, 9, 10} and 6 not in {r["doc_id"] for r in rows}
     assert found.columns[-2:] == ["digest", "place"] and all(r["digest"] == "own" for r in rows)
     assert neardup.keep_one_of_each(odd.limit(0)).count() == 0
+
+
+def test_copies_that_differ_by_a_block_are_found(spark, docs, words):
+    table, wanted = [], {}
+    for i in range(60):
+        base = words(150, i, 5000)
+        for kind, other in enumerate((base + words(30, 900 + i, 5000), base[:125], base[:137] + words(13, 700 + i, 5000))):
+            a = 10 * i + 1000 * kind
+            own = [f"{w}{kind}" for w in base]
+            table += [(a, " ".join(own)), (a + 1, " ".join(f"{w}{kind}" for w in other))]
+            x, y = shingles(table[-2][1]), shingles(table[-1][1])
+            assert len(x & y) / len(x | y) >= 0.8
+            wanted |= {a: a, a + 1: a}
+    assert {r["doc_id"]: r["class_key"] for r in neardup.near_duplicate_classes(docs(*table)).collect()} == wanted
