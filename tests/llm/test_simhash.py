@@ -186,3 +186,14 @@ def test_copies_that_differ_by_a_block_are_found(spark, docs, words):
             assert len(x & y) / len(x | y) >= 0.8
             wanted |= {a: a, a + 1: a}
     assert {r["doc_id"]: r["class_key"] for r in neardup.near_duplicate_classes(docs(*table)).collect()} == wanted
+
+
+def test_near_pair_among_unlike_texts_of_one_vocabulary(spark, docs, words):
+    base, table = [f"w{i}" for i in range(120)], []
+    for i in range(150):
+        table.append((i, " ".join(random.Random(i).sample(base, 120))))
+    swapped = table[70][1].split()
+    swapped[50], swapped[51] = swapped[51], swapped[50]
+    table.append((500, " ".join(swapped)))
+    found = {r["doc_id"]: r["class_key"] for r in neardup.near_duplicate_classes(docs(*table)).collect()}
+    assert found == {i: i for i in range(150)} | {500: 70}
