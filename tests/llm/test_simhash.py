@@ -197,3 +197,18 @@ def test_near_pair_among_unlike_texts_of_one_vocabulary(spark, docs, words):
     table.append((500, " ".join(swapped)))
     found = {r["doc_id"]: r["class_key"] for r in neardup.near_duplicate_classes(docs(*table)).collect()}
     assert found == {i: i for i in range(150)} | {500: 70}
+
+
+def test_every_pair_that_shares_a_key_is_compared(spark, docs, words, monkeypatch):
+    # all texts share all keys and are unlike, but for one pair that no centre is likely to meet
+    monkeypatch.setattr(neardup, "search_keys", lambda shingles: list(range(neardup.TABLES)))
+    monkeypatch.setattr(neardup, "ROUNDS", 1)
+    texts = [" ".join(words(80, i)) for i in range(200)]
+    classes = neardup.sketches(texts[:1] + [texts[0] + " more"])
+    assert classes[0][1] == classes[1][1]
+    table = [*enumerate(texts), (500, texts[123] + " more")]
+    rows = spark.createDataFrame([(f"d{i:03}", t) for i, t in table], "digest string, text string")
+    sketched = [(f"d{i:03}", *s) for (i, _), s in zip(table, neardup.sketches([t for _, t in table]), strict=True)]
+    made = spark.createDataFrame(sketched, "digest string, n_words int, search array<long>, whole array<long>")
+    found = {(r["node"], r["root"]) for r in neardup._connected(made, rows, 0.8).collect()}
+    assert found == {("d500", "d123"), ("d123", "d123")}
