@@ -179,7 +179,8 @@ def byte_alphabet() -> list[str]:
 
 class Encoder:
     """Ids of whole texts from a byte-level BPE file of the tokenizers library, equal to its
-    `encode(text, add_special_tokens=False)` with strings of special tokens taken as ordinary text.
+    `encode(text, add_special_tokens=False)`. Texts that hold an added token of the file, such as a marker of a text's end,
+    are left to the library, which gives it its own id.
 
     The library's model encodes each distinct piece once; a text is cut at single spaces between two other characters,
     where the pre-tokenizer never joins, and the pieces' ids are kept in a bounded cache."""
@@ -191,7 +192,9 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(self.PATTERN)
         self.cut = regex.compile(r"(?<=\S) (?=\S)")
         self.bytes = {i: c for i, c in enumerate(byte_alphabet())}
@@ -232,6 +235,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as unsigned 32-bit integers in the machine's order."""
+        if any(map(text.__contains__, self.added)):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.pieces) > self.PIECES:
             self.pieces.clear()
         if len(self.words) > self.WORDS:

@@ -117,3 +117,10 @@ def test_ids_can_be_read(spark, docs, library):
     tokenfiles.write_tokens(docs((2, "b " * 70_000), (1, "hello world")), path, BPE, end=50_256)
     found = {r["doc_id"]: r["ids"] for r in tokenfiles.read_tokens(spark, path).collect()}
     assert found[1] == [*library.encode("hello world").ids, 50_256] and len(found[2]) > 70_000
+
+
+def test_added_tokens_have_their_ids():
+    library = Tokenizer.from_file(BPE)  # at its default setting
+    for text in ("hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|> b\n", "a <|endoftext| b"):
+        assert np.frombuffer(tokenfiles.encoder(BPE).encode(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(tokenfiles.encoder(BPE).encode("hello <|endoftext|> world"), np.uint32).tolist() == [31373, 220, 50256, 995]
