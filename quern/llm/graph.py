@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.storage import materialise
+from quern.llm.storage import discard, materialise
 
 #: Steps after which something must be wrong; the steps needed grow with the square of the logarithm of the links.
 MAX_ROUNDS = 60
@@ -29,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node in `links` (u, v; any comparable type without nulls): root is the component's least
     node. Links of a node to itself and repeated ones are allowed; nodes without links to others do not appear.
 
-    Each round is written to the shared folder, so lineage stays short and a lost executor costs one round."""
+    Each round is written to the shared folder, so lineage stays short and a lost executor costs one round; the one before
+    it is deleted."""
     edges = materialise(links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = None
     for _ in range(MAX_ROUNDS):
@@ -37,7 +38,8 @@ def components(links: DataFrame) -> DataFrame:
         if (n, digest) == state or not n:
             break
         state = n, digest
-        edges = materialise(_small_star(_large_star(edges)), "star")
+        before, edges = edges, materialise(_small_star(_large_star(edges)), "star")
+        discard(before)
     else:
         raise RuntimeError("the components did not settle")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

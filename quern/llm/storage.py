@@ -1,12 +1,15 @@
 """Shared scratch storage and range partitioning used by several operators.
 
 All intermediate tables and files go to the folder the cluster names in spark.checkpoint.dir, which the driver and all
-executors share. A local folder is made only where that setting is unset (tests, local mode)."""
+executors share. A local folder is made only where that setting is unset and the master is local (tests)."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +22,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for scratch data."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = _LOCAL.setdefault("root", tempfile.mkdtemp(prefix="quern-"))
     return root.rstrip("/")
 
@@ -28,15 +33,41 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/quern/{label}-{uuid.uuid4().hex}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, an execution's shuffle files go when it ends: what it made has been written by then."""
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors, fixes row identities."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables from materialise() that nothing reads any more."""
+    for path in [t._scratch for t in tables if "_scratch" in vars(t)]:
+        spark = tables[0].sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path or URI, and the path within it."""
+    """The file system of a path or URI, and the path within it. Hadoop's names of S3 are understood."""
+    path = re.sub(r"^s3[an]://", "s3://", path)
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 

@@ -140,30 +140,16 @@ def test_dense_near_copies_form_one_class(spark, docs, words):
     assert {r["class_key"] for r in neardup.near_duplicate_classes(docs(*table)).collect()} == {0}
 
 
-def test_similarity_is_estimated_well(words):
-    base = words(600, 3)
+def test_similarity_is_estimated_well(spark, words):
+    base, rows = words(600, 3), []
     for share in (0.0, 0.02, 0.05, 0.5):
         other = [x if random.Random(j).random() > share else f"new{j}" for j, x in enumerate(base)]
         a, b = neardup.sketches([" ".join(base), " ".join(other)])
-        bits = sum(((x ^ y) % 2**64).bit_count() for x, y in zip(a[2], b[2], strict=True))
-        cosine = max(0.0, np.cos(np.pi * bits / (64 * neardup.LONG)))
         x, y = shingles(" ".join(base)), shingles(" ".join(other))
-        assert abs(cosine / (2 - cosine) - len(x & y) / len(x | y)) < 0.08
-
-
-def test_majorities_equal_a_loop():
-    rng = np.random.default_rng(2)
-    features = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (0, 1, 2, 255, 256, 1000, 40_000)]
-    found = neardup.long_fingerprints(features, 3, 8)
-    consts = neardup._constants(3, 8)
-    for own, got in zip(features, found, strict=True):
-        for t in range(3):
-            x = (own ^ consts[t]) * np.uint64(0x9E3779B97F4A7C15)
-            x ^= x >> np.uint64(32)
-            x *= np.uint64(0xD6E8FEB86659FD93)
-            x ^= x >> np.uint64(29)
-            want = sum(1 << b for b in range(64) if 2 * int(((x >> np.uint64(b)) & np.uint64(1)).sum()) > len(own))
-            assert int(got[t]) == want
+        assert (len(a[4]), len(b[4]), len(np.intersect1d(a[4], b[4]))) == (len(x), len(y), len(x & y))
+        rows.append((a[2], b[2], len(x & y) / len(x | y)))
+    table = spark.createDataFrame(rows, "a array<long>, b array<long>, real double")
+    assert all(abs(r["found"] - r["real"]) < 0.12 for r in table.select("real", neardup.estimated_similarity(F.col("a"), F.col("b")).alias("found")).collect())
 
 
 def test_keeping_one_of_odd_rows(spark, odd):
@@ -201,14 +187,60 @@ def test_near_pair_among_unlike_texts_of_one_vocabulary(spark, docs, words):
 
 def test_every_pair_that_shares_a_key_is_compared(spark, docs, words, monkeypatch):
     # all texts share all keys and are unlike, but for one pair that no centre is likely to meet
-    monkeypatch.setattr(neardup, "search_keys", lambda shingles: list(range(neardup.TABLES)))
+    monkeypatch.setattr(neardup, "search_keys", lambda least: list(range(neardup.TABLES)))
     monkeypatch.setattr(neardup, "ROUNDS", 1)
+    monkeypatch.setattr(neardup, "_by_fingerprint", lambda texts: texts.limit(0).selectExpr("digest as a", "digest as b"))
     texts = [" ".join(words(80, i)) for i in range(200)]
-    classes = neardup.sketches(texts[:1] + [texts[0] + " more"])
-    assert classes[0][1] == classes[1][1]
     table = [*enumerate(texts), (500, texts[123] + " more")]
-    rows = spark.createDataFrame([(f"d{i:03}", t) for i, t in table], "digest string, text string")
-    sketched = [(f"d{i:03}", *s) for (i, _), s in zip(table, neardup.sketches([t for _, t in table]), strict=True)]
-    made = spark.createDataFrame(sketched, "digest string, n_words int, search array<long>, whole array<long>")
-    found = {(r["node"], r["root"]) for r in neardup._connected(made, rows, 0.8).collect()}
+    sketched = [(f"d{i:03}", *s[:4], s[4].tolist()) for (i, _), s in zip(table, neardup.sketches([t for _, t in table]), strict=True)]
+    assert all(s[2] == sketched[0][2] for s in sketched)
+    made = spark.createDataFrame(sketched, neardup._SKETCH)
+    found = {(r["node"], r["root"]) for r in neardup._connected(made, made, 0.8).collect()}
     assert found == {("d500", "d123"), ("d123", "d123")}
+
+
+def _brute_classes(texts):
+    """The least id of each text's component by all pairs of shingle sets."""
+    sets, ids = Sets(texts), sorted(texts)
+    marks = {i: shingles(t) for i, t in texts.items()}
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            x, y = marks[i], marks[j]
+            if texts[i] == texts[j] or x and y and min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y) - 1e-9:
+                sets.join(i, j)
+    return {i: sets.find(i) for i in ids}
+
+
+def test_pair_recall_in_a_dense_group(spark, docs, words):
+    # a third of the table is copies of one text, each edited by itself to a similarity around the threshold and above
+    base, table = words(160, 1, 5000), {}
+    for i in range(400):
+        draw, own = random.Random(i), list(base)
+        for j in draw.sample(range(160), draw.choice([1, 2, 3, 4])):
+            own[j] = f"edit{i}x{j}"
+        table[i] = " ".join(own)
+    table |= {1000 + i: " ".join(words(160, 50 + i, 5000)) for i in range(400)}
+    found = {r["doc_id"]: r["class_key"] for r in neardup.near_duplicate_classes(docs(*table.items())).collect()}
+    wanted = _brute_classes(table)
+    together = [(i, j) for i in table for j in table if i < j and wanted[i] == wanted[j]]
+    assert sum(found[i] == found[j] for i, j in together) >= 0.99 * len(together) and len(together) > 50_000
+    assert all(wanted[i] == wanted[found[i]] for i in found)
+
+
+def test_classes_of_a_whole_table_against_brute_force(spark):
+    from compare import TINY
+
+    table = spark.read.parquet(f"{TINY}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in table.collect()}
+    found = {r["doc_id"]: r["class_key"] for r in neardup.near_duplicate_classes(table).collect()}
+    assert found == _brute_classes(texts)
+
+
+def test_finished_steps_leave_no_files(spark, docs, words, tmp_path, monkeypatch):
+    from quern.llm import storage
+
+    monkeypatch.setattr(storage, "scratch_root", lambda spark: str(tmp_path))
+    table = docs(*[(i, " ".join(words(60, i // 2))) for i in range(20)])
+    assert {r["class_key"] for r in neardup.near_duplicate_classes(table).collect()} == set(range(0, 20, 2))
+    left = {x.name.rsplit("-", 1)[0] for x in (tmp_path / "quern").iterdir()}
+    assert not left & {"sketches", "texts", "pairs", "judged", "shingles", "members", "sizes"} and "near-duplicates" in left
