@@ -8,6 +8,8 @@ each document's id and length, so any block can be decoded alone, without a loop
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -37,22 +39,24 @@ for _s, (_n, _b) in SELECTORS.items():
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, escape positions and escape values of a block of unsigned 64-bit ids. Each word takes as many ids as fit."""
-    ids = np.ascontiguousarray(ids, dtype=np.uint64)
+    """Words, escape positions and escape values of a block of unsigned ids. Each word takes as many ids as fit."""
+    ids = np.ascontiguousarray(ids).astype(np.uint64)
     n = len(ids)
     escapes = np.flatnonzero(ids > MAX_VALUE).astype(np.uint32)
     values = ids[escapes]
-    if len(escapes):
-        ids = ids.copy()
-        ids[escapes] = 0
-    selector = np.zeros(n, dtype=np.uint8)
-    at = np.arange(n)
-    for s in sorted(SELECTORS, reverse=True):  # ends with the selector that takes the most ids
-        count, bits = SELECTORS[s]
-        bad = np.where(ids >> np.uint64(bits) != 0, at, n) if bits < 60 else np.full(n, n)
-        run = np.minimum.accumulate(bad[::-1])[::-1]  # the next id that is too wide, or the end, after which zeros follow
-        selector[(run - at >= count) | (run == n)] = s
-    # where fewer ids are left than several selectors take, the narrowest of them that holds all is not needed: any ends the block
+    ids[escapes] = 0
+    bits = np.minimum(np.frexp(ids.astype(np.float64))[1], 60).astype(np.uint8)
+    selector = np.full(n, max(SELECTORS), dtype=np.uint8)
+    widest = int(bits.max()) if n else 0
+    for s in sorted(SELECTORS, reverse=True):  # ends with the selector that takes the most ids; zeros follow the last one
+        count, width = SELECTORS[s]
+        if width >= widest:
+            selector[:] = s
+            continue
+        wide = np.zeros(n + count + 1, dtype=np.int32)  # how many of the ids before each are too wide
+        np.cumsum(bits > width, out=wide[1 : n + 1])
+        wide[n + 1 :] = wide[n]
+        selector[wide[count : count + n] == wide[:n]] = s
     steps, i, starts = _COUNTS[selector].tolist(), 0, []
     while i < n:
         starts.append(i)
@@ -98,16 +102,17 @@ class BlockFile:
         self.stream.write(data)
         self.at += len(data)
 
-    def add(self, key: int | None, ids: np.ndarray) -> None:
-        self.keys.append(key)
-        self.lengths.append(len(ids))
+    def add(self, keys: list[int | None], lengths: list[int], ids: np.ndarray) -> None:
+        """Documents with their ids one after another."""
+        self.keys += keys
+        self.lengths += lengths
         self.held.append(ids)
         self.n_held += len(ids)
         if self.n_held >= BLOCK:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        ids = np.concatenate(self.held) if self.held else np.zeros(0, dtype=np.uint64)
+        ids = np.concatenate(self.held) if self.held else np.zeros(0, dtype=np.uint32)
         end = len(ids) if last else len(ids) - len(ids) % BLOCK
         for i in range(0, end, BLOCK):
             part = ids[i : min(i + BLOCK, end)]
@@ -170,79 +175,78 @@ class BlockIndex:
             left = whole[length:]
 
 
-def byte_alphabet() -> list[str]:
-    """The character that stands for each byte in byte-level BPE: printable ones for themselves, the rest from U+0100 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b if b in plain else next(spare)) for b in range(256)]
-
-
 class Encoder:
-    """Ids of whole texts from a byte-level BPE file of the tokenizers library, equal to its
-    `encode(text, add_special_tokens=False)`. Texts that hold an added token of the file, such as a marker of a text's end,
-    are left to the library, which gives it its own id.
+    """Ids of whole texts by the tokenizers library, equal to its `encode(text, add_special_tokens=False)`, markers of a text's
+    end and other added tokens included.
 
-    The library's model encodes each distinct piece once; a text is cut at single spaces between two other characters,
-    where the pre-tokenizer never joins, and the pieces' ids are kept in a bounded cache."""
+    A text is cut at single spaces between two other characters, and a mark that follows ASCII letters at a piece's end is
+    cut off: there a byte-level pre-tokenizer always starts a new word, and no added token reaches across. The library
+    encodes each distinct piece once, with the space before it, and its ids are kept in a bounded cache. With a tokenizer file
+    for which that does not hold, it encodes texts as they are."""
 
-    #: Pieces and words kept; a cache starts anew beyond its bound.
-    PIECES, WORDS = 400_000, 800_000
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    #: Pieces kept, and characters of a piece that is kept; the cache starts anew beyond its bound.
+    PIECES, LONGEST = 800_000, 64
+    MARKS = ".,!?;:"
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker on each core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pattern = regex.compile(self.PATTERN)
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        cutter, added = rules.get("pre_tokenizer") or {}, rules.get("added_tokens", [])
+        plain = not any(rules.get(k) for k in ("normalizer", "truncation", "padding", "post_processor")) and not rules["model"].get("dropout")
+        marked = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s|^\w|\w$|^[.,!?;:]", t["content"])) for t in added)
+        self.cuts = plain and marked and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True)
         self.cut = regex.compile(r"(?<=\S) (?=\S)")
-        self.bytes = {i: c for i, c in enumerate(byte_alphabet())}
-        self.pieces: dict[str, bytes] = {}  # ids of a piece with a space before it
-        self.words: dict[str, bytes] = {}  # ids of a pre-token
-
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bytes)
-            found = self.words[word] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        return found
-
-    def _piece(self, piece: str) -> bytes:
-        if piece[0] == " " and max(piece) < "\u0250":  # letters there are letters in any version of Unicode
-            if piece[1:].isalpha():
-                return self._word(piece)
-            if piece[-1] in ".,!?;:" and piece[1:-1].isalpha():
-                return self._word(piece[:-1]) + self._word(piece[-1])
-        return b"".join(map(self._word, self.pattern.findall(piece)))
-
-    def _join(self, pieces: list[str], cut: bool) -> bytes | None:
-        """The ids of pieces that single spaces divide; None where a piece not known yet has white space at such a space."""
-        known, last = self.pieces, len(pieces) - 1
-        found = list(map(known.get, pieces))
-        if last and not cut and (not pieces[0] or pieces[0][-1].isspace()):
-            return None
-        found[0] = self._piece(pieces[0]) if pieces[0] else b""
-        for i in [i for i, ids in enumerate(found) if ids is None]:
+        self.known: dict[str, bytes] = {}  # ids of a piece with a space before it
+        self.marks = dict(zip(self.MARKS, self._library(list(self.MARKS)), strict=True)) | {"": b""}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _look_up(self, text: str) -> tuple[list[str], list[bytes | None]]:
+        """The pieces of a text without the spaces between them, and the ids of those that are known. These have no white space
+        at their ends, so only the others can be wrong cuts."""
+        pieces = text.split(" ")
+        ids, last = list(map(self.known.get, pieces)), len(pieces) - 1
+        for i in [i for i, x in enumerate(ids) if x is None]:
             piece = pieces[i]
-            if not cut and (not piece or piece[0].isspace() or i < last and piece[-1].isspace()):
-                return None
-            ids = self._piece(" " + piece)
-            if i < last or not piece[-1].isspace():
-                known[piece] = ids
-            found[i] = ids
-        return b"".join(found)
-
-    def encode(self, text: str) -> bytes:
-        """The ids as unsigned 32-bit integers in the machine's order."""
-        if any(map(text.__contains__, self.added)):
-            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self.pieces) > self.PIECES:
-            self.pieces.clear()
-        if len(self.words) > self.WORDS:
-            self.words.clear()
-        found = self._join(text.split(" "), False)
-        return self._join(self.cut.split(text), True) if found is None else found
+            if not piece or i and piece[0].isspace() or i < last and piece[-1].isspace():
+                pieces = self.cut.split(text)
+                return pieces, list(map(self.known.get, pieces))
+        return pieces, ids
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as unsigned 32-bit integers in the machine's order."""
+        if not self.cuts:
+            return self._library(texts)
+        known, fresh, todo, rows = self.known, {}, [], []
+        if len(known) > self.PIECES:
+            known.clear()
+        for text in texts:
+            pieces, ids = self._look_up(text)
+            ids[0] = None  # no space stands before it
+            for i in [i for i, x in enumerate(ids) if x is None]:
+                piece, mark = pieces[i], ""
+                if i and piece[-1] in self.MARKS and piece[:-1].isalpha() and piece.isascii():
+                    piece, mark = piece[:-1], piece[-1]
+                asked = f" {piece}" if i else piece
+                stem = known.get(piece) if i else None
+                if stem is None:
+                    fresh[asked] = None
+                todo.append((ids, i, pieces[i], asked, stem, mark))
+            rows.append(ids)
+        fresh = dict(zip(fresh, self._library(list(fresh)), strict=True))
+        for ids, i, piece, asked, stem, mark in todo:
+            stem = fresh[asked] if stem is None else stem
+            ids[i] = stem + self.marks[mark]
+            if i and len(piece) <= self.LONGEST and not (piece[0].isspace() or piece[-1].isspace()):
+                known[piece] = ids[i]
+                if mark:
+                    known[piece[:-1]] = stem
+        return [b"".join(ids) for ids in rows]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -273,15 +277,15 @@ class TokenWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenTokens | None:
         fs, root = open_fs(self.path)
         fs.create_dir(root, recursive=True)
-        part, encode = TaskContext.get().partitionId(), encoder(self.tokenizer).encode
-        name, end, file, tokens = f"{part:06d}-{uuid.uuid4().hex}.s8b", np.array([self.end], dtype=np.uint64), None, 0
+        part, encode = TaskContext.get().partitionId(), encoder(self.tokenizer).encode_batch
+        name, end, tokens = f"{part:06d}-{uuid.uuid4().hex}.s8b", array("I", [self.end]).tobytes(), 0
         with fs.open_output_stream(f"{root}/{name}") as out:
             file = BlockFile(out)
             for batch in iterator:
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = np.concatenate([np.frombuffer(encode(text or ""), dtype=np.uint32).astype(np.uint64), end])
-                    tokens += len(ids)
-                    file.add(key, ids)
+                found = encode([t or "" for t in batch.column(1).to_pylist()])
+                ids = np.frombuffer(end.join([*found, b""]), dtype=np.uint32)
+                file.add(batch.column(0).to_pylist(), [len(x) // 4 + 1 for x in found], ids)
+                tokens += len(ids)
             file.close()
         return WrittenTokens(part, name, len(file.keys), tokens)
 

@@ -21,9 +21,7 @@ def trie():
 
 @pytest.fixture(scope="module")
 def library():
-    found = Tokenizer.from_file(BPE)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(BPE)  # at its default setting
 
 
 def brute(token, scores, unknown):
@@ -87,10 +85,27 @@ def test_packing_density():
     assert len(words) == 1000
 
 
+def encoded(*texts):
+    return [np.frombuffer(x, np.uint32).tolist() for x in tokenfiles.encoder(BPE).encode_batch(list(texts))]
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="ab 1 \n\t'.,sé日\x85\xa0\x1f²Ⅷ_<|", max_size=40))
-def test_encoder_equals_the_library(library, text):
-    assert np.frombuffer(tokenfiles.encoder(BPE).encode(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+@given(st.lists(st.text(alphabet="ab 1 \n\t'.,sé日\x85\xa0\x1f²Ⅷ_<|", max_size=40), max_size=4))
+def test_encoder_equals_the_library(library, texts):
+    assert encoded(*texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_query_against_the_library(spark, library):
+    from compare import TINY
+
+    from quern.llm.queries import op5_token_files
+
+    want, at = [], 0
+    for r in sorted(spark.read.parquet(f"{TINY}/documents.parquet").collect(), key=lambda r: r["doc_id"]):
+        ids = np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((r["doc_id"], at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, op5_token_files(spark, TINY).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == want
 
 
 def test_files_of_odd_texts(spark, odd, library):
@@ -119,8 +134,15 @@ def test_ids_can_be_read(spark, docs, library):
     assert found[1] == [*library.encode("hello world").ids, 50_256] and len(found[2]) > 70_000
 
 
-def test_added_tokens_have_their_ids():
-    library = Tokenizer.from_file(BPE)  # at its default setting
-    for text in ("hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|> b\n", "a <|endoftext| b"):
-        assert np.frombuffer(tokenfiles.encoder(BPE).encode(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(tokenfiles.encoder(BPE).encode("hello <|endoftext|> world"), np.uint32).tolist() == [31373, 220, 50256, 995]
+def test_added_tokens_have_their_ids(library):
+    texts = ("hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|> b\n", "a <|endoftext| b", "x <|endoftext|>  <|endoftext|> y")
+    assert encoded(*texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoded("hello <|endoftext|> world") == [[31373, 220, 50256, 995]]
+
+
+def test_files_with_other_rules_are_left_to_the_library():
+    other = public_tokenizers.path("word_bpe_49k.json")
+    own, library = tokenfiles.Encoder(other), Tokenizer.from_file(other)
+    assert not own.cuts
+    for text in ("Hello  World <|endoftext|> again", "", " a b "):
+        assert np.frombuffer(own.encode_batch([text])[0], np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
