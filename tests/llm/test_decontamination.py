@@ -78,8 +78,9 @@ def test_odd_rows(spark, odd):
     clash = odd.withColumns({"words": F.lit("clash"), "n": F.lit(1), "key": F.lit("k")})
     found = sorted(((r["doc_id"], r["item_id"], r["similarity"]) for r in dc.find_leaks(clash, benchmark).collect()), key=repr)
     assert found == [(4, 2, 1.0), (5, 1, 1.0), (6, 1, 1.0), (None, None, 1.0)]
-    kept = dc.remove_leaks(clash, benchmark)
-    assert {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 7, 8, 9, 10} and kept.columns == clash.columns
+    kept = dc.remove_leaks(clash.withColumn("row", F.lit("own")), benchmark)
+    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert {r[0] for r in rows} == {None, 1, 2, 3, 7, 8, 9, 10} and (None, None) in rows and len(rows) == 8 and kept.columns == [*clash.columns, "row"]
     assert dc.find_leaks(odd.limit(0), benchmark).count() == 0 and dc.find_leaks(odd, benchmark.limit(0)).count() == 0
     assert dc.remove_leaks(odd, benchmark.limit(0)).count() == odd.count()
 
@@ -108,6 +109,31 @@ def test_a_shuffled_scan_gives_the_same(spark, odd, monkeypatch):
     assert {r["doc_id"] for r in dc.find_leaks(odd, benchmark).collect()} == {None, 5, 6}
 
 
+def test_parts_in_another_order_are_found(spark, docs, words):
+    items, table = [(i, " ".join(words(n, 90 + i))) for i, n in enumerate([60, 80, 100, 120])], []
+    for i in range(24):
+        text, own = words(200 + 90 * i, 3000 + i, 9000), items[i % 4][1].split()
+        half, third = len(own) // 2, len(own) // 3
+        own = [own[half:] + own[:half], own[2 * third :] + own[:third] + own[third : 2 * third], own[third : 2 * third] + own[:third] + own[2 * third :]][i // 4 % 3]
+        text[40 + 80 * i : 40 + 80 * i] = own
+        table.append((i, " ".join(text)))
+    want = brute(table, items)
+    assert len(want) >= 18 and found_in(docs(*table), spark.createDataFrame(items, "item_id long, text string")) == want
+
+
+def test_radius_loses_no_window_at_the_threshold(spark, words):
+    # windows with as many edits at their ends as the similarity allows: within the radius
+    rows = []
+    for i in range(300):
+        n = 14 + i % 120
+        own = words(n, 4000 + i, 9000)
+        out = (n - 4) - dc.least_matches(n - 4, 0.8)
+        rows.append((own, words(out, 9000 + i, 9000) + own[: n - out]))
+    table = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    gaps = [r[0] for r in table.select(F.bit_count(dc.simhash_of(F.col("a")).bitwiseXOR(dc.simhash_of(F.col("b"))))).collect()]
+    assert sum(g > dc.RADIUS for g in gaps) <= 1
+
+
 @pytest.mark.parametrize("n", [5, 9, 13, 14, 20, 36, 56, 200])
 def test_the_stride_is_safe(n):
     step = dc.safe_stride(range(max(1, int(0.8 * n)), n + 1), 0.8)
@@ -119,5 +145,9 @@ def test_fingerprint_equals_a_loop(spark):
     words = ["a", "b", "a", "c", "dd"]
     hashes = [r["h"] % 2**64 for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").alias("h")).collect()]
     want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-    got = spark.createDataFrame([(words,)], "w array<string>").select(dc.simhash_of(F.col("w"))).first()[0]
-    assert got % 2**64 == want
+    for wide in (False, True):
+        got = spark.createDataFrame([(words,)], "w array<string>").select(dc.simhash_of(F.col("w"), wide)).first()[0]
+        assert got % 2**64 == want
+    many = ["a"] * 70_000 + ["b"] * 69_999
+    a, got = spark.createDataFrame([(many,)], "w array<string>").select(F.xxhash64(F.col("w")[0]), dc.simhash_of(F.col("w"), True)).first()
+    assert got == a
