@@ -118,6 +118,18 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@contextmanager
+def few_rows(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, Python gets rows one by one: for tables whose rows are megabytes each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def in_key_order(df: DataFrame, key: str, tie: Column) -> DataFrame:
     """`df` in ascending key order (nulls first, then `tie`) over partitions 0, 1, ..., with one shuffle and a scan of the key."""
     bounds = range_bounds(df, key, shuffle_partitions(df.sparkSession))
