@@ -185,20 +185,6 @@ def test_near_pair_among_unlike_texts_of_one_vocabulary(spark, docs, words):
     assert found == {i: i for i in range(150)} | {500: 70}
 
 
-def test_every_pair_that_shares_a_key_is_compared(spark, docs, words, monkeypatch):
-    # all texts share all keys and are unlike, but for one pair that no centre is likely to meet
-    monkeypatch.setattr(neardup, "search_keys", lambda least: list(range(neardup.TABLES)))
-    monkeypatch.setattr(neardup, "ROUNDS", 1)
-    monkeypatch.setattr(neardup, "_by_fingerprint", lambda texts: texts.limit(0).selectExpr("digest as a", "digest as b"))
-    texts = [" ".join(words(80, i)) for i in range(200)]
-    table = [*enumerate(texts), (500, texts[123] + " more")]
-    sketched = [(f"d{i:03}", *s[:4], s[4].tolist()) for (i, _), s in zip(table, neardup.sketches([t for _, t in table]), strict=True)]
-    assert all(s[2] == sketched[0][2] for s in sketched)
-    made = spark.createDataFrame(sketched, neardup._SKETCH)
-    found = {(r["node"], r["root"]) for r in neardup._connected(made, made, 0.8).collect()}
-    assert found == {("d500", "d123"), ("d123", "d123")}
-
-
 def _brute_classes(texts):
     """The least id of each text's component by all pairs of shingle sets."""
     sets, ids = Sets(texts), sorted(texts)
@@ -227,6 +213,31 @@ def test_pair_recall_in_a_dense_group(spark, docs, words):
     assert all(wanted[i] == wanted[found[i]] for i in found)
 
 
+def test_pairs_among_texts_with_a_passage_in_common(spark, docs, words, monkeypatch):
+    # unlike texts share most of their shingles' least; pairs hidden among them are found, and rows stay linear
+    tried = []
+    own = neardup._by_keys
+    monkeypatch.setattr(neardup, "_by_keys", lambda members: tried.append(own(members)) or tried[-1])
+    counted = neardup.discard
+    monkeypatch.setattr(neardup, "discard", lambda *tables: counted(*[t for t in tables if t not in tried]))
+    rows, table = {}, {}
+    for n in (600, 1800):
+        passage = words(110, 7, 5000)
+        table = {i: " ".join(words(50, 100 + i, 5000) + passage) for i in range(n)}
+        for i in range(40):
+            near = table[i].split()
+            for j in random.Random(i).sample(range(50), 3):
+                near[j] = f"edit{i}x{j}"
+            table[10_000 + i] = " ".join(near)
+        found = {r["doc_id"]: r["class_key"] for r in neardup.near_duplicate_classes(docs(*table.items())).collect()}
+        likeness = {i: len(shingles(table[i]) & shingles(table[10_000 + i])) / len(shingles(table[i]) | shingles(table[10_000 + i])) for i in range(40)}
+        wanted = [i for i in range(40) if likeness[i] >= 0.8]
+        assert len(wanted) > 30 and sum(found[i] == found[10_000 + i] for i in wanted) >= 0.95 * len(wanted)
+        assert all(found[i] == i for i in range(40, n))
+        rows[n] = tried[-1].count()
+    assert rows[1800] < 5 * rows[600]
+
+
 def test_classes_of_a_whole_table_against_brute_force(spark):
     from compare import TINY
 
