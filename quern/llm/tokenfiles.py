@@ -175,14 +175,32 @@ class BlockIndex:
             left = whole[length:]
 
 
+class WrongCut(Exception):
+    """White space stands beside a space at which a text was cut."""
+
+
+class _Pieces(dict):
+    """Ids of pieces, found by an encoder when they are first asked for."""
+
+    def __init__(self, encoder: Encoder, space: str):
+        super().__init__()
+        self.encoder, self.space = encoder, space
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encoder.piece(piece, self.space, self)
+        if len(piece) <= Encoder.LONGEST:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, equal to its `encode(text, add_special_tokens=False)`, markers of a text's
     end and other added tokens included.
 
-    A text is cut at single spaces between two other characters, and a mark that follows ASCII letters at a piece's end is
-    cut off: there a byte-level pre-tokenizer always starts a new word, and no added token reaches across. The library
-    encodes each distinct piece once, with the space before it, and its ids are kept in a bounded cache. With a tokenizer file
-    for which that does not hold, it encodes texts as they are."""
+    A text is cut where a byte-level pre-tokenizer always starts a new word and no added token reaches across: at single
+    spaces and line ends between two other characters, and between ASCII letters and a mark. The library encodes each
+    distinct piece once (its model alone where a piece is of ASCII letters, which are one word), with the space before it,
+    and its ids are kept in a bounded cache. With a tokenizer file for which that does not hold, it encodes texts as they are."""
 
     #: Pieces kept, and characters of a piece that is kept; the cache starts anew beyond its bound.
     PIECES, LONGEST = 800_000, 64
@@ -198,55 +216,50 @@ class Encoder:
         cutter, added = rules.get("pre_tokenizer") or {}, rules.get("added_tokens", [])
         plain = not any(rules.get(k) for k in ("normalizer", "truncation", "padding", "post_processor")) and not rules["model"].get("dropout")
         marked = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s|^\w|\w$|^[.,!?;:]", t["content"])) for t in added)
-        self.cuts = plain and marked and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True)
+        self.cuts = plain and marked and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
         self.cut = regex.compile(r"(?<=\S) (?=\S)")
-        self.known: dict[str, bytes] = {}  # ids of a piece with a space before it
-        self.marks = dict(zip(self.MARKS, self._library(list(self.MARKS)), strict=True)) | {"": b""}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _look_up(self, text: str) -> tuple[list[str], list[bytes | None]]:
-        """The pieces of a text without the spaces between them, and the ids of those that are known. These have no white space
-        at their ends, so only the others can be wrong cuts."""
+        self.spaced, self.bare = _Pieces(self, " "), _Pieces(self, "")
+        if self.cuts:
+            self.model, self.letter = self.library.model, self.library.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]  # what stands for a space
+            self.marks = {m: self._library(m) for m in (*self.MARKS, "\n")}
+
+    def _library(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: str, space: str, alike: _Pieces) -> bytes:
+        if piece.isascii() and piece.isalpha():
+            return array("I", [t.id for t in self.model.tokenize(self.letter + piece if space else piece)]).tobytes()
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise WrongCut
+        if piece[-1] in self.MARKS and piece.isascii() and piece[:-1].isalpha():
+            return alike[piece[:-1]] + self.marks[piece[-1]]
+        line, _, more = piece.partition("\n")
+        if more and not line[-1].isspace() and not more[0].isspace():
+            return alike[line] + self.marks["\n"] + self.bare[more]
+        return self._library(space + piece)
+
+    def encode(self, text: str) -> bytes:
+        """The ids as unsigned 32-bit integers in the machine's order."""
+        if not self.cuts:
+            return self._library(text)
+        if len(self.spaced) + len(self.bare) > self.PIECES:
+            self.spaced.clear()
+            self.bare.clear()
         pieces = text.split(" ")
-        ids, last = list(map(self.known.get, pieces)), len(pieces) - 1
-        for i in [i for i, x in enumerate(ids) if x is None]:
-            piece = pieces[i]
-            if not piece or i and piece[0].isspace() or i < last and piece[-1].isspace():
-                pieces = self.cut.split(text)
-                return pieces, list(map(self.known.get, pieces))
-        return pieces, ids
+        try:
+            return self.bare[pieces[0]] + b"".join(map(self.spaced.__getitem__, pieces[1:]))
+        except WrongCut:
+            return b"".join(self._any(p, i > 0) for i, p in enumerate(self.cut.split(text)))
+
+    def _any(self, piece: str, inner: bool) -> bytes:
+        """The ids of a piece that may have white space at an end of the text."""
+        try:
+            return (self.spaced if inner else self.bare)[piece]
+        except WrongCut:
+            return self._library(f" {piece}" if inner else piece)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as unsigned 32-bit integers in the machine's order."""
-        if not self.cuts:
-            return self._library(texts)
-        known, fresh, todo, rows = self.known, {}, [], []
-        if len(known) > self.PIECES:
-            known.clear()
-        for text in texts:
-            pieces, ids = self._look_up(text)
-            ids[0] = None  # no space stands before it
-            for i in [i for i, x in enumerate(ids) if x is None]:
-                piece, mark = pieces[i], ""
-                if i and piece[-1] in self.MARKS and piece[:-1].isalpha() and piece.isascii():
-                    piece, mark = piece[:-1], piece[-1]
-                asked = f" {piece}" if i else piece
-                stem = known.get(piece) if i else None
-                if stem is None:
-                    fresh[asked] = None
-                todo.append((ids, i, pieces[i], asked, stem, mark))
-            rows.append(ids)
-        fresh = dict(zip(fresh, self._library(list(fresh)), strict=True))
-        for ids, i, piece, asked, stem, mark in todo:
-            stem = fresh[asked] if stem is None else stem
-            ids[i] = stem + self.marks[mark]
-            if i and len(piece) <= self.LONGEST and not (piece[0].isspace() or piece[-1].isspace()):
-                known[piece] = ids[i]
-                if mark:
-                    known[piece[:-1]] = stem
-        return [b"".join(ids) for ids in rows]
+        return list(map(self.encode, texts))
 
 
 _ENCODERS: dict[str, Encoder] = {}
