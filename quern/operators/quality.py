@@ -100,10 +100,15 @@ def link_counts(sales: DataFrame, customers: DataFrame, products: DataFrame, wea
     )
 
 
+def names_with_digits(products: DataFrame) -> DataFrame:
+    """One row: products whose name still holds a digit, and all."""
+    return products.agg(F.count_if(F.coalesce(F.col("product_name").rlike(r"\d"), F.lit(False))).alias("with_digit"), F.count(F.lit(1)).alias("products"))
+
+
 def metrics(cleaned: Mapping[str, DataFrame], rejected: DataFrame, limits: Thresholds) -> dict[str, dict]:
     customers, products, sales, weather = (cleaned[k] for k in ("customers", "products", "sales", "weather_daily"))
     c = _count(customers, null_id=F.col("customer_id").isNull())
-    p = _count(products, null_id=F.col("product_id").isNull(), invalid_price=F.col("price") <= 0, digits=F.col("product_name").rlike(r"\d"))
+    p = _count(products, null_id=F.col("product_id").isNull(), invalid_price=F.col("price") <= 0) | {"digits": names_with_digits(products).first()["with_digit"]}
     s = _count(sales, null_id=F.col("sale_id").isNull(), invalid_qty=F.col("quantity").isNull() | (F.col("quantity") <= 0), invalid_disc=F.col("discount").isNull() | ~F.col("discount").between(0, 100))
     w = _count(weather, null_date=F.col("date").isNull(), neg_precip=F.col("precip_mm") < 0)
     n_rejected = rejected.count()
@@ -130,36 +135,37 @@ def metrics(cleaned: Mapping[str, DataFrame], rejected: DataFrame, limits: Thres
     }
 
 
+#: Blocking failures: their words, and block and name of the metric that must be 0 (fixed values, in reporting order).
+BLOCKING = (
+    ("null sale_id after cleaning", "sales", "null_sale_id"), ("duplicated sale_id after cleaning", "sales", "dup_sale_id"),
+    ("null customer_id after cleaning", "customers", "null_customer_id"), ("duplicated customer_id", "customers", "dup_customer_id"),
+    ("null product_id after cleaning", "products", "null_product_id"), ("duplicated product_id", "products", "dup_product_id"),
+    ("orphan customer_id in sales", "sales", "unknown_cust_fk"), ("orphan product_id in sales", "sales", "unknown_prod_fk"),
+)
+
+
 def failures_of(m: Mapping[str, dict], contracts: list[str]) -> list[str]:
-    """Blocking failures in their fixed order: eight of integrity, then the contracts."""
-    c, p, s = m["customers"], m["products"], m["sales"]
-    counts = [
-        ("null sale_id after cleaning", s["null_sale_id"]), ("duplicated sale_id after cleaning", s["dup_sale_id"]), ("null customer_id after cleaning", c["null_customer_id"]),
-        ("duplicated customer_id", c["dup_customer_id"]), ("null product_id after cleaning", p["null_product_id"]), ("duplicated product_id", p["dup_product_id"]),
-        ("orphan customer_id in sales", s["unknown_cust_fk"]), ("orphan product_id in sales", s["unknown_prod_fk"]),
-    ]
-    return [f"{text} ({n})" for text, n in counts if n] + contracts
+    """Blocking failures in their fixed order: those of integrity, then the contracts."""
+    return [f"{text} ({m[block][name]})" for text, block, name in BLOCKING if m[block][name]] + contracts
 
 
 def warnings_of(m: Mapping[str, dict]) -> list[str]:
-    """What does not block but should be seen."""
+    """What does not block but should be seen: rates on the wrong side of their limits, and rows that lack something."""
     p, s, w = m["products"], m["sales"], m["weather"]
 
-    def pct(x: float) -> str:
-        return f"{x * 100:.2f}%"
-
-    out = []
-    if (rate := s["reject_rate"]) > (top := s["max_reject_rate"]):
-        out.append(f"high reject rate ({pct(rate)}) above configured threshold ({pct(rate)} > {pct(top)})")
-    if (rate := w["unknown_city_rate"]) > (top := w["max_unknown_city_rate"]):
-        out.append(f"{w['sales_with_unknown_city']} clean sales rows with unknown customer city (rate={pct(rate)}) above configured threshold ({pct(rate)} > {pct(top)})")
-    if n := w["sales_with_no_weather_match"]:
-        out.append(f"{n} clean sales rows without weather match among sales with known city (coverage={pct(w['weather_coverage_rate'])})")
-    if (rate := w["price_coverage_rate"]) < (least := w["min_valid_price_coverage"]):
-        out.append(f"{w['missing_valid_price_rows']} clean sales rows without valid product price (coverage={pct(rate)}) below configured threshold ({pct(rate)} < {pct(least)})")
-    if n := p["digits_in_name"]:
-        out.append(f"{n} product_name values still contain digits")
-    return out
+    def beyond(text: str, rate: float, least: float, most: float) -> list[str]:
+        return [] if least <= rate <= most else [f"{text}: {rate:.2%}, where {f'at most {most:.2%}' if rate > most else f'at least {least:.2%}'} is expected"]
+
+    def some(n: int, text: str) -> list[str]:
+        return [f"{n} {text}"] if n else []
+
+    return [
+        *beyond("sales rejected", s["reject_rate"], 0, s["max_reject_rate"]),
+        *beyond(f"clean sales whose customer has no known city ({w['sales_with_unknown_city']})", w["unknown_city_rate"], 0, w["max_unknown_city_rate"]),
+        *some(w["sales_with_no_weather_match"], f"clean sales in a known city have no weather (coverage {w['weather_coverage_rate']:.2%})"),
+        *beyond(f"clean sales with a valid product price ({w['missing_valid_price_rows']} have none)", w["price_coverage_rate"], w["min_valid_price_coverage"], 1),
+        *some(p["digits_in_name"], "product names still have digits"),
+    ]
 
 
 def quality_report(cleaned: Mapping[str, DataFrame], rejected: DataFrame, limits: Thresholds = Thresholds(), fail_on_critical: bool = True) -> dict:  # noqa: B008

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 import logging.handlers
-import shutil
+import sys
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.operators import cleaning
 from quern.operators.profile import profile_all
 from quern.operators.quality import QualityGateError, Thresholds, quality_report
-from quern.plans import lineage, star
-from quern.plans.alerts import send_alert
+from quern.plans import lineage, staging, star
+from quern.plans.alerts import Alert, tell
 from quern.sources import tables
 from quern.sources.settings import get_settings, normalization
 from quern.sources.weather import fetch_weather, http_get
@@ -44,9 +44,10 @@ class Outcome:
     report: dict = field(default_factory=dict)
 
 
-def transform(raw: Mapping[str, DataFrame], settings: Mapping, hooks: Hooks | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Silver tables and rejected sales, all lazy: customers and products first, as sales refer to both."""
-    hooks = hooks or Hooks()
+def transform(raw: Mapping[str, DataFrame], settings: Mapping | None = None, hooks: Hooks | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Silver tables and rejected sales, all lazy: customers and products first, as sales refer to both. Without settings,
+    those of the configuration hold."""
+    settings, hooks = settings or get_settings(), hooks or Hooks()
     cities, categories, leet = normalization(settings)
     customers, products = hooks.customers(raw["customers"], cities), hooks.products(raw["products"], categories, leet)
     judged = hooks.judge(raw["sales"], customers, products)
@@ -66,63 +67,77 @@ def install_log(settings: Mapping) -> logging.Logger:
     return root
 
 
-def remove_staging(path: str | Path, root: str | Path) -> bool:
-    """Delete a staging folder, only if it lies strictly below the staging root."""
-    target, top = Path(path).resolve(), Path(root).resolve()
-    if target == top or top not in target.parents:
-        log.warning("not removing %s: it is not below %s", target, top)
-        return False
-    shutil.rmtree(target, ignore_errors=True)
-    return True
-
-
-def run_pipeline(spark: SparkSession, settings: Mapping | None = None, use_weather_service: bool = False, hooks: Hooks | None = None, get: Callable = http_get, single: bool = True) -> Outcome:
-    """One full refresh. Silver is saved before the gate, so a failed run can be looked into; gold is written only after its
-    invariants hold. The lineage report is written in any case, and errors are raised again after it."""
+def run_pipeline(spark: SparkSession, settings: Mapping | None = None, use_weather_service: bool = False, hooks: Hooks | None = None, get: Callable = http_get, single: bool = False, database: str | None = None) -> Outcome:
+    """One full refresh. Silver is saved before the gate, so a failed run can be looked into. Gold is computed once into a
+    staging folder and checked there; what was checked is exported, and with a `database` its tables are refreshed, too. The
+    lineage report is written in any case, and errors are raised again after it. `single`: exports of one part file each."""
     settings, hooks = settings or get_settings(), hooks or Hooks()
-    out, stages, started, run_id = Outcome(), lineage.Stages(), lineage.utc_now(), lineage.new_run_id()
-    facts: dict = {"fetch_weather": use_weather_service}
-    status, error = "failed", None
+    out, story, fault = Outcome(), lineage.RunLog(), None
+    story.figures["fetch_weather"] = use_weather_service
+    paths, root = tables.source_paths(settings), f"{settings['paths']['silver_dir'].rstrip('/')}/_staged"
     try:
-        paths = tables.source_paths(settings)
         if use_weather_service:
-            with stages.timed("extract_weather"):
-                tables.write_table(fetch_weather(spark, settings, get), paths["weather_daily"], "csv")
+            with story.stage("extract_weather"):
+                tables.write_table(fetch_weather(spark, settings, get), paths["weather_daily"], "csv", single=True)
         elif not tables.exists(spark, paths["weather_daily"]):
             raise FileNotFoundError(f"{paths['weather_daily']} is needed when the weather service is not used")
-        with stages.timed("extract"):
+        with story.stage("extract"):
             raw = tables.read_sources(spark, paths)
-            facts["extracted"] = {name: df.count() for name, df in raw.items()}
-        with stages.timed("profile"):
+        with story.stage("profile"):
             profile_all({name: df.drop(cleaning.ORDINAL) for name, df in raw.items()})
-        with stages.timed("transform"):
+        with story.stage("transform"):
             cleaned, rejected = transform(raw, settings, hooks)
             hooks.save(cleaned, rejected, settings, single)
             # what follows reads the saved tables: each was computed once, and a lost executor costs a read
             out.cleaned = tables.read_silver(spark, settings)
-            out.rejected = spark.read.csv(tables.artifact_paths(settings)["rejected_sales"], header=True, schema=rejected.schema)
-            facts["cleaned"], facts["rejected"] = {n: df.count() for n, df in out.cleaned.items()}, {"sales": out.rejected.count()}
-        with stages.timed("quality"):
-            facts["quality"] = hooks.checks(out.cleaned, out.rejected, Thresholds(**settings["quality"]))
-        with stages.timed("load"):
+            out.rejected = tables.read_rejected(spark, tables.artifact_paths(settings)["rejected_sales"], rejected.schema)
+            story.count(lineage.accounts(raw, out.cleaned, {"sales": out.rejected}))
+            for name, n in story.figures["rows"]["cleaned"].items():
+                log.info("cleaned %s: %s rows, %s columns", name, n, len(out.cleaned[name].columns))
+        with story.stage("quality"):
+            story.figures["quality"] = hooks.checks(out.cleaned, out.rejected, Thresholds(**settings["quality"]))
+        with story.stage("load"):
             limits = settings["analytics"]["buckets"]
-            out.gold = star.build(out.cleaned, star.Buckets(**limits["rain"], **limits["temperature"]))
+            gold = star.build(out.cleaned, star.Buckets(**limits["rain"], **limits["temperature"]))
+            folder = staging.stage({t: gold[t] for t in tables.STAR}, root, story.run_id)
+            out.gold = staging.staged(spark, folder, tables.STAR)
+            staging.stage({tables.MART: star.mart_of(out.gold)}, root, story.run_id)
+            out.gold |= staging.staged(spark, folder, (tables.MART,))
             star.require(out.gold)
             tables.save_gold(out.gold, settings, single)
+            if database is not None:
+                tables.publish_tables(out.gold, database)
+            if exported := tables.read_gold(spark, settings):  # else the staged tables are the only ones in Parquet
+                out.gold = exported
+                staging.unstage(spark, folder, root)
             out.preview = tables.preview(out.gold[tables.MART])
-            facts["mart"] = {"rows": out.preview["rows"], "columns": out.preview["columns"]}
-        status = "passed"
+            story.figures["mart"] = {k: out.preview[k] for k in ("rows", "columns")}
     except Exception as e:
-        error = {"type": type(e).__name__, "message": str(e)}
-        if isinstance(e, QualityGateError):
-            facts["quality"] = e.report
-        send_alert("Pipeline failed", "A run did not finish.", "critical" if isinstance(e, QualityGateError) else "high", {"run_id": run_id, "error_type": error["type"], "error_message": error["message"]})
+        fault, blocked = e, isinstance(e, QualityGateError)
+        if blocked:
+            story.figures["quality"] = e.report
+        tell(Alert("Pipeline failed", "A run did not finish.", "critical" if blocked else "high", {"run_id": story.run_id, "error": f"{type(e).__name__}: {e}"}))
         raise
     finally:
         try:
-            artifacts = {"inputs": {n: lineage.fingerprint(p) for n, p in tables.source_paths(settings).items()}, "final_outputs": {n: lineage.fingerprint(p) for n, p in tables.artifact_paths(settings).items()}}
-            out.report = lineage.lineage_report(run_id, status, started, lineage.utc_now(), stages=stages.found, artifacts=artifacts, error=error, **facts)
-            lineage.write_report(out.report, settings["paths"].get("lineage_dir", "logs/lineage"))
+            story.marks = lineage.marks(spark, inputs=paths, final_outputs=tables.artifact_paths(settings))
+            out.report = story.report(fault)
+            lineage.keep(spark, out.report, settings["paths"].get("lineage_dir", "logs/lineage"))
         except Exception:
             log.exception("the lineage report was not written")
     return out
+
+
+def main() -> None:
+    """`python -m quern.plans.run [settings file]`: one refresh from the files there are, logged to a rotating file."""
+    from quern.session import build_session
+
+    settings = get_settings(sys.argv[1] if len(sys.argv) > 1 else None)
+    install_log(settings)
+    spark = build_session("quern")
+    run_pipeline(spark, settings)
+    spark.stop()
+
+
+if __name__ == "__main__":
+    main()

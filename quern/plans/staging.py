@@ -1,18 +1,23 @@
-"""Staged tables between scheduled tasks: one folder for each run, below one root, removed when the run is over."""
+"""Staged tables between the steps of a run or scheduled tasks: one folder for each run, below one root, on any file system."""
 
 from __future__ import annotations
 
-import re
+import string
 from collections.abc import Mapping
+from itertools import groupby
+from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.sources.tables import DATASETS
+from quern.sources.tables import DATASETS, delete_folder
+
+#: Characters of a folder name (fixed values).
+PLAIN = frozenset(string.ascii_letters + string.digits + "_.-")
 
 
 def folder_name(text: str) -> str:
-    """A run id as a folder name: runs of anything but ASCII letters, digits, `_`, `.` and `-` become one `_`."""
-    return re.sub(r"[^\w.-]+", "_", text, flags=re.ASCII)
+    """A run id as a folder name: each run of other characters than PLAIN becomes one `_`."""
+    return "".join("".join(run) if plain else "_" for plain, run in groupby(text, PLAIN.__contains__))
 
 
 def stage(tables: Mapping[str, DataFrame], root: str, run_id: str) -> str:
@@ -25,3 +30,11 @@ def stage(tables: Mapping[str, DataFrame], root: str, run_id: str) -> str:
 
 def staged(spark: SparkSession, folder: str, names: tuple[str, ...] = DATASETS) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+
+
+def unstage(spark: SparkSession, folder: str, root: str) -> None:
+    """Delete a run's folder. ValueError unless it lies strictly below the root, so a wrong setting deletes nothing."""
+    inner, outer = (PurePosixPath(p.split("://")[-1].removeprefix("file:")) for p in (folder, root))
+    if ".." in inner.parts or inner == outer or not inner.is_relative_to(outer):
+        raise ValueError(f"{folder} is not below {root}")
+    delete_folder(spark, folder)

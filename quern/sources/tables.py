@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,21 +27,68 @@ MART = "weather_sales_mart"
 EXPORT_ORDER = {"dim_customers": ["customer_id"], "dim_products": ["product_id"], "dim_weather": ["date", "city"], "fact_sales": ["sale_id"], MART: ["sale_date", "city", "category"]}
 
 
+#: Quotes within a quoted cell are doubled, and it may hold line ends.
+QUOTES = {"quote": '"', "escape": '"'}
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path in its terms."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on any file system that Spark reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+@dataclass(frozen=True)
+class DataFile:
+    path: str
+    size: int
+    modified: int
+
+
+def data_files(spark: SparkSession, path: str) -> list[DataFile] | None:
+    """The file itself, or a folder's data files (no markers) in the order of their paths; None if there is nothing."""
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return None
+    found, listing = [], fs.listFiles(p, True)
+    while listing.hasNext():
+        f = listing.next()
+        if not f.getPath().getName().startswith(("_", ".")):
+            found.append(DataFile(f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(found, key=lambda f: f.path)
+
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, on any file system that Spark writes."""
+    fs, p = _hadoop(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def read_csv(spark: SparkSession, path: str, quoted_lines: bool = True) -> DataFrame:
     """All columns as text with missing cells null, and the row's place in `_row`. The header names the columns; rows of more
-    fields than the header fail the job. A file without a header raises ValueError."""
+    fields than the header fail the job. A file without a header raises ValueError. Quoted cells may hold commas, doubled
+    quotes and line ends. The last keeps a file in one task; a single huge file without them is split by quoted_lines=False."""
     head = [r.value for r in spark.read.text(path).limit(1).collect()]
     if not head or not head[0].strip():
         raise ValueError(f"{path} is empty")
-    names = spark.read.option("header", True).csv(path).columns
+    options = QUOTES | {"multiLine": str(quoted_lines).lower()}
+    names = spark.read.options(header="true", **options).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    df = spark.read.csv(path, schema=schema, header=True, mode="FAILFAST", enforceSchema=True)
+    df = spark.read.options(**options).csv(path, schema=schema, header=True, mode="FAILFAST", enforceSchema=True)
     kept = [F.when(F.col(c).isin(*MISSING), None).otherwise(F.col(c)).alias(c) for c in names]
     return df.select(*kept, F.monotonically_increasing_id().alias(ORDINAL))
 
@@ -64,9 +112,9 @@ def to_contract(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns)
 
 
-def write_table(df: DataFrame, path: str, fmt: str, single: bool = True, order: Sequence[str] = ()) -> None:
-    """Write as Parquet or CSV with a header, replacing what was there. `single`: one part file, for tables that a person
-    downloads; large tables are written in parallel, range-sorted by `order`."""
+def write_table(df: DataFrame, path: str, fmt: str, single: bool = False, order: Sequence[str] = ()) -> None:
+    """Write as Parquet or CSV with a header, replacing what was there, in parallel and range-sorted by `order`. `single`: one
+    part file, for small tables that a person downloads."""
     if fmt not in FORMATS:
         raise ValueError(f"unsupported export format: {fmt}")
     if order:
@@ -74,7 +122,12 @@ def write_table(df: DataFrame, path: str, fmt: str, single: bool = True, order:
     if single:
         df = df.coalesce(1)
     writer = df.write.mode("overwrite")
-    writer.parquet(path) if fmt == "parquet" else writer.option("header", True).csv(path)
+    writer.parquet(path) if fmt == "parquet" else writer.options(header="true", **QUOTES).csv(path)
+
+
+def read_rejected(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rejected sales as write_table() wrote them."""
+    return spark.read.options(multiLine="true", **QUOTES).csv(path, header=True, schema=schema)
 
 
 def artifact_paths(settings: Mapping) -> dict[str, str]:
@@ -87,7 +140,7 @@ def artifact_paths(settings: Mapping) -> dict[str, str]:
     return out | {f"gold_{t}_{f}": f"{folders[f]}/star_schema/{t}.{f}" for t in STAR for f in exports["star_schema_formats"]}
 
 
-def save_silver(cleaned: Mapping[str, DataFrame], rejected: DataFrame, settings: Mapping, single: bool = True) -> None:
+def save_silver(cleaned: Mapping[str, DataFrame], rejected: DataFrame, settings: Mapping, single: bool = False) -> None:
     paths = artifact_paths(settings)
     for name in DATASETS:
         write_table(to_contract(cleaned[name], list(CONTRACTS[name])), paths[f"silver_{name.removesuffix('_daily')}"], "parquet", single)
@@ -99,19 +152,31 @@ def read_silver(spark: SparkSession, settings: Mapping) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(paths[f"silver_{name.removesuffix('_daily')}"]) for name in DATASETS}
 
 
-def save_gold(gold: Mapping[str, DataFrame], settings: Mapping, single: bool = True) -> None:
+def save_gold(gold: Mapping[str, DataFrame], settings: Mapping, single: bool = False) -> None:
     paths = artifact_paths(settings)
     for table in (*STAR, MART):
         for fmt in settings["exports"]["mart_formats" if table == MART else "star_schema_formats"]:
             write_table(gold[table], paths[f"gold_{'mart' if table == MART else table}_{fmt}"], fmt, single, EXPORT_ORDER[table])
 
 
+def read_gold(spark: SparkSession, settings: Mapping) -> dict[str, DataFrame]:
+    """All gold tables from their Parquet exports; empty if some are exported as CSV alone."""
+    paths = artifact_paths(settings)
+    names = {t: f"gold_{'mart' if t == MART else t}_parquet" for t in (*STAR, MART)}
+    return {t: spark.read.parquet(paths[n]) for t, n in names.items()} if {*names.values()} <= {*paths} else {}
+
+
 def publish_tables(gold: Mapping[str, DataFrame], database: str | None = None) -> None:
     """Full refresh of managed tables, for queries by name."""
     for table in (*STAR, MART):
         gold[table].write.mode("overwrite").saveAsTable(f"{database}.{table}" if database else table)
 
 
+def first_rows(mart: DataFrame, n: int = 10) -> DataFrame:
+    """The first n rows of the mart in its order."""
+    return mart.orderBy(*EXPORT_ORDER[MART]).limit(n)
+
+
 def preview(mart: DataFrame, n: int = 10) -> dict:
     """The first n rows of the mart and its size."""
-    return {"rows": mart.count(), "columns": len(mart.columns), "preview": [r.asDict() for r in mart.orderBy(*EXPORT_ORDER[MART]).limit(n).collect()]}
+    return {"rows": mart.count(), "columns": len(mart.columns), "preview": [r.asDict() for r in first_rows(mart, n).collect()]}

@@ -1,8 +1,10 @@
 import json
+import os
 from pathlib import Path
 
 import pytest
 
+from quern.operators.cleaning import reason_counts
 from quern.operators.quality import QualityGateError
 from quern.plans.run import Hooks, run_pipeline
 from quern.plans.star import InvariantError
@@ -65,3 +67,27 @@ def test_the_weather_file_is_needed_offline(spark, cfg):
     Path(cfg["paths"]["raw_dir"], "weather_daily.csv").unlink()
     with pytest.raises(FileNotFoundError):
         run_pipeline(spark, cfg)
+
+
+@pytest.mark.skipif("QUERN_ACCEPTANCE_RAW" not in os.environ, reason="QUERN_ACCEPTANCE_RAW names no folder of raw files")
+def test_published_figures(spark, tmp_path):
+    """The figures published for the raw files in the folder $QUERN_ACCEPTANCE_RAW, which are not kept here."""
+    cfg = settings.merged(settings.DEFAULTS, {})
+    cfg["paths"] = {k: str(tmp_path / k) for k in cfg["paths"]} | {"raw_dir": os.environ["QUERN_ACCEPTANCE_RAW"]}
+    out = run_pipeline(spark, cfg)
+    rows = out.report["row_counts"]
+    assert rows["extract"] == {"customers": 820, "products": 800, "sales": 940, "weather_daily": 180}
+    assert rows["cleaned"] == {"customers": 720, "products": 600, "sales": 568, "weather_daily": 180} and rows["rejected"] == {"sales": 332}
+    assert rows["unpublished"] == {"customers": 100, "products": 200, "sales": 40, "weather_daily": 0} and rows["mart"] == {"rows": 415, "columns": 14}
+    assert out.report["quality_report"]["warnings"] == []
+    assert sum(r["rejected"] for r in reason_counts(out.rejected).collect()) == 371
+
+
+def test_exports_as_csv_alone_and_tables_by_name(spark, cfg):
+    cfg["exports"] = {"mart_formats": ["csv"], "star_schema_formats": ["csv"]}
+    spark.sql("CREATE DATABASE IF NOT EXISTS published")
+    out = run_pipeline(spark, cfg, single=True, database="published")
+    assert out.gold["weather_sales_mart"].count() == 2 and spark.table("published.weather_sales_mart").count() == 2
+    parts = list(Path(cfg["paths"]["gold_csv_dir"]).glob("marts/*/part-*"))
+    assert len(parts) == 1
+    spark.sql("DROP DATABASE published CASCADE")

@@ -1,9 +1,9 @@
+import hashlib
 import json
 
 import pytest
 
-from quern.plans import alerts, lineage
-from quern.plans.run import remove_staging
+from quern.plans import alerts, lineage, staging
 from quern.sources import settings, tables, weather
 
 
@@ -13,6 +13,18 @@ def test_csv_is_text_with_missing_cells(spark, tmp_path):
     assert [tuple(r)[:2] for r in df.orderBy("_row").collect()] == [("1", None), ("2", None), ("3", None), ("4", " keep ")]
 
 
+def test_csv_quotes_and_line_ends(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,x\n1,"a ""b"" c"\n2,"two\nlines, and a comma"\n3,back\\slash\n4,""\n')
+    df = tables.read_csv(spark, str(tmp_path / "a.csv"))
+    rows = [tuple(r)[:2] for r in df.orderBy("_row").collect()]
+    assert rows == [("1", 'a "b" c'), ("2", "two\nlines, and a comma"), ("3", "back\\slash"), ("4", None)]
+    tables.write_table(df.drop("_row"), f"{tmp_path}/b.csv", "csv")
+    back = tables.read_rejected(spark, f"{tmp_path}/b.csv", df.drop("_row").schema)
+    assert sorted(tuple(r) for r in back.collect()) == rows
+    (tmp_path / "plain.csv").write_text("id,x\n1,a\n2,b\n")
+    assert tables.read_csv(spark, str(tmp_path / "plain.csv"), quoted_lines=False).count() == 2
+
+
 def test_csv_faults(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("")
     with pytest.raises(ValueError):
@@ -90,58 +102,86 @@ def test_weather_faults(spark, answer, error):
 
 
 def test_cities():
-    odd = {"weather": {"cities": {"x": {"lat": 1, "lon": "2"}, "y": {"lat": 1}, "z": 3, "w": {"lat": "a", "lon": 1}}}}
-    assert weather.cities_of(odd) == {"X": (1.0, 2.0)} and weather.cities_of({"weather": {}}) == weather.FALLBACK
+    odd = {"weather": {"cities": {"x": {"lat": 1, "lon": "2"}, "y": {"lat": 1}, "z": 3, "w": {"lat": "a", "lon": 1}, "v": {"lat": None, "lon": 1}, "u": {"name": " new  York", "lat": "-1.5", "lon": 3}}}}
+    assert weather.cities_of(odd) == {"X": (1.0, 2.0), "New  York": (-1.5, 3.0)}
+    for none in ({}, {"cities": {}}, {"cities": {"x": {}}}):
+        assert weather.cities_of({"weather": none}) == {"Madrid": (40.4168, -3.7038), "Barcelona": (41.3851, 2.1734)}
 
 
-def test_lineage(tmp_path):
+def test_lineage_marks(spark, tmp_path):
     (tmp_path / "d").mkdir()
-    (tmp_path / "d/part-0").write_text("x")
-    assert lineage.unpublished({"a": 10, "b": 1}, {"a": 6}, {"a": 3}) == {"a": 1, "b": 1}
-    marks = {"ok": lineage.fingerprint(tmp_path / "d"), "gone": lineage.fingerprint(tmp_path / "no")}
-    assert marks["ok"]["size_bytes"] == 1 and marks["gone"] == {"path": str(tmp_path / "no"), "exists": False}
-    stages = lineage.Stages()
-    with stages.timed("one"):
+    for name, text in (("part-0", "x"), ("part-1", "yz"), ("_SUCCESS", "")):
+        (tmp_path / "d" / name).write_text(text)
+    (tmp_path / "one.csv").write_text("a,b\n")
+    found = lineage.marks(spark, inputs={"one": str(tmp_path / "one.csv")}, final_outputs={"folder": str(tmp_path / "d"), "gone": str(tmp_path / "no")})
+    assert found["inputs"]["one"]["sha256"] == hashlib.sha256(b"a,b\n").hexdigest()
+    folder = found["final_outputs"]["folder"]
+    parts = "".join(hashlib.sha256(x).hexdigest() for x in (b"x", b"yz"))
+    assert (folder["files"], folder["size_bytes"], folder["sha256"]) == (2, 3, hashlib.sha256(parts.encode()).hexdigest())
+    assert found["final_outputs"]["gone"] == {"path": str(tmp_path / "no"), "exists": False}
+
+
+def test_large_files_have_no_digest(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lineage, "LARGEST_DIGEST", 3)
+    (tmp_path / "x").write_text("1234")
+    found = lineage.mark(spark, str(tmp_path / "x"))
+    assert found["sha256"] is None and found["size_bytes"] == 4 and found["modified_ms"] > 0
+
+
+def test_accounts_of_rows(spark):
+    rows = {r["dataset"]: tuple(r)[1:] for r in lineage.accounts({"a": spark.range(10), "b": spark.range(0)}, {"a": spark.range(6), "other": spark.range(3)}, {"a": spark.range(3)}).collect()}
+    assert rows == {"a": (10, 6, 3, 9, 1), "b": (0, None, None, 0, 0)}
+
+
+def test_a_run_is_told(spark, tmp_path):
+    story = lineage.RunLog()
+    with story.stage("one"):
         pass
-    with pytest.raises(KeyError), stages.timed("two"):
+    with pytest.raises(KeyError), story.stage("two"):
         raise KeyError
-    assert "duration_seconds" not in stages.found["two"]
-    report = lineage.lineage_report("r1", "passed", lineage.utc_now(), lineage.utc_now(), stages=stages.found, extracted={"a": 2}, cleaned={"a": 1}, rejected={}, mart={"rows": 3}, artifacts={"final_outputs": marks}, quality={"status": "passed", "warnings": ["w"]})
-    assert json.loads(lineage.write_report(report, tmp_path).read_text())["row_counts"]["unpublished"] == {"a": 1}
-    short = lineage.summary(report)
-    assert list(short["stages"]) == ["one"] and short["artifacts"] == {"final_outputs_total": 2, "final_outputs_missing": 1} and short["quality"]["warnings_count"] == 1
-    assert lineage.summary({"stages": 3})["stages"] == {}
+    story.count(lineage.accounts({"a": spark.range(2)}, {"a": spark.range(1)}))
+    story.figures |= {"mart": {"rows": 3}, "quality": {"status": "passed", "warnings": ["w"]}}
+    story.marks = {"final_outputs": {"x": {"exists": True}, "y": {"exists": False}}}
+    report = story.report(ValueError("no"))
+    assert report["error"] == {"type": "ValueError", "message": "no"} and report["status"] == "failed" and "duration_seconds" not in report["stages"]["two"]
+    kept = json.loads(open(lineage.keep(spark, report, str(tmp_path))).read())
+    assert kept["row_counts"]["unpublished"] == {"a": 1} and list(kept) == sorted(kept) and story.run_id in kept["run_id"]
+    short = lineage.summary(kept)
+    assert list(short["stage_seconds"]) == ["one"] and short["outputs"] == {"all": 2, "missing": 1} and short["quality"] == {"status": "passed", "warnings": 1, "critical_failures": 0}
+    assert lineage.summary({"stages": 3, "artifacts": [], "quality_report": "x"})["stage_seconds"] == {}
+
+
+ON = {"ALERTS_ENABLED": "Y", "ALERTS_CHANNEL": "slack", "ALERTS_SLACK_WEBHOOK_URL": "http://x", "ALERTS_TIMEOUT_SECONDS": "odd"}
 
 
 def test_alerts(monkeypatch):
     sent = []
-    post = lambda url, payload, timeout: sent.append((url, payload["text"], timeout))
-    assert not alerts.send_alert("t", "m", post=post)
-    for k, v in {"ALERTS_ENABLED": "true", "ALERTS_CHANNEL": "slack", "ALERTS_SLACK_WEBHOOK_URL": "http://x", "ALERTS_TIMEOUT_SECONDS": "odd"}.items():
-        monkeypatch.setenv(k, v)
-    assert alerts.send_alert("t", "m", "odd", {"a": 1, "b": None}, post)
-    assert sent == [("http://x", "[quern] t\nseverity: HIGH\nenvironment: local\nm\n\ncontext:\n- a: 1", 5.0)]
-    alerts.task_failure({"run_id": "r", "exception": ValueError("no")}, post)
-    assert "error_type: ValueError" in sent[1][1] and "run_id: r" in sent[1][1]
+    post = lambda url, payload, timeout: sent.append((url, payload["text"].split("\n"), timeout))
+    assert not alerts.tell(alerts.Alert("t", "m"), post, {}) and not alerts.tell(alerts.Alert("t", "m"), post, ON | {"ALERTS_CHANNEL": "none"})
+    assert alerts.tell(alerts.Alert("t", "m", "odd", {"a": 1, "b": None}), post, ON)
+    assert sent == [("http://x", ["HIGH | quern/local | t", "m", "a = 1"], 5.0)]
+    assert alerts.tell(alerts.Alert("t", "m", "Critical"), post, ON | {"ALERTS_TIMEOUT_SECONDS": "2.5", "ALERTS_PROJECT": "p"}) and sent[1][1:] == (["CRITICAL | p/local | t", "m"], 2.5)
 
     def broken(*a):
         raise OSError
 
-    assert not alerts.send_alert("t", "m", post=broken)
-    monkeypatch.setenv("ALERTS_CHANNEL", "mail")
-    assert not alerts.send_alert("t", "m", post=post)
-
-
-def test_staging_is_removed_only_below_its_root(tmp_path):
-    (tmp_path / "root/run").mkdir(parents=True)
-    assert not remove_staging(tmp_path / "root", tmp_path / "root") and not remove_staging(tmp_path, tmp_path / "root")
-    assert remove_staging(tmp_path / "root/run", tmp_path / "root") and not (tmp_path / "root/run").exists()
+    assert not alerts.tell(alerts.Alert("t", "m"), broken, ON)
+    for fault in ({"ALERTS_CHANNEL": "mail"}, {"ALERTS_SLACK_WEBHOOK_URL": ""}):
+        assert not alerts.tell(alerts.Alert("t", "m"), post, ON | fault)
+    for k, v in ON.items():
+        monkeypatch.setenv(k, v)
+    task = type("Task", (), {"dag_id": "d", "task_id": "t", "try_number": 2})()
+    assert alerts.task_failure({"run_id": "r", "exception": ValueError("no"), "task_instance": task}, post)
+    assert sent[2][1][2:] == ["dag_id = d", "task_id = t", "run_id = r", "try_number = 2", "error = ValueError: no"]
 
 
 def test_staged_tables_come_back(spark, tmp_path):
-    from quern.plans import staging
-
     assert staging.folder_name("manual__2025-01-01T00:00:00+00:00/é x") == "manual__2025-01-01T00_00_00_00_00_x"
     for n in (3, 2):
         folder = staging.stage({"a": spark.range(n)}, str(tmp_path), "run:1")
-    assert staging.staged(spark, folder, ("a",))["a"].count() == 2 and remove_staging(folder, tmp_path)
+    assert staging.staged(spark, folder, ("a",))["a"].count() == 2
+    for wrong in (str(tmp_path), str(tmp_path.parent), f"{tmp_path}/x/../..", f"{tmp_path}2/run"):
+        with pytest.raises(ValueError):
+            staging.unstage(spark, wrong, str(tmp_path))
+    staging.unstage(spark, folder, str(tmp_path))
+    assert not tables.exists(spark, folder) and tmp_path.exists()
