@@ -13,7 +13,9 @@ from quern.operators import cleaning, profile, quality
 from quern.operators.best import repeated
 from quern.oracles import ORACLES
 from quern.plans import star
-from quern.sources.tables import EXPORT_ORDER, MART
+from quern.plans.lineage import accounts
+from quern.sources import weather
+from quern.sources.tables import MART, first_rows
 
 FLAGSHIP = "a1_mart"
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
@@ -96,9 +98,11 @@ def m1_numbers(spark, sf):
 
 
 def n4_json_rows(spark, sf):
-    """A JSON object to typed columns, and a split exploded to rows."""
-    rows = roles.table(spark, sf, "events").select("event_id", F.from_json("props", "k long").getField("k").alias("k"), F.explode(F.split("event_type", "")).alias("letter"))
-    return rows.filter("letter != ''").groupBy("letter").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("sum_k"))
+    """Parallel arrays in JSON answers as rows (N1, N4): each event becomes an answer with the letters of its type and its number."""
+    letters, k = F.filter(F.split("event_type", ""), lambda x: x != ""), F.from_json("props", "k long").getField("k")
+    arrays = F.struct(letters.alias("time"), F.transform(letters, lambda x: k).alias("k"))
+    answers = roles.table(spark, sf, "events").select(F.col("event_id").cast("string").alias("city"), F.to_json(F.struct(arrays.alias("daily"))).alias("body"))
+    return weather.days_of(answers, {"k": "k"}).groupBy(F.col("date").alias("letter")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("k").cast("long")).alias("sum_k"))
 
 
 def w1_customers(spark, sf):
@@ -164,16 +168,20 @@ def p6_fact_sales(spark, sf):
 
 
 def a1_mart(spark, sf):
-    """Sales by date, city and category with weather."""
-    mart = _gold(spark, sf)[MART]
+    """Sales by date, city and category with weather."""
+    mart = star.mart_of_silver(_silver(spark, sf))
     means = ("avg_temp_c", "avg_precip_mm", "avg_precip_hours")
     return mart.select(F.col("sale_date").cast("string").alias("sale_date"), *[c for c in mart.columns if c not in (*means, "sale_date")], *_round6(*means))
 
 
 def o3_mart_preview(spark, sf):
-    """The first ten rows of the sorted mart."""
-    mart = _gold(spark, sf)[MART].orderBy(*EXPORT_ORDER[MART]).limit(10)
-    return mart.select(F.col("sale_date").cast("string").alias("sale_date"), "city", "category", "total_units", "num_orders", "total_revenue")
+    """The first ten rows of the sorted mart of the fact and its dimensions."""
+    return first_rows(_gold(spark, sf)[MART]).select(F.col("sale_date").cast("string").alias("sale_date"), "city", "category", "total_units", "num_orders", "total_revenue")
+
+
+def o4_duplicate_samples(spark, sf):
+    """The first ten raw sales whose id occurs again, in the order of their ids."""
+    return profile.duplicate_samples(roles.raw(spark, sf, "sales"), "sale_id")
 
 
 def v13_invariants(spark, sf):
@@ -189,17 +197,15 @@ def v11_link_counts(spark, sf):
 
 def a13_profile(spark, sf):
     """Null counts and rule violations of raw sales in one pass."""
-    rows = roles.raw(spark, sf, "sales")
-    return rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in rows.columns],
-                    F.count_if(to_number(F.col("quantity")) <= 0).alias("quantity_le_0"), F.count_if(~to_number(F.col("discount")).between(0, 100)).alias("discount_out_of_range"))
+    return profile.counts_row("sales", roles.raw(spark, sf, "sales"))
 
 
 def a14_duplicates(spark, sf):
     """Duplicate rows and keys, and exact cardinalities."""
     rows = roles.raw(spark, sf, "products")
-    extra = rows.groupBy(*rows.columns).agg((F.count(F.lit(1)) - 1).alias("x")).agg(F.sum("x").alias("duplicate_rows"))
-    keys = rows.groupBy("product_id").agg((F.count(F.lit(1)) - 1).alias("x")).agg(F.sum("x").alias("duplicate_keys"))
-    return rows.agg(*[F.count_distinct(c).alias(f"distinct_{c}") for c in rows.columns]).join(extra).join(keys)  # one row each
+    wide = profile.cardinality(rows, rows.columns).groupBy().pivot("column", rows.columns).agg(F.max("distinct"))
+    wide = wide.select(*[F.col(c).alias(f"distinct_{c}") for c in rows.columns])
+    return wide.join(profile.duplicates(rows).withColumnRenamed("extra", "duplicate_rows")).join(profile.duplicates(rows, "product_id").withColumnRenamed("extra", "duplicate_keys"))  # one row each
 
 
 def a18_top_categories(spark, sf):
@@ -209,18 +215,24 @@ def a18_top_categories(spark, sf):
 
 def a22_digits_in_names(spark, sf):
     """Silver product names that still hold a digit."""
-    return _products(spark, sf).agg(F.count_if(F.col("product_name").rlike(r"\d")).alias("with_digit"), F.count(F.lit(1)).alias("products"))
+    return quality.names_with_digits(_products(spark, sf))
 
 
 def a23_row_accounts(spark, sf):
-    """Extracted, published and unpublished rows by dataset."""
-    silver, judged, out = _silver(spark, sf), _judged(spark, sf), None
-    for name, df in silver.items():
-        n = roles.raw(spark, sf, name).agg(F.count(F.lit(1)).alias("extracted"))
-        kept = (judged if name == "sales" else df).agg(F.count(F.lit(1)).alias("judged"))
-        row = n.join(kept).select(F.lit(name).alias("dataset"), "extracted", "judged", (F.col("extracted") - F.col("judged")).alias("unpublished"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Extracted, judged and unpublished rows by dataset."""
+    silver, judged = _silver(spark, sf), _judged(spark, sf)
+    extracted = {name: roles.raw(spark, sf, name) for name in silver}
+    found = accounts(extracted, silver | {"sales": cleaning.accepted_sales(judged)}, {"sales": cleaning.rejected_sales(judged)})
+    return found.select("dataset", "extracted", "judged", "unpublished")
+
+
+def v1_gate(spark, sf):
+    """The quality gate's blocks of metrics over silver, and what it would block and warn of (V1-V10): one row for each figure."""
+    silver, rejected = _silver(spark, sf), cleaning.rejected_sales(_judged(spark, sf))
+    report = quality.quality_report(silver, rejected, fail_on_critical=False)
+    rows = [(block, name, round(value * 1_000_000)) for block, figures in report["metrics"].items() for name, value in figures.items()]
+    rows += [("gate", "critical_failures", 1_000_000 * len(report["critical_failures"])), ("gate", "warnings", 1_000_000 * len(report["warnings"]))]
+    return spark.createDataFrame(rows, "block string, figure string, millionths long")
 
 
 def j6_orphans(spark, sf):
@@ -231,6 +243,6 @@ def j6_orphans(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     a1_mart, s4_pruned_scan, t1_tidy_texts, t4_title_case, t6_prices, t15_categories, d1_leet_names, d1_dates, m1_numbers, n4_json_rows, w1_customers, w2_products, w3_sales, t12_rejected_sales,
-    a19_reason_counts, f3_split, w4_weather, w5_repeated_lines, p3_dim_customers, p3_dim_products, m5_dim_weather, p6_fact_sales, o3_mart_preview, v13_invariants, v11_link_counts, a13_profile,
+    a19_reason_counts, f3_split, w4_weather, w5_repeated_lines, p3_dim_customers, p3_dim_products, m5_dim_weather, p6_fact_sales, o3_mart_preview, o4_duplicate_samples, v13_invariants, v1_gate, v11_link_counts, a13_profile,
     a14_duplicates, a18_top_categories, a22_digits_in_names, a23_row_accounts, j6_orphans,
 )}

@@ -26,6 +26,13 @@ def is_whole(number: Column) -> Column:
     return F.coalesce(number % 1 == 0, F.lit(False))
 
 
+def to_whole(text: Column) -> Column:
+    """A 64-bit integer from trimmed text (`12`, `12.0`, `1e3`), or null where it is none or too large. Digits are read as they
+    are: a double would merge numbers above 2**53."""
+    exact = F.when(is_whole(parsed_number(text)), text.try_cast("decimal(38,0)").try_cast("bigint"))
+    return F.coalesce(text.try_cast("bigint"), exact)
+
+
 def to_price(c: Column) -> Column:
     """A price from text with currency signs: only digits, comma, point and minus count, a comma is a point."""
     digits = F.regexp_replace(trimmed(c), r"[^0-9,.\-]", "")

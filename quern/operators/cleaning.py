@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.dates import parsed_ymd, to_ymd
-from quern.functions.numbers import is_whole, parsed_number, to_number, to_price
+from quern.functions.numbers import is_whole, parsed_number, to_number, to_price, to_whole
 from quern.functions.text import joined_flags, letters_for_digits, looked_up, none_if_blank, squeezed, tidy, title_case, trimmed
 from quern.operators.best import best_row, filled
 
@@ -36,8 +36,7 @@ def _ties(df: DataFrame, tie: Sequence[Column] | None, columns: Sequence[str]) -
 
 def valid_ids(df: DataFrame, key: str) -> DataFrame:
     """Rows whose `key` is an integer, with it as `_id`; blank, fractional and other ids go."""
-    number = to_number(F.col(key))
-    return df.filter(is_whole(number)).withColumn("_id", number.cast("long"))
+    return df.withColumn("_id", to_whole(trimmed(F.col(key)))).filter(F.col("_id").isNotNull())
 
 
 def clean_customers(raw: DataFrame, cities: Mapping[str, str] | None = None, tie: Sequence[Column] | None = None) -> DataFrame:
@@ -80,7 +79,7 @@ def clean_products(raw: DataFrame, categories: Mapping[str, str] | None = None,
 
 def _known(rows: DataFrame, ids: DataFrame, key: str, mark: str) -> DataFrame:
     """`rows` with a flag whether `key` is one of `ids`. The planner picks the join by the sizes it finds."""
-    marks = ids.select(F.col(ids.columns[0]).cast("double").alias(f"{mark}_id")).distinct().withColumn(mark, F.lit(True))
+    marks = ids.select(F.col(ids.columns[0]).cast("long").alias(f"{mark}_id")).distinct().withColumn(mark, F.lit(True))
     return rows.join(marks, F.col(key) == F.col(f"{mark}_id"), "left").drop(f"{mark}_id").withColumn(mark, F.coalesce(F.col(mark), F.lit(False)))
 
 
@@ -90,13 +89,13 @@ def judge_sales(raw: DataFrame, customers: DataFrame, products: DataFrame, tie:
     ids = {"sale_id": "_sale", "customer_id": "_customer", "product_id": "_product"}
     # trimmed once, as columns of their own: what follows looks at each several times
     rows = raw.withColumns({f"_t_{c}": none_if_blank(trimmed(F.col(c))) for c in SALES_COLUMNS})
-    rows = rows.withColumns({new: parsed_number(F.col(f"_t_{c}")) for c, new in ids.items()}).withColumns({
+    rows = rows.withColumns({new: to_whole(F.col(f"_t_{c}")) for c, new in ids.items()}).withColumns({
         "_date": parsed_ymd(F.col("_t_sale_date")), "_quantity": parsed_number(F.col("_t_quantity")),
         "_discount": F.when(F.col("_t_discount").isNull(), F.lit(0.0)).otherwise(parsed_number(F.col("_t_discount"))),
     })
     for c, new in ids.items():
         missing = F.col(f"_t_{c}").isNull()
-        rows = rows.withColumns({f"{new}_missing": missing, f"{new}_bad": ~missing & ~is_whole(F.col(new))})
+        rows = rows.withColumns({f"{new}_missing": missing, f"{new}_bad": ~missing & F.col(new).isNull()})
     rows = rows.drop(*[f"_t_{c}" for c in SALES_COLUMNS])
     rows = _known(_known(rows, customers.select("customer_id"), "_customer", "_has_customer"), products.select("product_id"), "_product", "_has_product")
     in_range = F.coalesce(F.col("_discount").between(0, 100), F.lit(False))
@@ -104,7 +103,7 @@ def judge_sales(raw: DataFrame, customers: DataFrame, products: DataFrame, tie:
     score = filled(F.col("_date").isNotNull(), sold, in_range, ~F.col("_customer_bad") & F.col("_has_customer"), ~F.col("_product_bad") & F.col("_has_product"))
     # rows without a valid id are all kept: each gets a key of its own beside the null id
     has_id = ~F.col("_sale_missing") & ~F.col("_sale_bad")
-    rows = rows.withColumns({"_key": F.when(has_id, F.col("_sale").cast("long")), "_alone": F.when(~has_id, F.monotonically_increasing_id())})
+    rows = rows.withColumns({"_key": F.when(has_id, F.col("_sale")), "_alone": F.when(~has_id, F.monotonically_increasing_id())})
     best = best_row(rows, ["_key", "_alone"], score.desc(), F.col("_date").desc_nulls_last(), *_ties(rows, tie, SALES_COLUMNS))
     flags = {
         "missing_sale_id": F.col("_sale_missing"), "invalid_sale_id": F.col("_sale_bad"), "missing_customer_id": F.col("_customer_missing"),
@@ -119,7 +118,7 @@ def judge_sales(raw: DataFrame, customers: DataFrame, products: DataFrame, tie:
 def accepted_sales(judged: DataFrame) -> DataFrame:
     """The clean part of judged sales, typed."""
     return judged.filter("reject_reasons IS NULL").select(
-        F.col("_sale").cast("long").alias("sale_id"), F.col("_customer").cast("long").alias("customer_id"), F.col("_product").cast("long").alias("product_id"),
+        F.col("_sale").alias("sale_id"), F.col("_customer").alias("customer_id"), F.col("_product").alias("product_id"),
         F.col("_date").alias("sale_date"), F.col("_quantity").cast("long").alias("quantity"), F.col("_discount").alias("discount"),
     )
 

@@ -1,4 +1,4 @@
-"""Profiles of raw or clean tables: one aggregate pass for the scalars, one for the distinct counts."""
+"""Profiles of raw or clean tables: one aggregate pass for the scalars, and one for each column's distinct values."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.numbers import to_number
+from quern.operators.best import repeated
 
 log = logging.getLogger("quern.profile")
 
@@ -31,27 +32,45 @@ def _rules(name: str, columns: list[str]) -> dict:
     return {rule: test() for c, (rule, test) in rules.get(name, {}).items() if c in columns}
 
 
-def duplicates(df: DataFrame, *keys: str) -> int:
-    """Rows beyond the first of each key (all columns if none is given); null counts as a value."""
+def counts_row(name: str, df: DataFrame) -> DataFrame:
+    """One row: `n`, null_<column> for each column, and violations of the dataset's rules."""
+    rules = _rules(name, df.columns)
+    return df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in df.columns], *[F.count_if(test).alias(rule) for rule, test in rules.items()])
+
+
+def duplicates(df: DataFrame, *keys: str) -> DataFrame:
+    """One row, `extra`: rows beyond the first of each key (all columns if none is given); null counts as a value."""
     columns = [F.col(c) for c in (keys or df.columns)]
-    return df.groupBy(*columns).agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return df.groupBy(*columns).agg((F.count(F.lit(1)) - 1).alias("extra")).agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("extra"))
+
+
+def cardinality(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, distinct) of each column, nulls left out. Each is combined in its tasks by itself: one aggregate over all of
+    them would expand every row as often as there are columns."""
+    out = None
+    for c in columns:
+        row = df.select(c).groupBy(c).agg(F.lit(1)).agg(F.count(c).alias("distinct")).select(F.lit(c).alias("column"), "distinct")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def duplicate_samples(df: DataFrame, *keys: str, n: int = 10) -> DataFrame:
+    """The first n rows, in the order of their keys and then all columns, of those whose key is not null and occurs again: to
+    look at what the choice of the best row decides between."""
+    rows = repeated(df.dropna(subset=list(keys)), list(keys)).filter("is_repeated").drop("is_repeated")
+    return rows.orderBy(*keys, *[F.asc_nulls_last(c) for c in df.columns if c not in keys]).limit(n)
 
 
 def profile(name: str, df: DataFrame) -> dict:
     """Rows, columns, nulls (total, mean and of watched columns), duplicate rows and keys, cardinality of text columns, and
     violations of the dataset's rules."""
-    rules = _rules(name, df.columns)
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    row = df.agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in df.columns], *[F.count_if(test).alias(f"rule_{r}") for r, test in rules.items()],
-    ).first()
-    distinct = df.agg(*[F.count_distinct(c).alias(c) for c in texts]).first() if texts else {}
+    texts, keys = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)], KEYS.get(name, ())
+    row = counts_row(name, df).first()
     nulls = {c: row[f"null_{c}"] for c in df.columns}
-    keys = KEYS.get(name, ())
     return {
-        "rows": row["rows"], "columns": len(df.columns), "nulls": nulls, "nulls_total": sum(nulls.values()), "nulls_mean": sum(nulls.values()) / max(1, len(nulls)),
-        "key_nulls": {c: nulls[c] for c in WATCHED if c in nulls}, "duplicate_rows": duplicates(df), "key_duplicates": duplicates(df, *keys) if keys and {*keys} <= {*df.columns} else 0,
-        "cardinality": {c: distinct[c] for c in texts}, "violations": {r: row[f"rule_{r}"] for r in rules},
+        "rows": row["n"], "columns": len(df.columns), "nulls": nulls, "nulls_total": sum(nulls.values()), "nulls_mean": sum(nulls.values()) / max(1, len(nulls)),
+        "key_nulls": {c: nulls[c] for c in WATCHED if c in nulls}, "duplicate_rows": duplicates(df).first()[0], "key_duplicates": duplicates(df, *keys).first()[0] if keys and {*keys} <= {*df.columns} else 0,
+        "cardinality": {r["column"]: r["distinct"] for r in cardinality(df, texts).collect()} if texts else {}, "violations": {r: row[r] for r in _rules(name, df.columns)},
     }
 
 

@@ -166,6 +166,40 @@ _INVARIANTS = [
     ("fact_sales has orphan product_id", "SELECT COUNT(*) FROM fact_sales f LEFT JOIN dim_products p USING (product_id) WHERE p.product_id IS NULL"), ("num_orders_priced exceeds num_orders", "SELECT COUNT(*) FROM mart WHERE num_orders_priced > num_orders"),
 ]
 
+#: The gate's figures over silver, by block (the last two count what it blocks and warns of).
+_GATE = {
+    ("rows", "customers"): "SELECT COUNT(*) FROM customers_silver", ("rows", "products"): "SELECT COUNT(*) FROM products_silver", ("rows", "sales_clean"): "SELECT COUNT(*) FROM sales_silver",
+    ("rows", "sales_rejected"): "SELECT COUNT(reject_reasons) FROM judged", ("rows", "weather"): "SELECT COUNT(*) FROM weather_silver",
+    ("customers", "null_customer_id"): "SELECT COUNT(*) - COUNT(customer_id) FROM customers_silver", ("customers", "dup_customer_id"): "SELECT COUNT(*) - COUNT(DISTINCT customer_id) FROM customers_silver",
+    ("products", "null_product_id"): "SELECT COUNT(*) - COUNT(product_id) FROM products_silver", ("products", "dup_product_id"): "SELECT COUNT(*) - COUNT(DISTINCT product_id) FROM products_silver",
+    ("products", "invalid_price_le_0"): "SELECT COUNT(*) FILTER (price <= 0) FROM products_silver", ("products", "digits_in_name"): "SELECT COUNT(*) FILTER (regexp_matches(product_name, '\\d')) FROM products_silver",
+    ("sales", "null_sale_id"): "SELECT COUNT(*) - COUNT(sale_id) FROM sales_silver", ("sales", "dup_sale_id"): "SELECT COUNT(*) - COUNT(DISTINCT sale_id) FROM sales_silver",
+    ("sales", "invalid_qty"): "SELECT COUNT(*) FILTER (quantity IS NULL OR quantity <= 0) FROM sales_silver", ("sales", "invalid_disc"): "SELECT COUNT(*) FILTER (discount IS NULL OR discount < 0 OR discount > 100) FROM sales_silver",
+    ("sales", "unknown_cust_fk"): "SELECT COUNT(*) FILTER (no_customer) FROM linked", ("sales", "unknown_prod_fk"): "SELECT COUNT(*) FILTER (no_product) FROM linked",
+    ("sales", "reject_rate"): "SELECT COUNT(reject_reasons)::DOUBLE / COUNT(*)::DOUBLE FROM judged", ("sales", "max_reject_rate"): "SELECT 0.45::DOUBLE",
+    ("weather", "null_weather_date"): "SELECT COUNT(*) - COUNT(date) FROM weather_silver", ("weather", "dup_weather_key"): "SELECT COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT date, city FROM weather_silver)) FROM weather_silver",
+    ("weather", "neg_precip"): "SELECT COUNT(*) FILTER (precip_mm < 0) FROM weather_silver", ("weather", "sales_with_unknown_city"): "SELECT COUNT(*) FILTER (no_city) FROM linked",
+    ("weather", "unknown_city_rate"): "SELECT COUNT(*) FILTER (no_city)::DOUBLE / COUNT(*)::DOUBLE FROM linked", ("weather", "eligible_sales_for_weather_match"): "SELECT COUNT(*) FILTER (NOT no_city) FROM linked",
+    ("weather", "sales_with_no_weather_match"): "SELECT COUNT(*) FILTER (NOT no_city AND no_weather) FROM linked",
+    ("weather", "weather_coverage_rate"): "SELECT COUNT(*) FILTER (NOT no_city AND NOT no_weather)::DOUBLE / COUNT(*) FILTER (NOT no_city)::DOUBLE FROM linked",
+    ("weather", "missing_valid_price_rows"): "SELECT COUNT(*) FILTER (no_price) FROM linked", ("weather", "price_coverage_rate"): "SELECT COUNT(*) FILTER (NOT no_price)::DOUBLE / COUNT(*)::DOUBLE FROM linked",
+    ("weather", "min_valid_price_coverage"): "SELECT 0.9::DOUBLE", ("weather", "max_unknown_city_rate"): "SELECT 0.08::DOUBLE",
+}
+_LINKED = """linked AS (
+  SELECT c.customer_id IS NULL AS no_customer, p.product_id IS NULL AS no_product, c.city IS NULL AS no_city, w.date IS NULL AS no_weather, NOT coalesce(p.price > 0, false) AS no_price
+  FROM sales_silver s LEFT JOIN customers_silver c ON s.customer_id = c.customer_id LEFT JOIN products_silver p ON s.product_id = p.product_id
+  LEFT JOIN (SELECT DISTINCT date, city FROM weather_silver) w ON w.date = s.sale_date AND w.city = c.city)"""
+_V1 = f"""WITH {_SILVER}, {_LINKED},
+figures AS ({" UNION ALL ".join(f"SELECT '{block}' AS block, '{figure}' AS figure, ({sql})::DOUBLE AS v" for (block, figure), sql in _GATE.items())}),
+one AS (SELECT figure, max(v) AS v FROM figures GROUP BY figure)
+SELECT block, figure, round(v * 1e6)::BIGINT AS millionths FROM figures
+UNION ALL SELECT 'gate', 'critical_failures', 1000000 * (SELECT COUNT(*) FROM figures WHERE v > 0 AND figure IN ('null_sale_id', 'dup_sale_id', 'null_customer_id', 'dup_customer_id', 'null_product_id', 'dup_product_id', 'unknown_cust_fk', 'unknown_prod_fk'))
+  + 1000000 * (SELECT (COUNT(*) FILTER (sale_date IS NULL) > 0)::INT FROM sales_silver) + 1000000 * (SELECT (COUNT(*) FILTER (date IS NULL) > 0)::INT + (COUNT(*) FILTER (city IS NULL) > 0)::INT FROM weather_silver)
+  + 1000000 * (SELECT (v > 0)::INT FROM one WHERE figure = 'dup_weather_key')
+UNION ALL SELECT 'gate', 'warnings', 1000000 * ((SELECT v FROM one WHERE figure = 'reject_rate') > 0.45)::INT + 1000000 * ((SELECT v FROM one WHERE figure = 'unknown_city_rate') > 0.08)::INT
+  + 1000000 * ((SELECT v FROM one WHERE figure = 'sales_with_no_weather_match') > 0)::INT + 1000000 * ((SELECT v FROM one WHERE figure = 'price_coverage_rate') < 0.9)::INT
+  + 1000000 * ((SELECT v FROM one WHERE figure = 'digits_in_name') > 0)::INT"""
+
 ORACLES = {
     "a1_mart": f"WITH {_GOLD} {_text_date('sale_date', 'mart')}",
     "s4_pruned_scan": f"SELECT l_orderkey::INT AS order_id, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS shipped, CAST({cents('l_extendedprice * (1.0::DOUBLE - l_discount)')} AS DECIMAL(18,2)) AS net FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_discount > 0.05::DOUBLE",
@@ -190,6 +224,8 @@ ORACLES = {
     "m5_dim_weather": f"WITH {_GOLD} {_text_date('date', 'dim_weather')}",
     "p6_fact_sales": f"WITH {_GOLD} {_text_date('sale_date', 'fact_sales')}",
     "o3_mart_preview": f"WITH {_GOLD} SELECT CAST(sale_date AS VARCHAR) AS sale_date, city, category, total_units, num_orders, total_revenue FROM mart ORDER BY sale_date, city, category LIMIT 10",
+    "o4_duplicate_samples": f"WITH {_raw('sales')} SELECT * EXCLUDE (times) FROM (SELECT *, COUNT(*) OVER (PARTITION BY sale_id) AS times FROM raw_sales WHERE sale_id IS NOT NULL) WHERE times > 1 ORDER BY sale_id, customer_id NULLS LAST, product_id NULLS LAST, sale_date NULLS LAST, quantity NULLS LAST, discount NULLS LAST LIMIT 10",
+    "v1_gate": _V1,
     "v13_invariants": f"WITH {_GOLD} " + " UNION ALL ".join(f"SELECT {i + 1}::INT AS place, '{t}' AS invariant, ({q})::BIGINT AS violations" for i, (t, q) in enumerate(_INVARIANTS)),
     "v11_link_counts": f"""WITH {_SILVER} SELECT COUNT(*) FILTER (c.customer_id IS NULL) AS unknown_cust_fk, COUNT(*) FILTER (p.product_id IS NULL) AS unknown_prod_fk,
         COUNT(*) FILTER (c.city IS NULL) AS sales_with_unknown_city, COUNT(*) FILTER (c.city IS NOT NULL) AS eligible_sales_for_weather_match,

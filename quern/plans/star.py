@@ -56,13 +56,14 @@ def dim_weather(silver: DataFrame, buckets: Buckets = Buckets()) -> DataFrame:
     return typed.select(key.alias("weather_sk"), *typed.columns, rain_bucket(F.col("precip_mm"), buckets).alias("rain_bucket"), temp_bucket(F.col("temp_c"), buckets).alias("temp_bucket"))
 
 
-def fact_sales(sales: DataFrame, customers: DataFrame, products: DataFrame, weather: DataFrame) -> DataFrame:
-    """One row for each sale that has its customer and product, with amounts at the catalogue price (null if it is not valid)
-    and the weather of its date in its customer's city. Joins carry no hints: the planner broadcasts what it finds small."""
+def _sold(sales: DataFrame, customers: DataFrame, products: DataFrame, weather: DataFrame) -> DataFrame:
+    """Each sale that has its customer and product, with what is known of them and of the weather of its date in its
+    customer's city, and its amounts at the catalogue price (null if it is not valid). Joins carry no hints: the planner
+    broadcasts what it finds small."""
     s = sales.select(*[F.col(c).cast("int").alias(c) for c in ("sale_id", "customer_id", "product_id", "quantity")], F.col("sale_date").cast("date").alias("sale_date"), F.col("discount").cast("double").alias("discount"))
-    rows = s.join(customers.select("customer_id", "city"), "customer_id").join(products.select("product_id", "price", "is_price_valid"), "product_id")
-    keys = weather.select("weather_sk", F.col("date").alias("_date"), F.col("city").alias("_city"))
-    rows = rows.join(keys, (F.col("sale_date") == F.col("_date")) & (F.col("city") == F.col("_city")), "left")
+    rows = s.join(customers.select("customer_id", "city"), "customer_id").join(products.select("product_id", "category", "price", "is_price_valid"), "product_id")
+    days = weather.select("weather_sk", F.col("date").alias("_date"), F.col("city").alias("_city"), *MEASURES)
+    rows = rows.join(days, (F.col("sale_date") == F.col("_date")) & (F.col("city") == F.col("_city")), "left")
     total = F.col("quantity") * F.col("price")
     share = F.col("discount") / F.lit(100.0)
 
@@ -72,18 +73,24 @@ def fact_sales(sales: DataFrame, customers: DataFrame, products: DataFrame, weat
     return rows.select(
         "sale_id", "customer_id", "product_id", "weather_sk", "sale_date", "quantity", "discount", F.col("price").alias("unit_price_at_sale"),
         F.col("weather_sk").isNotNull().cast("int").alias("has_weather_match"), F.coalesce(F.col("is_price_valid") == 1, F.lit(False)).cast("int").alias("has_valid_price"),
-        priced(total).alias("gross_amount"), priced(total * share).alias("discount_amount"), priced(total * (F.lit(1.0) - share)).alias("net_amount"),
+        priced(total).alias("gross_amount"), priced(total * share).alias("discount_amount"), priced(total * (F.lit(1.0) - share)).alias("net_amount"), "city", "category", *MEASURES,
     )
 
 
-def weather_sales_mart(fact: DataFrame, customers: DataFrame, products: DataFrame, weather: DataFrame) -> DataFrame:
-    """Sales by date, city and category, for customers of known city. Buckets are null where no weather matched."""
-    measures = weather.select("weather_sk", "temp_c", "precip_mm", "precip_hours", "rain_bucket", "temp_bucket")
-    rows = fact.join(customers.filter(F.col("city").isNotNull()).select("customer_id", "city"), "customer_id")
-    rows = rows.join(products.select("product_id", "category"), "product_id").join(measures, "weather_sk", "left")
+#: What the mart shows of the weather.
+MEASURES = ("temp_c", "precip_mm", "precip_hours", "rain_bucket", "temp_bucket")
+
+
+def fact_sales(sales: DataFrame, customers: DataFrame, products: DataFrame, weather: DataFrame) -> DataFrame:
+    """One row for each sale that has its customer and product, with amounts and the key of its weather."""
+    return _sold(sales, customers, products, weather).drop("city", "category", *MEASURES)
+
+
+def _by_day(rows: DataFrame) -> DataFrame:
+    """Sales of known city by date, city and category. Buckets are null where no weather matched."""
     n_priced = F.sum("has_valid_price")
     net = F.sum(F.when(F.col("has_valid_price") == 1, F.col("net_amount")).otherwise(F.lit(0).cast("decimal(18,2)")))
-    return rows.groupBy("sale_date", "city", "category").agg(
+    return rows.filter(F.col("city").isNotNull()).groupBy("sale_date", "city", "category").agg(
         F.sum("quantity").cast("long").alias("total_units"), F.count(F.lit(1)).alias("num_orders"), n_priced.cast("long").alias("num_orders_priced"),
         net.cast("decimal(38,2)").alias("total_revenue"), to_cents(net.cast("double") / F.nullif(n_priced, F.lit(0)).cast("double")).alias("avg_ticket"),
         F.avg("temp_c").alias("avg_temp_c"), F.avg("precip_mm").alias("avg_precip_mm"), F.avg("precip_hours").alias("avg_precip_hours"),
@@ -92,6 +99,18 @@ def weather_sales_mart(fact: DataFrame, customers: DataFrame, products: DataFram
     )
 
 
+def weather_sales_mart(fact: DataFrame, customers: DataFrame, products: DataFrame, weather: DataFrame) -> DataFrame:
+    """The mart of stored tables: the fact joined with its dimensions again."""
+    rows = fact.join(customers.select("customer_id", "city"), "customer_id")
+    return _by_day(rows.join(products.select("product_id", "category"), "product_id").join(weather.select("weather_sk", *MEASURES), "weather_sk", "left"))
+
+
+def mart_of_silver(silver: Mapping[str, DataFrame], buckets: Buckets = Buckets()) -> DataFrame:  # noqa: B008
+    """The same mart in one go from silver tables, each of which is read once: the fact's joins know city, category and weather.
+    It equals the mart of stored tables where the invariants hold."""
+    return _by_day(_sold(silver["sales"], dim_customers(silver["customers"]), dim_products(silver["products"]), dim_weather(silver["weather_daily"], buckets)))
+
+
 def invariants(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(place, invariant, violations): the nine invariants with the number of rows against each, in one plan."""
 
@@ -134,4 +153,10 @@ def build(silver: Mapping[str, DataFrame], buckets: Buckets = Buckets()) -> dict
     """All gold tables from silver ones (customers, products, sales, weather_daily)."""
     customers, products, weather = dim_customers(silver["customers"]), dim_products(silver["products"]), dim_weather(silver["weather_daily"], buckets)
     fact = fact_sales(silver["sales"], customers, products, weather)
-    return {"dim_customers": customers, "dim_products": products, "dim_weather": weather, "fact_sales": fact, "weather_sales_mart": weather_sales_mart(fact, customers, products, weather)}
+    gold = {"dim_customers": customers, "dim_products": products, "dim_weather": weather, "fact_sales": fact}
+    return gold | {"weather_sales_mart": mart_of(gold)}
+
+
+def mart_of(gold: Mapping[str, DataFrame]) -> DataFrame:
+    """The mart of the other gold tables."""
+    return weather_sales_mart(gold["fact_sales"], gold["dim_customers"], gold["dim_products"], gold["dim_weather"])

@@ -78,3 +78,15 @@ def test_weather_without_measures_and_with_odd_codes(rows):
     assert [tuple(r) for r in cleaning.clean_weather(rows("date city", ("2024-03-01", "a"), ("2024-03-01", "A"))).collect()] == [(D(2024, 3, 1), "A")]
     with pytest.raises(PySparkException, match="weather_code"):
         cleaning.clean_weather(rows("date city weather_code", ("2024-03-01", "a", "1.5"))).collect()
+
+
+def test_long_ids_stay_apart(rows):
+    ids = ("9007199254740993", "9007199254740992", "+9007199254740994.0", "9223372036854775808", "1e3", "1.5", "x", " ")
+    customers = cleaning.clean_customers(rows("customer_id first_name last_name city signup_date", *[(i, "a", "b", "c", "2024-01-01") for i in ids]))
+    assert {r["customer_id"] for r in customers.collect()} == {9007199254740993, 9007199254740992, 9007199254740994, 1000}
+    products = cleaning.clean_products(rows("product_id product_name category price", ("9007199254740993", "a", "b", "1")))
+    sales = rows("sale_id customer_id product_id sale_date quantity discount", *[(i, "9007199254740993", "9007199254740993", "2024-01-01", "1", "") for i in ids], ("7", "9007199254740995", "9007199254740993", "2024-01-01", "1", ""))
+    judged = cleaning.judge_sales(sales, customers, products)
+    assert {r["sale_id"] for r in cleaning.accepted_sales(judged).collect()} == {9007199254740993, 9007199254740992, 9007199254740994, 1000}
+    assert {r["sale_id"]: r["reject_reasons"] for r in judged.filter("reject_reasons IS NOT NULL").collect()} == {
+        "9223372036854775808": "invalid_sale_id", "1.5": "invalid_sale_id", "x": "invalid_sale_id", " ": "missing_sale_id", "7": "unknown_customer_id"}
