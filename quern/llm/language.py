@@ -1,14 +1,18 @@
-"""Hierarchical language identification: families first, then one-versus-one linear support vector machines within one."""
+"""Hierarchical language identification: families first, then one-versus-one linear support vector machines within one.
+
+Two families are told apart by one machine, more by one for each against the rest, so machines grow with the languages and
+not with their square; within a family there is one for each pair. Machines are fitted in tasks, each on a bounded sample."""
 
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,14 +26,15 @@ FAMILIES = {
     "ru": "slavic", "uk": "slavic", "pl": "slavic", "cs": "slavic",
 }
 UNDETERMINED = "und"
-#: Labelled rows of each language that the classifiers are fitted on, at most.
-SAMPLE = 400
-MAX_LANGUAGES = 500
+#: Labelled rows of each language that the classifiers are fitted on, at most; and against how many other families, drawn by a
+#: hash, a row speaks (all, if there are no more).
+SAMPLE, AGAINST = 400, 8
 #: Features are a trigram's share of a text's trigrams, times this.
 FEATURE_SCALE = 100.0
 _CLASSES = 64
-_SIZE = _CLASSES**3
-_LETTER = re.compile(r"[^\W\d_]")
+#: Trigrams are numbered up to 64 cubed and folded to so many features.
+_SIZE = 1 << 16
+_LETTER = regex.compile(r"\p{L}")
 #: Bytes of a text that are turned into features at once.
 _CHUNK = 1 << 20
 
@@ -51,15 +56,15 @@ def trigrams(text: str) -> Iterator[np.ndarray]:
     data = b" " + text.encode("utf-8", "surrogatepass") + b" "
     for i in range(0, max(1, len(data) - 2), _CHUNK):
         c = _TABLE[np.frombuffer(data[i : i + _CHUNK + 2], dtype=np.uint8)]
-        yield (c[:-2] * _CLASSES + c[1:-1]) * _CLASSES + c[2:]
+        yield ((c[:-2] * _CLASSES + c[1:-1]) * _CLASSES + c[2:]) * np.uint32(2654435761) >> np.uint32(16)
 
 
 @dataclass
 class Duel:
-    """A linear SVM between two labels: positive values speak for the first."""
+    """A linear SVM: positive values speak for the first label, others for the second, or against the first if there is none."""
 
     first: str
-    second: str
+    second: str | None
     weights: np.ndarray
     bias: float
 
@@ -95,39 +100,44 @@ def fit_svm(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, epochs
     return (w / usual).astype(np.float32), bias / usual
 
 
-def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], families: Mapping[str, str] = FAMILIES) -> Hierarchy:
-    """Fit all machines on rows (language, positions, values)."""
-    out = Hierarchy()
-    for lang in sorted({s[0] for s in samples}):
-        out.families.setdefault(families.get(lang, lang), []).append(lang)
-
-    def duels(labels: list[str], label_of) -> list[Duel]:
-        made = []
-        for a, b in itertools.combinations(sorted(labels), 2):
-            mine = [s for s in samples if label_of(s[0]) in (a, b)]
-            signs = np.array([1 if label_of(s[0]) == a else -1 for s in mine])
-            made.append(Duel(a, b, *fit_svm([(p, v) for _, p, v in mine], signs)))
-        return made
-
-    out.between = duels(list(out.families), lambda x: families.get(x, x))
-    out.within = {f: duels(langs, lambda x: x) for f, langs in out.families.items() if len(langs) > 1}
+def machines_of(lang: str, draw: str, families: Mapping[str, list[str]]) -> list[tuple[str, str, str, int]]:
+    """The machines that a row of a language helps to fit: kind (`between`, `within`), both labels, and the side it is on."""
+    family, names = next(f for f, langs in families.items() if lang in langs), sorted(families)
+    out = [("within", *sorted((lang, other)), 1 if lang < other else -1) for other in families[family] if other != lang]
+    if len(names) == 2:
+        return [*out, ("between", names[0], names[1], 1 if family == names[0] else -1)]
+    others = [f for f in names if f != family]
+    if len(others) > AGAINST:
+        others = sorted({others[xxhash.xxh64_intdigest(f"{draw}|{i}") % len(others)] for i in range(AGAINST)})
+    return [*out, *([("between", family, "", 1)] if others else []), *[("between", f, "", -1) for f in others]]
+
+
+def assembled(families: Mapping[str, list[str]], found: list[tuple[str, str, str, np.ndarray, float]]) -> Hierarchy:
+    """The hierarchy of fitted machines (kind, labels, weights, bias)."""
+    out = Hierarchy({f: sorted(langs) for f, langs in sorted(families.items())})
+    for kind, first, second, weights, bias in sorted(found, key=lambda m: m[:3]):
+        if kind == "between":
+            out.between.append(Duel(first, second or None, weights, bias))
+        else:
+            out.within.setdefault(next(f for f, langs in families.items() if first in langs), []).append(Duel(first, second, weights, bias))
     return out
 
 
-def decide(labels: list[str], duels: list[Duel], values: Mapping[tuple[str, str], float]) -> tuple[str, float]:
+def decide(labels: list[str], duels: list[Duel], values: Mapping[tuple[str, str | None], float]) -> tuple[str, float]:
     """The label with the most won duels (ties: the larger sum of margins, then the first name) and the mean probability of
-    its duels, of which a margin of 1 counts 0.95."""
-    if len(labels) == 1:
-        return labels[0], 1.0
-    wins, sums = dict.fromkeys(labels, 0), dict.fromkeys(labels, 0.0)
+    its duels, of which a margin of 1 counts 0.95. A machine against the rest is a duel that nobody wins by losing it."""
+    if len(labels) == 1 or not duels:
+        return min(labels), 1.0 if len(labels) == 1 else 1.0 / len(labels)
+    wins, sums, own = dict.fromkeys(labels, 0), dict.fromkeys(labels, 0.0), {x: [] for x in labels}
     for d in duels:
         v = values[d.first, d.second]
-        wins[d.first if v > 0 else d.second] += 1
-        sums[d.first] += v
-        sums[d.second] -= v
+        for label, side in ((d.first, v), (d.second, -v)):
+            if label is not None:
+                wins[label] += side > 0
+                sums[label] += side
+                own[label].append(side)
     best = max(sorted(labels), key=lambda x: (wins[x], sums[x]))
-    own = [values[d.first, d.second] * (1 if d.first == best else -1) for d in duels if best in (d.first, d.second)]
-    return best, float(np.mean([1 / (1 + np.exp(-3 * np.clip(v, -20, 20))) for v in own]))
+    return best, float(np.mean([1 / (1 + np.exp(-3 * np.clip(v, -20, 20))) for v in own[best]])) if own[best] else 0.5
 
 
 def predict(model: Hierarchy, text: str | None, weights: np.ndarray) -> tuple[str, float]:
@@ -153,34 +163,62 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int32), (FEATURE_SCALE * counts / max(1, counts.sum())).astype(np.float32)
 
 
-def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(lang, *features(text)) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        if rows:
-            langs, at, values = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array([x.tobytes() for x in at]), pa.array([x.tobytes() for x in values])], names=["lang", "at", "vals"])
+def _sample_rows(families: Mapping[str, list[str]]):
+    """Each row's features, for each machine that it helps to fit."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for lang, text, draw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                at, values = (x.tobytes() for x in features(text))
+                made += [(*machine, draw, at, values) for machine in machines_of(lang, draw, families)]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], names=["kind", "first", "second", "side", "draw", "at", "vals"])
+
+    return rows
+
+
+_SAMPLED = "kind string, first string, second string, side long, draw string, at binary, vals binary"
+_FITTED = "kind string, first string, second string, at binary, vals binary, bias double"
+
+
+def _fit_machine(table: pa.Table) -> pa.Table:
+    rows = sorted(zip(*(table[c].to_pylist() for c in ("side", "draw", "at", "vals")), strict=True))
+    weights, bias = fit_svm([(np.frombuffer(at, np.int32), np.frombuffer(v, np.float32)) for _, _, at, v in rows], np.array([r[0] for r in rows]))
+    at = np.flatnonzero(weights).astype(np.int32)
+    names = [table[c][0].as_py() for c in ("kind", "first", "second")]
+    arrays = [*[pa.array([x]) for x in names], pa.array([at.tobytes()], pa.binary()), pa.array([weights[at].tobytes()], pa.binary()), pa.array([float(bias)])]
+    return pa.Table.from_arrays(arrays, names=["kind", "first", "second", "at", "vals", "bias"])
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, families: Mapping[str, str] = FAMILIES, lang: str = "lang", text: str = "text", order: Column | None = None) -> Hierarchy:
     """Fit on the `sample` distinct texts of each language (null labels and texts without letters left out) whose hash `order`
-    is smallest, so copies weigh nothing. A threshold on the hash, from counts of distinct hashes for each language, keeps
-    all other rows out of the shuffle, and equal rows are combined before it."""
+    is smallest, so copies weigh nothing and the order of rows does not matter. A threshold on the hash, from counts of
+    distinct hashes for each language, keeps all other rows out of the shuffle, and equal rows are combined before it. A
+    table without such rows gives a model that knows no language. Any number of languages is learned; the model (up to half a
+    megabyte for a machine), and what the driver holds, grow with them and their relatives, not with the rows."""
     bound_batches(labelled.sparkSession)
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), (order if order is not None else F.md5(F.col(text))).alias("draw"))
-    counts = rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()  # one for each language
     if not counts:
         return Hierarchy()
+    tree: dict[str, list[str]] = {}
+    for r in sorted(counts, key=lambda r: r["lang"]):
+        tree.setdefault(families.get(r["lang"], r["lang"]), []).append(r["lang"])
     # the first eight hexadecimal digits of the hash as a share of all; twice the sample and some more are let through
     share = F.conv(F.substring("draw", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    most = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (2.0 * sample + 100) / r["n"]))])
-    few = rows.filter(share < F.element_at(most, F.col("lang"))).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    most = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, (2.0 * sample + 100) / r["n"])) for r in counts], "lang string, most double")
+    few = rows.join(F.broadcast(most), "lang").filter(share < F.col("most")).groupBy("lang", "draw").agg(F.min("text").alias("text"))  # one row for each language
     first = few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).filter(F.col("place") <= sample)
-    found = first.select("lang", "text", "draw").mapInArrow(_sample_features, "lang string, at binary, vals binary").collect()
-    samples = [(r["lang"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["vals"], np.float32)) for r in found]
-    return fit(sorted(samples, key=lambda s: (s[0], s[1].tobytes(), s[2].tobytes())), families)
+    sampled = first.select("lang", "text", "draw").mapInArrow(_sample_rows(tree), _SAMPLED)
+    fitted = sampled.groupBy("kind", "first", "second").applyInArrow(_fit_machine, _FITTED).collect()  # one for each machine
+    found = []
+    for r in fitted:
+        weights = np.zeros(_SIZE, np.float32)
+        weights[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["vals"], np.float32)
+        found.append((r["kind"], r["first"], r["second"], weights, r["bias"]))
+    return assembled(tree, found)
 
 
 def identify(docs: DataFrame, model: Hierarchy, text: str = "text") -> DataFrame:
@@ -192,7 +230,7 @@ def identify(docs: DataFrame, model: Hierarchy, text: str = "text") -> DataFrame
     duels = model.duels()
     weights = np.stack([d.weights for d in duels], axis=1) if duels else np.zeros((_SIZE, 0), np.float32)
     bare = Hierarchy(model.families, [Duel(d.first, d.second, np.zeros(0), d.bias) for d in model.between], {f: [Duel(d.first, d.second, np.zeros(0), d.bias) for d in ds] for f, ds in model.within.items()})
-    shared = spark.sparkContext.broadcast((bare, weights))  # a megabyte for each pair of related languages
+    shared = spark.sparkContext.broadcast((bare, weights))  # a quarter of a megabyte for each machine
     docs = docs.drop("lang_pred", "score")
     at = docs.columns.index(text)
 
