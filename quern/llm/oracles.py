@@ -39,4 +39,21 @@ SELECT doc_id, size, CASE WHEN b IS NULL THEN NULL ELSE xor(4294967295, list_red
 FROM placed JOIN bytes USING (doc_id), steps
 """
 
-ORACLES: dict[str, str] = {"op1_warc_pages": _OP1, "op4_mix_sources": _OP4, "op6_shard_documents": _OP6}
+#: Every window of every document: shared shingles with multiplicity, over the shingles at the hits' positions alone.
+_WORDS = "string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')"
+_OP9 = f"""
+WITH docs AS (SELECT doc_id, ws, len(ws) AS n FROM (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE text IS NOT NULL) WHERE ws[1] <> ''),
+items AS (SELECT item_id, ws, len(ws) AS m, least(len(ws), 5) AS size FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark WHERE text IS NOT NULL) WHERE ws[1] <> ''),
+wanted AS (SELECT item_id, m, size, array_to_string(ws[p:p + size - 1], ' ') AS sh, COUNT(*) AS times FROM (SELECT *, unnest(range(1, m - size + 2)) AS p FROM items) GROUP BY ALL),
+places AS (SELECT doc_id, n, size, p, array_to_string(ws[p:p + size - 1], ' ') AS sh FROM (SELECT *, unnest(range(1, n - size + 2)) AS p FROM docs, (SELECT DISTINCT size FROM items))),
+hits AS (SELECT doc_id, item_id, p, sh, times, n, m, least(n, m) - size + 1 AS own, m - size + 1 AS its FROM places JOIN wanted USING (size, sh)),
+near AS (SELECT doc_id, item_id, any_value(n) AS n, any_value(m) AS m, any_value(own) AS own, any_value(its) AS its FROM hits GROUP BY doc_id, item_id HAVING COUNT(*) >= 0.8 / 1.8 * (any_value(own) + any_value(its)) - 1e-9),
+windows AS (SELECT DISTINCT h.doc_id, h.item_id, unnest(range(greatest(1, h.p - h.own + 1), least(h.p, greatest(h.n - h.m, 0) + 1) + 1)) AS s FROM hits h JOIN near USING (doc_id, item_id)),
+shared AS (SELECT doc_id, item_id, s, sh, least(COUNT(*), any_value(times)) AS k FROM windows JOIN hits USING (doc_id, item_id) WHERE p BETWEEN s AND s + own - 1 GROUP BY ALL),
+scored AS (SELECT doc_id, item_id, s, SUM(k)::DOUBLE AS k FROM shared GROUP BY ALL),
+likened AS (SELECT doc_id, item_id, s, least(n, m) AS n_words, k / (own + its - k) AS similarity FROM scored JOIN near USING (doc_id, item_id))
+SELECT doc_id, item_id, (s - 1)::INT AS start_word, n_words::INT AS n_words, similarity FROM likened WHERE similarity >= 0.8::DOUBLE
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) = 1
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_pages": _OP1, "op4_mix_sources": _OP4, "op6_shard_documents": _OP6, "op9_decontamination": _OP9}
