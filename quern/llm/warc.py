@@ -23,12 +23,10 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage,
 )
 
-from quern.llm.storage import open_fs, scratch_path
+from quern.llm.storage import open_fs, scratch_path, shuffle_partitions
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, payload_bytes long, payload binary"
-#: Columns that come from headers alone; filters on them are decided before a payload is inflated.
-HEADER_COLUMNS = ("record_id", "record_type", "target_uri", "date", "payload_digest", "refers_to", "payload_bytes")
-#: Header of each of those columns that a record states directly.
+#: Columns that a record's headers state directly, and the header of each; filters on them are decided before a block is read.
 HEADER_OF = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A file is closed when it has grown beyond this; each file is one read partition.
@@ -162,6 +160,12 @@ class _Member:
         self.tail = b"".join(parts)
         return self.tail[: self.length]
 
+    def more(self) -> bool:
+        """Reads some more of the block; whether there was any."""
+        before = len(self.tail)
+        self.tail += self._inflate(4096) if self.compressed else self.stream.read(4096)
+        return len(self.tail) > before
+
     def skip(self) -> None:
         """Go to the next record, inflating nothing where the member states its length."""
         if not self.compressed:
@@ -235,24 +239,21 @@ class WarcReader(DataSourceReader):
                     if held > BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
                         rows, held = [], 0
-                else:
-                    if not member.compressed:
-                        member.block()
                 member.skip()
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     def _content(self, member: _Member, head: dict[str, str], row: dict) -> dict:
+        """Size and payload. Without need of the payload no more is read of a block than its HTTP header."""
+        whole = self.payload or self.verify
         if row["record_type"] not in ("response", "revisit", "resource"):
-            block = member.block()
-            return {"payload_bytes": len(block), "payload": block if self.payload else None}
+            return {"payload_bytes": member.length, "payload": member.block() if self.payload else None}
         http = head.get("content-type", "").startswith("application/http")
-        whole = self.payload or self.verify or not http or not member.compressed
         if whole:
             block = member.block()
-        else:  # the HTTP header alone
-            while b"\r\n\r\n" not in member.tail and len(member.tail) < member.length:
-                member.tail += member._inflate(4096)
+        else:
+            while http and b"\r\n\r\n" not in member.tail[: member.length] and len(member.tail) < member.length and member.more():
+                pass
             block = member.tail[: member.length]
         inner, _, payload = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
         stated = parse_headers(inner).get("content-length")
@@ -260,8 +261,7 @@ class WarcReader(DataSourceReader):
             return {"payload_bytes": int(stated) if stated else None, "payload": None}
         if self.verify and row["payload_digest"] not in (None, base32_sha1(payload)):
             raise ValueError(f"the payload of {row['record_id']} does not have its stated digest")
-        size = len(payload) if whole else member.length - len(inner) - 4
-        return {"payload_bytes": size, "payload": payload if self.payload else None}
+        return {"payload_bytes": member.length - (len(inner) + 4 if http else 0), "payload": payload if self.payload else None}
 
 
 @dataclass
@@ -333,7 +333,8 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
-#: Records with equal payloads are dealt to so many tasks each, so no payload gathers in one task.
+#: Records with equal payloads are dealt to so many tasks each at least (as many as a shuffle has, if these are more), so no
+#: payload gathers in one task.
 SALTS = 32
 
 
@@ -343,21 +344,21 @@ def archive_pages(pages: DataFrame, path: str, key: str = "page_id", url: str =
     The payload is `html` in UTF-8 (null: empty). Of records with equal payloads of at least `min_bytes` bytes, that with
     the smallest `key` is a response (ties: the smallest hash of the url; rows alike in both are all responses) and the
     others are revisits that refer to it and carry no payload; smaller payloads are all responses. A null key counts as
-    larger than any other and is written as `null`. Other columns are not archived. An empty table gives an archive
+    larger than any other and is written as `null`; keys that are no integers come back as null. Other columns are not archived. An empty table gives an archive
     without files.
 
     The first record of each payload comes from slim rows (digest, key), combined before each shuffle, first for each salt
     and then for each digest; the pages then join it on (digest, salt), so a payload that a third of all pages share is
     spread over tasks."""
-    text = F.coalesce(F.col(html).cast("string"), F.lit(""))
+    text, salts = F.coalesce(F.col(html).cast("string"), F.lit("")), max(SALTS, shuffle_partitions(pages.sparkSession))
     rows = pages.select(
         F.col(key).alias("key"), F.col(url).cast("string").alias("target_uri"), F.coalesce(F.xxhash64(F.col(url)), F.lit(0)).alias("tie"),
         text.alias("text"), F.sha1(text.cast("binary")).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"),
-        F.pmod(F.xxhash64(F.col(key), F.col(url)), F.lit(SALTS)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64(F.col(key), F.col(url)), F.lit(salts)).cast("int").alias("salt"),
     )
     first = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "tie")).alias("first")
     partial = rows.filter(F.col("n_bytes") >= min_bytes).groupBy("digest", "n_bytes", "salt").agg(first)
-    firsts = partial.groupBy("digest", "n_bytes").agg(F.min("first").alias("first"), F.collect_set("salt").alias("salts"))  # at most SALTS in a set
+    firsts = partial.groupBy("digest", "n_bytes").agg(F.min("first").alias("first"), F.collect_set("salt").alias("salts"))  # at most `salts` in a set
     firsts = firsts.withColumn("salt", F.explode("salts")).drop("salts")
     joined = rows.join(firsts, ["digest", "n_bytes", "salt"], "left")
     again = F.col("first").isNotNull() & (F.struct(F.col("key").isNull().alias("last"), "key", "tie") != F.col("first"))
