@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.storage import free_names, materialise
+from quern.llm.storage import free_names, materialise, shuffle_partitions
 
 #: Up to so many sources the rates are broadcast (a few MB at most); beyond it they are joined by a shuffle.
 MAX_BROADCAST_SOURCES = 10_000
@@ -65,8 +65,9 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, epo
     if rates.count() <= MAX_BROADCAST_SOURCES:
         rated = docs.join(F.broadcast(rates), docs[source].eqNullSafe(rates[src])).drop(src)
     else:
-        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = docs.withColumn(salt, F.pmod(F.xxhash64(key, text), F.lit(SALTS)).cast("int"))
+        salts = max(SALTS, shuffle_partitions(docs.sparkSession))
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        dealt = docs.withColumn(salt, F.pmod(F.xxhash64(key, text), F.lit(salts)).cast("int"))
         rated = dealt.join(salted, dealt[source].eqNullSafe(salted[src]) & (dealt[salt] == salted[salt])).drop(dealt[salt]).drop(salted[salt], src)
     ident = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     units = F.transform(F.sequence(F.lit(1), F.col(parts_of)), lambda j: hash_unit(F.lit(f"poisson|{seed}"), ident, j.cast("string")))

@@ -35,10 +35,10 @@ def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text
     its neighbours' shards smaller or empty. Input columns named like an added one are replaced by it.
 
     Plan: one range shuffle, one write to the shared folder that fixes each row's partition and position; per-partition
-    totals (as many rows as partitions) give each partition's base; running sums stay inside a partition; at most `shards`
-    cut rows reach the driver and label the rows by comparison, so wide rows are shuffled once and never joined."""
+    totals (as many rows as partitions, broadcast) give each partition's base; running sums stay inside a partition; at most
+    `shards` cut rows reach the driver and label the rows by comparison, so wide rows are shuffled once."""
     spark = docs.sparkSession
-    rid, digest = free_names(docs.columns, "rid", "digest")
+    rid, digest, part, base = free_names(docs.columns, "rid", "digest", "part", "base")
     size = F.coalesce(F.col(n_bytes) if n_bytes else F.octet_length(F.col(text)), F.lit(0)).cast("long") + F.lit(overhead)
     laid = docs.withColumns({"size": size, digest: F.xxhash64(F.col(tie or text))})
     order = F.col(key).asc_nulls_first(), F.col(digest)
@@ -56,6 +56,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text
         F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("row_base"),
         F.sum("bytes").over(every).alias("total"),
     )
+    bases = materialise(bases, "shard-bases")  # one row for each partition
     run = F.sum("size").over(Window.partitionBy("pid").orderBy("rid").rowsBetween(Window.unboundedPreceding, 0))
     placed = slim.withColumn("run", run).join(F.broadcast(bases), "pid")  # as many rows as partitions
     middle = F.expr(f"least({shards - 1}, ({shards} * (2 * (byte_base + run) - size)) div (2 * total))")
@@ -63,10 +64,10 @@ def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text
     cuts = sorted(placed.groupBy("shard").agg(F.min("rid").alias("rid"), F.min("row").alias("row")).collect(), key=lambda r: r["rid"])
     if not cuts:
         return laid.drop(rid).withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    row_bases = {r["pid"]: r["row_base"] for r in bases.select("pid", "row_base").collect()}  # one row for each partition
-    starts = [(pid << _PART_SHIFT, base) for pid, base in sorted(row_bases.items())]
-    row = _case(F.col(rid), starts) + F.col(rid).bitwiseAND((1 << _PART_SHIFT) - 1)
+    row_bases = F.broadcast(bases.select(F.col("pid").alias(part), F.col("row_base").alias(base)))  # one row for each partition
+    laid = laid.join(row_bases, F.shiftright(rid, _PART_SHIFT).cast("int") == F.col(part))
+    row = F.col(base) + F.col(rid).bitwiseAND((1 << _PART_SHIFT) - 1)
     return laid.withColumns({
         "shard": _case(F.col(rid), [(c["rid"], c["shard"]) for c in cuts]).cast("int"),
         "slot": (row - _case(F.col(rid), [(c["rid"], c["row"]) for c in cuts])).cast("long"),
-    }).drop(rid)
+    }).drop(rid, part, base)
