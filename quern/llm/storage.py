@@ -131,7 +131,52 @@ def few_rows(spark: SparkSession) -> Iterator[None]:
 
 
 def in_key_order(df: DataFrame, key: str, tie: Column) -> DataFrame:
-    """`df` in ascending key order (nulls first, then `tie`) over partitions 0, 1, ..., with one shuffle and a scan of the key."""
-    bounds = range_bounds(df, key, shuffle_partitions(df.sparkSession))
-    dealt = df.repartitionById(len(bounds) + 1, range_index(F.col(key), bounds))
-    return dealt.sortWithinPartitions(F.col(key).asc_nulls_first(), tie)
+    """`df` in ascending key order (nulls first, then `tie`, a hash) over partitions 0, 1, ..., with one shuffle and a scan of
+    the key and the hash. Ranges are cut by both, so rows that share a key are spread over tasks; only rows alike in both
+    stay together."""
+    spark = df.sparkSession
+    order, name = free_names(df.columns, "order", "tie")
+    hashed = df.withColumn(name, tie)
+    bounds = _pair_bounds(hashed, key, name, shuffle_partitions(spark))
+    if not bounds:
+        return hashed.repartition(1).sortWithinPartitions(F.col(key).asc_nulls_first(), name).drop(name)
+    dealt = hashed.withColumn(order, pair_index(F.col(key), F.col(name), bounds)).repartitionById(len(bounds) + 1, F.col(order))
+    return dealt.sortWithinPartitions(F.col(key).asc_nulls_first(), name).drop(order, name)
+
+
+def _pair_bounds(df: DataFrame, key: str, tie: str, parts: int) -> list[tuple[int | None, int]]:
+    """Ascending (key, tie) pairs that cut `df` into near-equal ranges: cuts of the key, and where a key is cut more than once,
+    cuts of its hashes in equal steps."""
+    if parts < 2:
+        return []
+    fractions = [i / parts for i in range(1, parts)]
+    row = df.agg(F.percentile_approx(key, fractions, 100 * parts).alias("b"), F.count(key).alias("n"), F.count(F.lit(1)).alias("all")).first()
+    n_null = row["all"] - row["n"]
+    null_cuts = parts * n_null // row["all"] if row["all"] else 0
+    cuts: list[tuple[int | None, int]] = [(None, t) for t in _hash_steps(null_cuts)]
+    times: dict[int, int] = {}
+    for b in row["b"] or []:
+        times[b] = times.get(b, 0) + 1
+    for b in sorted(times):
+        cuts += [(b, -(1 << 63)), *[(b, t) for t in _hash_steps(times[b] - 1)]] if times[b] > 1 else [(b, -(1 << 63))]
+    return cuts
+
+
+def _hash_steps(n: int) -> list[int]:
+    """n values that cut the 64-bit integers into equal parts."""
+    return [-(1 << 63) + (i << 64) // (n + 1) for i in range(1, n + 1)]
+
+
+def pair_index(key: Column, tie: Column, bounds: list[tuple[int | None, int]]) -> Column:
+    """How many of the ascending (key, tie) `bounds` are not above a row, null keys being lowest: a binary search."""
+    known, keys, ties = F.lit([int(k is not None) for k, _ in bounds]), F.lit([k or 0 for k, _ in bounds]), F.lit([t for _, t in bounds])
+    f, k, steps = key.isNotNull().cast("int"), F.coalesce(key, F.lit(0)), len(bounds).bit_length()
+
+    def step(at: Column, i: Column) -> Column:
+        to = at + F.element_at(F.lit([1 << (steps - 1 - j) for j in range(steps)]), i)
+        j = F.least(to, F.lit(len(bounds)))
+        bf, bk, bt = F.element_at(known, j), F.element_at(keys, j), F.element_at(ties, j)
+        above = (f > bf) | ((f == bf) & ((k > bk) | ((k == bk) & (tie >= bt))))
+        return F.when((to <= len(bounds)) & above, to).otherwise(at)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0), step)

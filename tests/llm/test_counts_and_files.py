@@ -146,3 +146,32 @@ def test_files_with_other_rules_are_left_to_the_library():
     assert not own.cuts
     for text in ("Hello  World <|endoftext|> again", "", " a b "):
         assert np.frombuffer(own.encode_batch([text])[0], np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("null_share", [0.0, 0.5])
+def test_ranges_split_rows_that_share_a_key(spark, null_share):
+    from quern.llm.storage import in_key_order
+
+    rows = [(None if i < 1000 * null_share else 7 if i < 800 else i, f"t{i}") for i in range(1000)]
+    laid = in_key_order(spark.createDataFrame(rows, "key long, text string"), "key", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
+    found = [(r["part"], r["key"] is not None, r["key"] or 0) for r in laid.collect()]
+    assert found == sorted(found) and len(found) == 1000  # the order holds over the partitions
+    sizes = {}
+    for part, *_ in found:
+        sizes[part] = sizes.get(part, 0) + 1
+    assert max(sizes.values()) < 450 and len(sizes) >= 3
+
+
+def test_token_counts_of_a_whole_table(spark, trie):
+    from compare import TINY
+
+    from quern.llm.queries import op2_token_counts
+
+    want, known = [], {}
+    for r in spark.read.parquet(f"{TINY}/documents.parquet").collect():
+        words = (r["text"] or "").split()
+        for w in words:
+            if w not in known:
+                known[w] = brute(tokencounts.START + w, trie.scores, trie.unknown)
+        want.append((r["doc_id"], len(words), sum(known[w] for w in words)))
+    assert sorted(map(tuple, op2_token_counts(spark, TINY).select("doc_id", "n_pretokens", "n_tokens").collect())) == sorted(want)
