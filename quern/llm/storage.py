@@ -158,7 +158,10 @@ def _pair_bounds(df: DataFrame, key: str, tie: str, parts: int) -> list[tuple[in
     for b in row["b"] or []:
         times[b] = times.get(b, 0) + 1
     for b in sorted(times):
-        cuts += [(b, -(1 << 63)), *[(b, t) for t in _hash_steps(times[b] - 1)]] if times[b] > 1 else [(b, -(1 << 63))]
+        cuts.append((b, -(1 << 63)))
+        if times[b] > 1:  # the key fills ranges of its own
+            cuts += [(b, t) for t in _hash_steps(times[b] - 1)]
+            cuts += [(b + 1, -(1 << 63))] if b < (1 << 63) - 1 and b + 1 not in times else []
     return cuts
 
 
