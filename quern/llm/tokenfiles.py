@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import struct
 import uuid
 import zlib
@@ -180,31 +181,40 @@ class WrongCut(Exception):
 
 
 class _Pieces(dict):
-    """Ids of pieces, found by an encoder when they are first asked for."""
+    """Ids of pieces, found by an encoder when they are first asked for. When there are too many, those that are asked for
+    again are taken over and the rest are forgotten in the end."""
 
     def __init__(self, encoder: Encoder, space: str):
         super().__init__()
-        self.encoder, self.space = encoder, space
+        self.encoder, self.space, self.before = encoder, space, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encoder.piece(piece, self.space, self)
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.encoder.piece(piece, self.space, self)
         if len(piece) <= Encoder.LONGEST:
             self[piece] = ids
         return ids
 
+    def age(self) -> None:
+        if len(self) > Encoder.PIECES:
+            self.before = dict(self)
+            self.clear()
+
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, equal to its `encode(text, add_special_tokens=False)`, markers of a text's
     end and other added tokens included.
 
     A text is cut where a byte-level pre-tokenizer always starts a new word and no added token reaches across: at single
-    spaces and line ends between two other characters, and between ASCII letters and a mark. The library encodes each
-    distinct piece once (its model alone where a piece is of ASCII letters, which are one word), with the space before it,
+    spaces and line ends between two other characters, and between letters and the marks after them. The library encodes each
+    distinct piece once (its model alone where a piece is of Latin letters, which are one word), with the space before it,
     and its ids are kept in a bounded cache. With a tokenizer file for which that does not hold, it encodes texts as they are."""
 
-    #: Pieces kept, and characters of a piece that is kept; the cache starts anew beyond its bound.
-    PIECES, LONGEST = 800_000, 64
-    MARKS = ".,!?;:"
+    #: Pieces in a generation of the cache, of which two are kept, and characters of a piece that is kept.
+    PIECES, LONGEST = 700_000, 64
+    #: Characters below this are letters, or none, in every version of Unicode.
+    SETTLED = "\u0250"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker on each core
@@ -215,36 +225,41 @@ class Encoder:
             rules = json.load(f)
         cutter, added = rules.get("pre_tokenizer") or {}, rules.get("added_tokens", [])
         plain = not any(rules.get(k) for k in ("normalizer", "truncation", "padding", "post_processor")) and not rules["model"].get("dropout")
-        marked = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s|^\w|\w$|^[.,!?;:]", t["content"])) for t in added)
+        marked = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s|^\w", t["content"])) for t in added)
         self.cuts = plain and marked and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
         self.cut = regex.compile(r"(?<=\S) (?=\S)")
         self.spaced, self.bare = _Pieces(self, " "), _Pieces(self, "")
         if self.cuts:
-            self.model, self.letter = self.library.model, self.library.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]  # what stands for a space
-            self.marks = {m: self._library(m) for m in (*self.MARKS, "\n")}
+            shown = lambda text: self.library.pre_tokenizer.pre_tokenize_str(text)[0][0]  # noqa: E731  how the model sees a word
+            self.model, self.space, self.line = self.library.model, shown(" a")[0], self._library("\n")
+            self.letters = {i: shown(chr(i)) for i in range(ord(self.SETTLED)) if chr(i).isalpha()}
 
     def _library(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _word(self, word: str) -> bool:
+        return word.isalpha() and (word.isascii() or max(word) < self.SETTLED)
+
     def piece(self, piece: str, space: str, alike: _Pieces) -> bytes:
-        if piece.isascii() and piece.isalpha():
-            return array("I", [t.id for t in self.model.tokenize(self.letter + piece if space else piece)]).tobytes()
+        if self._word(piece):
+            word = piece if piece.isascii() else piece.translate(self.letters)
+            return array("I", [t.id for t in self.model.tokenize(self.space + word if space else word)]).tobytes()
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise WrongCut
-        if piece[-1] in self.MARKS and piece.isascii() and piece[:-1].isalpha():
-            return alike[piece[:-1]] + self.marks[piece[-1]]
+        stem = piece.rstrip(string.punctuation)
+        if stem != piece and self._word(stem):
+            return alike[stem] + self.bare[piece[len(stem) :]]
         line, _, more = piece.partition("\n")
         if more and not line[-1].isspace() and not more[0].isspace():
-            return alike[line] + self.marks["\n"] + self.bare[more]
+            return alike[line] + self.line + self.bare[more]
         return self._library(space + piece)
 
     def encode(self, text: str) -> bytes:
         """The ids as unsigned 32-bit integers in the machine's order."""
         if not self.cuts:
             return self._library(text)
-        if len(self.spaced) + len(self.bare) > self.PIECES:
-            self.spaced.clear()
-            self.bare.clear()
+        self.spaced.age()
+        self.bare.age()
         pieces = text.split(" ")
         try:
             return self.bare[pieces[0]] + b"".join(map(self.spaced.__getitem__, pieces[1:]))

@@ -90,11 +90,20 @@ def encoded(*texts):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet="ab 1 \n\t'.,sé日\x85\xa0\x1f²Ⅷ_<|", max_size=40), max_size=4))
+@given(st.lists(st.text(alphabet="ab 1 \n\t'.,sé日\x85\xa0\x1f²Ⅷ_<|ßñªµ$&Ǆʼ", max_size=40), max_size=4))
 def test_encoder_equals_the_library(library, texts):
     assert encoded(*texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_the_cache_ages(library, monkeypatch):
+    monkeypatch.setattr(tokenfiles.Encoder, "PIECES", 20)
+    own = tokenfiles.Encoder(BPE)
+    texts = [" ".join(f"word{i % 7} x{chr(97 + i % 26)}y{i}, again." for i in range(n, n + 9)) for n in range(60)]
+    for text in texts:
+        assert np.frombuffer(own.encode(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(own.spaced) <= 20 + 4 * 9 and len(own.spaced.before) <= 20 + 4 * 9
+
+
 def test_query_against_the_library(spark, library):
     from compare import TINY
 
