@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.dates import to_ymd
 from quern.functions.numbers import to_number
+from quern.functions.text import none_if_blank, trimmed
 from quern.operators.best import repeated
 
 log = logging.getLogger("quern.profile")
@@ -24,10 +26,14 @@ def _rules(name: str, columns: list[str]) -> dict:
     def number(c: str):
         return to_number(F.col(c))
 
+    def unparsed(c: str):
+        return none_if_blank(trimmed(F.col(c))).isNotNull() & to_ymd(F.col(c)).isNull()
+
     rules = {
+        "customers": {"signup_date": ("signup_date_unparsed", lambda: unparsed("signup_date"))},
         "products": {"price": ("price_le_0", lambda: number("price") <= 0)},
-        "sales": {"quantity": ("quantity_le_0", lambda: number("quantity") <= 0), "discount": ("discount_out_of_range", lambda: ~number("discount").between(0, 100))},
-        "weather_daily": {"precip_mm": ("precip_mm_lt_0", lambda: number("precip_mm") < 0)},
+        "sales": {"quantity": ("quantity_le_0", lambda: number("quantity") <= 0), "discount": ("discount_out_of_range", lambda: ~number("discount").between(0, 100)), "sale_date": ("sale_date_unparsed", lambda: unparsed("sale_date"))},
+        "weather_daily": {"precip_mm": ("precip_mm_lt_0", lambda: number("precip_mm") < 0), "date": ("date_unparsed", lambda: unparsed("date"))},
     }
     return {rule: test() for c, (rule, test) in rules.get(name, {}).items() if c in columns}
 

@@ -233,7 +233,7 @@ ORACLES = {
         FROM sales_silver s LEFT JOIN customers_silver c ON s.customer_id = c.customer_id LEFT JOIN products_silver p ON s.product_id = p.product_id
         LEFT JOIN (SELECT DISTINCT date, city FROM weather_silver) w ON w.date = s.sale_date AND w.city = c.city""",
     "a13_profile": f"WITH {_raw('sales')} SELECT COUNT(*) AS n, " + ", ".join(f"COUNT(*) FILTER ({c} IS NULL) AS null_{c}" for c in ("sale_id", "customer_id", "product_id", "sale_date", "quantity", "discount"))
-        + f", COUNT(*) FILTER ({number('quantity')} <= 0) AS quantity_le_0, COUNT(*) FILTER ({number('discount')} < 0 OR {number('discount')} > 100) AS discount_out_of_range FROM raw_sales",
+        + f", COUNT(*) FILTER ({number('quantity')} <= 0) AS quantity_le_0, COUNT(*) FILTER ({number('discount')} < 0 OR {number('discount')} > 100) AS discount_out_of_range, COUNT(*) FILTER ({trim('sale_date')} <> '' AND {day('sale_date')} IS NULL) AS sale_date_unparsed FROM raw_sales",
     "a14_duplicates": f"WITH {_raw('products')} SELECT COUNT(DISTINCT product_id) AS distinct_product_id, COUNT(DISTINCT product_name) AS distinct_product_name, COUNT(DISTINCT category) AS distinct_category, COUNT(DISTINCT price) AS distinct_price, (COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM raw_products)))::BIGINT AS duplicate_rows, (COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT product_id FROM raw_products)))::BIGINT AS duplicate_keys FROM raw_products",
     "a18_top_categories": f"WITH {_raw('products')} SELECT category AS value, COUNT(*) AS rows FROM raw_products WHERE category IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "a22_digits_in_names": f"WITH {_raw('products')}, {_PRODUCTS} SELECT COUNT(*) FILTER (regexp_matches(product_name, '\\d')) AS with_digit, COUNT(*) AS products FROM products_silver",
