@@ -13,8 +13,9 @@ SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def trimmed(c: Column) -> Column:
-    """Without white space (any Unicode one) at either end."""
-    return F.btrim(c.cast("string"), F.lit(SPACES))
+    """Without white space (any Unicode one) at either end. Cells of printable ASCII alone, most of them, have none."""
+    text = c.cast("string")
+    return F.when(text.rlike(r"^[!-~]*\z"), text).otherwise(F.btrim(text, F.lit(SPACES)))
 
 
 def squeezed(c: Column) -> Column:

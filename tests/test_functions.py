@@ -77,3 +77,11 @@ def test_flags_and_lookup(spark):
                                 looked_up(F.lit("x"), {"x": "y"}), looked_up(F.lit("z"), {"x": "y"}), looked_up(F.lit(None).cast("string"), {"x": "y"})).first()
     assert tuple(row) == ("a|c", None, "y", "z", None)
     assert apply(spark, truthy, ["Yes", "1", "t", "no", None]) == [1, 1, 1, 0, 0]
+
+
+def test_trimming_knows_every_white_space(spark):
+    from quern.functions.text import SPACES, trimmed
+
+    cells = [None, "", " ", "a", "a\n", "\na", " a b ", "é", "\u3000é\x1c", *[f"{s}x{s}" for s in SPACES], "x" * 50 + "\r\n", "~!"]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").select("i", trimmed(F.col("c")).alias("t")).collect()
+    assert [r["t"] for r in sorted(rows)] == [None if c is None else c.strip() for c in cells]
