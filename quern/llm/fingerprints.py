@@ -139,7 +139,8 @@ _WIDE = 150
 
 def difference(a: list[int], b: list[int], small: Sketch | None = None, other: Sketch | None = None) -> tuple[list[int], list[int]]:
     """The digests only in `a` and only in `b`: the published sketches (built where not given) are subtracted and peeled; on
-    failure, sketches large enough for two unlike texts, then of twice the cells each time."""
+    failure, sketches large enough for two unlike texts, then of twice the cells each time. Beyond 64 cells for each paragraph,
+    which only digests that collide at every size can need, their plain sets decide."""
     found = (small or Sketch(CELLS, a)).minus(other or Sketch(CELLS, b)).peel()
     rows = len(a) + len(b)
     size = _ROWS * (rows // 2 + 8)
