@@ -56,4 +56,43 @@ SELECT doc_id, item_id, (s - 1)::INT AS start_word, n_words::INT AS n_words, sim
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) = 1
 """
 
-ORACLES: dict[str, str] = {"op1_warc_pages": _OP1, "op4_mix_sources": _OP4, "op6_shard_documents": _OP6, "op9_decontamination": _OP9}
+#: Unsigned CRC-32 of a column of decimal integers, by the table of _OP6.
+_CRC_STEPS = f"steps AS (SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, i: {_BIT}) AS v FROM range(256) AS r(b)))"
+
+
+def _crc_of_decimal(c: str) -> str:
+    octets = f"list_transform(regexp_extract_all(hex(encode({c}::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, x: xor(c >> 8, t[(xor(c & 255, x) + 1)])))"
+
+
+def _framed(*columns: str) -> str:
+    return " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR END" for c in columns)
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP11 = f"""
+WITH RECURSIVE {_CRC_STEPS},
+leaves AS (SELECT doc_id, lang, sha256({_framed("doc_id", "source", "lang", "n_chars", "text")}) AS leaf,
+  CASE WHEN {_crc_of_decimal("doc_id")} % 3 = 0 THEN sha256({_framed("doc_id", "source", "lang", "n_chars", _LOWERED)}) END AS other FROM documents, steps),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, COUNT(*) OVER (PARTITION BY lang) AS n FROM leaves),
+tree AS (SELECT lang, 0 AS lvl, place, leaf AS h, n FROM placed
+  UNION ALL SELECT lang, lvl + 1, place // 8, sha256(string_agg(h, '' ORDER BY place)), any_value((n + 7) // 8) FROM tree WHERE n > 1 GROUP BY lang, lvl, place // 8),
+subroots AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, COUNT(*) OVER () AS n FROM tree WHERE n = 1),
+crown AS (SELECT 0 AS lvl, place, h, n FROM subroots
+  UNION ALL SELECT lvl + 1, place // 8, sha256(string_agg(h, '' ORDER BY place)), any_value((n + 7) // 8) FROM crown WHERE n > 1 GROUP BY lvl, place // 8),
+steps_up AS (SELECT doc_id, p.place AS leaf_place, p.lang, leaf, coalesce(other, leaf) AS start, s.h AS subroot, s.place AS tree_place, lvl, false AS high, p.place >> (3 * lvl) AS own, p.n FROM placed p
+    JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN (SELECT DISTINCT lang, lvl FROM tree WHERE n > 1) t ON t.lang IS NOT DISTINCT FROM p.lang
+  UNION ALL SELECT doc_id, p.place, p.lang, leaf, coalesce(other, leaf), s.h, s.place, lvl, true, s.place >> (3 * lvl), p.n FROM placed p
+    JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang, (SELECT DISTINCT lvl FROM crown WHERE n > 1)),
+runs AS (SELECT u.doc_id, u.leaf_place, u.lang, u.high, u.lvl, string_agg(k.h, '' ORDER BY k.place) FILTER (k.place < own) AS l, string_agg(k.h, '' ORDER BY k.place) FILTER (k.place > own) AS r FROM steps_up u JOIN (
+    SELECT lang, false AS high, lvl, place, h FROM tree WHERE n > 1 UNION ALL SELECT NULL, true, lvl, place, h FROM crown WHERE n > 1) k
+  ON k.high = u.high AND k.lvl = u.lvl AND k.place // 8 = u.own // 8 AND (u.high OR k.lang IS NOT DISTINCT FROM u.lang) GROUP BY ALL),
+ordered AS (SELECT lang, leaf_place, list({{'l': coalesce(l, ''), 'r': coalesce(r, '')}} ORDER BY high, lvl) AS path FROM runs GROUP BY ALL),
+folds AS (SELECT p.lang, p.place, 1 AS i, coalesce(other, leaf) AS h, path FROM placed p LEFT JOIN ordered o ON o.lang IS NOT DISTINCT FROM p.lang AND o.leaf_place = p.place
+  UNION ALL SELECT lang, place, i + 1, sha256(path[i].l || h || path[i].r), path FROM folds WHERE i <= coalesce(len(path), 0))
+SELECT p.doc_id, p.leaf, s.h AS subroot, (SELECT h FROM crown WHERE n = 1) AS root, sha256(coalesce(list_reduce(list_prepend('', list_transform(path, lambda x: x.l || x.r)), lambda a, b: a || b), '')) AS proof_sha256,
+  f.h AS folded_root, f.h = (SELECT h FROM crown WHERE n = 1) AS verified
+FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN folds f ON f.lang IS NOT DISTINCT FROM p.lang AND f.place = p.place AND f.i = coalesce(len(path), 0) + 1
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_pages": _OP1, "op4_mix_sources": _OP4, "op6_shard_documents": _OP6, "op9_decontamination": _OP9, "op11_merkle_manifest": _OP11}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.llm.decontamination import find_leaks
 from quern.llm.fingerprints import fingerprint_documents
 from quern.llm.language import held_out, identify, learnable, train
+from quern.llm.merkle import lowered, proofs
 from quern.llm.mixing import mix_sources
 from quern.llm.pseudolikelihood import score_documents
 from quern.llm.sharding import shard_documents
@@ -85,4 +86,11 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_pages, op2_token_counts, op3_language_id, op4_mix_sources, op5_token_files, op6_shard_documents, op7_fingerprints, op8_lm_scores, op9_decontamination, op10_simhash_components)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle manifest of all documents, with proofs, and folds after lower-casing the texts of a third of them."""
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    found = proofs(_table(spark, sf_dir, "documents"), changed={"text": lowered(F.col("text"))}, where=third)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_pages, op2_token_counts, op3_language_id, op4_mix_sources, op5_token_files, op6_shard_documents, op7_fingerprints, op8_lm_scores, op9_decontamination, op10_simhash_components, op11_merkle_manifest)}

@@ -8,14 +8,16 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+#: Position of the partition number in monotonically_increasing_id().
+PART_SHIFT = 33
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -183,3 +185,29 @@ def pair_index(key: Column, tie: Column, bounds: list[tuple[int | None, int]]) -
         return F.when((to <= len(bounds)) & above, to).otherwise(at)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0), step)
+
+
+def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[str], place: str, total: str, label: str) -> DataFrame:
+    """`df`, written to the shared folder, with each row's place (from 0) in its group in the order of `order` (ascending, nulls
+    first), and the group's number of rows. Groups count nulls as a value; columns of `order` should tell rows apart.
+
+    Rows are laid out in ranges of group and order, so a group with a third of all rows fills several tasks. What a range holds
+    of a group is one piece of a file: a row's place is its distance from the piece's first row and the sizes of the group's
+    pieces before (as many as ranges at most)."""
+    rid, piece, at, low, size, base, every, *same = free_names(df.columns, "rid", "piece", "at", "low", "size", "base", "every", *(f"of_{g}" for g in groups))
+    ascending = [F.col(c).asc_nulls_first() for c in (*groups, *order)]
+    laid = df.repartitionByRange(shuffle_partitions(df.sparkSession), *ascending).sortWithinPartitions(*ascending)
+    laid = materialise(laid.withColumn(rid, F.monotonically_increasing_id()), f"{label}-laid")
+    cut = laid.withColumn(piece, F.shiftright(rid, PART_SHIFT).cast("int"))
+    own = Window.partitionBy(*groups)
+    pieces = cut.groupBy(*groups, piece).agg(F.min(rid).alias(low), F.count(F.lit(1)).alias(size)).withColumns({
+        base: F.coalesce(F.sum(size).over(own.orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), every: F.sum(size).over(own),
+    })
+    pieces = pieces.select(F.col(piece).alias(at), low, base, every, *[F.col(g).alias(s) for g, s in zip(groups, same, strict=True)])
+    on = F.col(piece) == F.col(at)
+    for g, s in zip(groups, same, strict=True):
+        on &= F.col(g).eqNullSafe(F.col(s))
+    places = cut.join(pieces, on).select(*df.columns, (F.col(rid) - F.col(low) + F.col(base)).alias(place), F.col(every).alias(total))
+    out = materialise(places, label)
+    discard(laid)
+    return out
