@@ -95,4 +95,23 @@ SELECT p.doc_id, p.leaf, s.h AS subroot, (SELECT h FROM crown WHERE n = 1) AS ro
 FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN folds f ON f.lang IS NOT DISTINCT FROM p.lang AND f.place = p.place AND f.i = coalesce(len(path), 0) + 1
 """
 
-ORACLES: dict[str, str] = {"op1_warc_pages": _OP1, "op4_mix_sources": _OP4, "op6_shard_documents": _OP6, "op9_decontamination": _OP9, "op11_merkle_manifest": _OP11}
+_OP12 = f"""
+WITH {_CRC_STEPS},
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(text, '') AS text, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc_of_decimal("conv_id")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns), steps),
+raw AS (SELECT c.conv_id, 0 AS part, t.pos, t.said, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.pos, t.said, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h),
+path AS (SELECT conv_id, 0 AS depth, '' AS prefix, NULL AS parent, 0 AS chars FROM convs
+  UNION ALL SELECT conv_id, depth, prefix, left(prefix, strlen(prefix) - 32), chars FROM (
+    SELECT conv_id, row_number() OVER w AS depth, string_agg(said, '') OVER w AS prefix, length(text) AS chars FROM raw WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos))),
+lengths AS (SELECT conv_id, MAX(depth) AS depth FROM path GROUP BY conv_id),
+ends AS (SELECT prefix, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM path JOIN lengths USING (conv_id, depth) GROUP BY prefix),
+nodes AS (SELECT prefix, any_value(parent) AS parent, depth, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs, (COUNT(*) - 1) * any_value(chars) AS saved FROM path GROUP BY prefix, depth),
+kids AS (SELECT parent AS prefix, COUNT(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+known AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (prefix)),
+subtrees AS (SELECT v.prefix, COUNT(*) FILTER (w.n_children = 0) AS n_leaves, SUM(w.saved) AS saved_tokens FROM known v JOIN known w ON starts_with(w.prefix, v.prefix) GROUP BY v.prefix)
+SELECT v.conv_id, v.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM known v JOIN subtrees USING (prefix) LEFT JOIN nodes p ON p.prefix = v.parent LEFT JOIN ends e ON e.prefix = v.prefix
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_pages": _OP1, "op4_mix_sources": _OP4, "op6_shard_documents": _OP6, "op9_decontamination": _OP9, "op11_merkle_manifest": _OP11, "op12_prefix_trie": _OP12}

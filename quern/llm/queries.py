@@ -10,6 +10,7 @@ from quern.llm.fingerprints import fingerprint_documents
 from quern.llm.language import held_out, identify, learnable, train
 from quern.llm.merkle import lowered, proofs
 from quern.llm.mixing import mix_sources
+from quern.llm.prefixtrie import steps_of, trie, turns_of
 from quern.llm.pseudolikelihood import score_documents
 from quern.llm.sharding import shard_documents
 from quern.llm.simhash import cluster
@@ -93,4 +94,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_pages, op2_token_counts, op3_language_id, op4_mix_sources, op5_token_files, op6_shard_documents, op7_fingerprints, op8_lm_scores, op9_decontamination, op10_simhash_components, op11_merkle_manifest)}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each begun anew with up to five turns of the first of its hundred."""
+    conv = F.col("conv")
+    heads = F.crc32(conv.cast("string").cast("binary")) % 6
+    return trie(steps_of(turns_of(_table(spark, sf_dir, "conversations")), base=conv - conv % 100, heads=heads, most=5))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_pages, op2_token_counts, op3_language_id, op4_mix_sources, op5_token_files, op6_shard_documents, op7_fingerprints, op8_lm_scores, op9_decontamination, op10_simhash_components, op11_merkle_manifest, op12_prefix_trie)}
