@@ -114,4 +114,13 @@ SELECT v.conv_id, v.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, v.n_con
 FROM known v JOIN subtrees USING (prefix) LEFT JOIN nodes p ON p.prefix = v.parent LEFT JOIN ends e ON e.prefix = v.prefix
 """
 
-ORACLES: dict[str, str] = {"op1_warc_pages": _OP1, "op4_mix_sources": _OP4, "op6_shard_documents": _OP6, "op9_decontamination": _OP9, "op11_merkle_manifest": _OP11, "op12_prefix_trie": _OP12}
+#: The exact neighbours. The search is approximate, but over a shard of a few hundred rows it finds all of them.
+_OP13 = """
+WITH usable AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+SELECT q.vec_id AS query_id, (row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, c.v), c.vec_id))::INT AS rank, c.vec_id, list_distance(q.v, c.v) AS score
+FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, c.v), c.vec_id) <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_pages": _OP1, "op4_mix_sources": _OP4, "op6_shard_documents": _OP6, "op9_decontamination": _OP9, "op11_merkle_manifest": _OP11, "op12_prefix_trie": _OP12, "op13_nearest_neighbours": _OP13}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.decontamination import find_leaks
 from quern.llm.fingerprints import fingerprint_documents
+from quern.llm.hnsw import neighbours
 from quern.llm.language import held_out, identify, learnable, train
 from quern.llm.merkle import lowered, proofs
 from quern.llm.mixing import mix_sources
@@ -101,4 +102,9 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(steps_of(turns_of(_table(spark, sf_dir, "conversations")), base=conv - conv % 100, heads=heads, most=5))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_pages, op2_token_counts, op3_language_id, op4_mix_sources, op5_token_files, op6_shard_documents, op7_fingerprints, op8_lm_scores, op9_decontamination, op10_simhash_components, op11_merkle_manifest, op12_prefix_trie)}
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found of every vector whose id is divisible by 100, among all others."""
+    return neighbours(_table(spark, sf_dir, "embeddings"), asked=F.col("id") % 100 == 0, k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_pages, op2_token_counts, op3_language_id, op4_mix_sources, op5_token_files, op6_shard_documents, op7_fingerprints, op8_lm_scores, op9_decontamination, op10_simhash_components, op11_merkle_manifest, op12_prefix_trie, op13_nearest_neighbours)}
