@@ -139,14 +139,14 @@ def in_key_order(df: DataFrame, key: str, tie: Column) -> DataFrame:
     spark = df.sparkSession
     order, name = free_names(df.columns, "order", "tie")
     hashed = df.withColumn(name, tie)
-    bounds = _pair_bounds(hashed, key, name, shuffle_partitions(spark))
+    bounds = pair_bounds(hashed, key, name, shuffle_partitions(spark))
     if not bounds:
         return hashed.repartition(1).sortWithinPartitions(F.col(key).asc_nulls_first(), name).drop(name)
     dealt = hashed.withColumn(order, pair_index(F.col(key), F.col(name), bounds)).repartitionById(len(bounds) + 1, F.col(order))
     return dealt.sortWithinPartitions(F.col(key).asc_nulls_first(), name).drop(order, name)
 
 
-def _pair_bounds(df: DataFrame, key: str, tie: str, parts: int) -> list[tuple[int | None, int]]:
+def pair_bounds(df: DataFrame, key: str, tie: str, parts: int) -> list[tuple[int | None, int]]:
     """Ascending (key, tie) pairs that cut `df` into near-equal ranges: cuts of the key, and where a key is cut more than once,
     cuts of its hashes in equal steps."""
     if parts < 2:
