@@ -8,9 +8,9 @@ _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((({v}) >> {s
 
 _OP1 = f"""
 WITH hashed AS (SELECT page_id, url, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hx FROM pages),
-firsts AS (SELECT *, min(page_id) OVER (PARTITION BY hx, n) AS first_id FROM hashed)
-SELECT page_id, n::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> first_id THEN first_id END AS refers_to, url AS target_uri FROM firsts
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY hx, n) AS first_id, row_number() OVER (PARTITION BY hx, n ORDER BY page_id NULLS LAST) AS place FROM hashed)
+SELECT page_id, n::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN first_id END AS refers_to, url AS target_uri FROM firsts
 """
 
 _OP4 = """

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage,
@@ -342,14 +342,13 @@ def archive_pages(pages: DataFrame, path: str, key: str = "page_id", url: str =
     """Write one record for each row of `pages` to WARC files under `path`.
 
     The payload is `html` in UTF-8 (null: empty). Of records with equal payloads of at least `min_bytes` bytes, that with
-    the smallest `key` is a response (ties: the smallest hash of the url; rows alike in both are all responses) and the
-    others are revisits that refer to it and carry no payload; smaller payloads are all responses. A null key counts as
+    the smallest `key` is a response (ties: the smallest hash of the url; of rows alike in both, one) and the others are revisits that refer to it and carry no payload; smaller payloads are all responses. A null key counts as
     larger than any other and is written as `null`; keys that are no integers come back as null. Other columns are not archived. An empty table gives an archive
     without files.
 
     The first record of each payload comes from slim rows (digest, key), combined before each shuffle, first for each salt
     and then for each digest; the pages then join it on (digest, salt), so a payload that a third of all pages share is
-    spread over tasks."""
+    spread over tasks. Rows alike in key, url and payload meet in one task, which numbers them."""
     text, salts = F.coalesce(F.col(html).cast("string"), F.lit("")), max(SALTS, shuffle_partitions(pages.sparkSession))
     rows = pages.select(
         F.col(key).alias("key"), F.col(url).cast("string").alias("target_uri"), F.coalesce(F.xxhash64(F.col(url)), F.lit(0)).alias("tie"),
@@ -361,7 +360,10 @@ def archive_pages(pages: DataFrame, path: str, key: str = "page_id", url: str =
     firsts = partial.groupBy("digest", "n_bytes").agg(F.min("first").alias("first"), F.collect_set("salt").alias("salts"))  # at most `salts` in a set
     firsts = firsts.withColumn("salt", F.explode("salts")).drop("salts")
     joined = rows.join(firsts, ["digest", "n_bytes", "salt"], "left")
-    again = F.col("first").isNotNull() & (F.struct(F.col("key").isNull().alias("last"), "key", "tie") != F.col("first"))
+    mark = F.struct(F.col("key").isNull().alias("last"), "key", "tie")
+    place = F.row_number().over(Window.partitionBy("digest", "n_bytes", "salt").orderBy(mark))
+    joined = joined.withColumn("place", place)  # of rows that repeat the first, one comes first in its salt
+    again = F.col("first").isNotNull() & ((mark != F.col("first")) | (F.col("place") > 1))
     ident = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     joined.select(
         ident(F.col("key")).alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri",

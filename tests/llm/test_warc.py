@@ -25,10 +25,16 @@ def test_round_trip(spark, pages):
     found = sorted((tuple(r) for r in warc.archive_and_read(pages).collect()), key=lambda r: (r[0] is None, r[0] or 0))
     assert [(r[0], r[1], r[2], r[3], r[4]) for r in found] == [
         (1, 8, digest("<p>a</p>"), "response", None), (2, 0, digest(""), "response", None), (3, 8, digest("<p>a</p>"), "revisit", 1), (4, 0, digest(""), "revisit", 2),
-        (5, 600_000, digest("é" * 300_000), "response", None), (7, 8, digest("<p>b</p>"), "response", None), (7, 8, digest("<p>b</p>"), "response", None), (None, 8, digest("<p>a</p>"), "revisit", 1)]
+        (5, 600_000, digest("é" * 300_000), "response", None), (7, 8, digest("<p>b</p>"), "response", None), (7, 8, digest("<p>b</p>"), "revisit", 7), (None, 8, digest("<p>a</p>"), "revisit", 1)]
     assert found[4][5] == "u 5"
 
 
+def test_repeated_rows_have_one_response(spark, pages):
+    found = warc.archive_and_read(pages.unionAll(pages).repartition(3)).collect()
+    firsts = [r for r in found if r["record_type"] == "response"]
+    assert len(found) == 16 and len({r["payload_digest"] for r in found}) == len(firsts) == 4
+
+
 def test_small_payloads_are_responses(spark, pages):
     kinds = {r["page_id"]: r["record_type"] for r in warc.archive_and_read(pages, min_bytes=9).collect()}
     assert set(kinds.values()) == {"response"}
