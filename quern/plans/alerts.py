@@ -31,7 +31,7 @@ class Alert:
 
     def lines(self, source: str) -> list[str]:
         """A head line, the message, and a line for each fact that is known. Severities that don't exist count as high."""
-        level = {s: s for s in SEVERITIES}.get(self.severity.lower(), "high")
+        level = self.severity.lower() if self.severity.lower() in SEVERITIES else "high"
         return [f"{level.upper()} | {source} | {self.title}", self.message, *(f"{name} = {value}" for name, value in self.facts.items() if value is not None)]
 
 

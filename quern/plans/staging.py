@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import string
+import re
 from collections.abc import Mapping
-from itertools import groupby
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.sources.tables import DATASETS, delete_folder
-
-#: Characters of a folder name (fixed values).
-PLAIN = frozenset(string.ascii_letters + string.digits + "_.-")
-
+from quern.sources.files import delete_folder
+from quern.sources.tables import DATASETS
 
 def folder_name(text: str) -> str:
-    """A run id as a folder name: each run of other characters than PLAIN becomes one `_`."""
-    return "".join("".join(run) if plain else "_" for plain, run in groupby(text, PLAIN.__contains__))
+    """A run id as a folder name: each run of characters other than ASCII letters, digits, `_`, `.` and `-` becomes one `_`."""
+    return re.sub("[^A-Za-z0-9_.-]+", "_", text)
 
 
 def stage(tables: Mapping[str, DataFrame], root: str, run_id: str) -> str:

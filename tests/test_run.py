@@ -2,13 +2,16 @@ import json
 import os
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 from quern.operators.cleaning import reason_counts
 from quern.operators.quality import QualityGateError
+from quern.plans import lineage, run
 from quern.plans.run import Hooks, run_pipeline
 from quern.plans.star import InvariantError
 from quern.sources import settings
+from quern.sources.delimited import MalformedInput
 
 FILES = {
     "customers": "customer_id,first_name,last_name,city,signup_date\n1,ana,x,madríd,2024-01-01\n1,ana,,madrid,\n2,bo,y,bar celona,2024/02/01\n",
@@ -88,6 +91,31 @@ def test_exports_as_csv_alone_and_tables_by_name(spark, cfg):
     spark.sql("CREATE DATABASE IF NOT EXISTS published")
     out = run_pipeline(spark, cfg, single=True, database="published")
     assert out.gold["weather_sales_mart"].count() == 2 and spark.table("published.weather_sales_mart").count() == 2
-    parts = list(Path(cfg["paths"]["gold_csv_dir"]).glob("marts/*/part-*"))
-    assert len(parts) == 1
+    assert Path(cfg["paths"]["gold_csv_dir"], "marts/weather_sales_mart.csv").is_file()
+    assert len(pd.read_parquet(Path(cfg["paths"]["silver_dir"], "customers_clean.parquet"))) == 2
     spark.sql("DROP DATABASE published CASCADE")
+
+
+def test_malformed_rows_end_a_run_or_go_to_quarantine(spark, cfg, tmp_path):
+    path = Path(cfg["paths"]["raw_dir"], "sales.csv")
+    path.write_text(FILES["sales"] + "5,1,10,2024-03-01,2,10,too,many\n")
+    with pytest.raises(MalformedInput, match=r"sales.csv, line 7: 8 cells"):
+        run_pipeline(spark, cfg)
+    out = run_pipeline(spark, cfg, quarantine=f"{tmp_path}/bad")
+    assert out.report["row_counts"]["extract"]["sales"] == 5 and spark.read.parquet(f"{tmp_path}/bad/sales").count() == 1
+
+
+def test_scheduled_tasks_pass_notes_and_always_clean_up(spark, cfg):
+    """Each task as a scheduler runs it: notes go through JSON, and clean-up runs however the others ended."""
+    notes = {}
+    for name, task in (("extract", run.extract_task), ("transform", run.transform_task), ("load", run.load_task)):
+        notes[name] = json.loads(json.dumps(task(spark, cfg, "day:1")))
+    staged = Path(cfg["paths"]["silver_dir"], "_staged/day_1")
+    assert staged.exists()
+    report = run.cleanup_task(spark, cfg, "day:1", **notes)
+    assert report["status"] == "passed" and not staged.exists() and report["row_counts"]["mart"] == {"rows": 2, "columns": 14} and {*report["stages"]} == {"extract", "profile", "transform", "quality", "load", "cleanup"}
+    assert all(x["sha256"] for x in report["artifacts"]["staged_inputs"].values()) and lineage.summary(report)["rows"]["mart"]["rows"] == 2
+    extracted = run.extract_task(spark, cfg, "day:2")
+    failed = run.cleanup_task(spark, cfg, "day:2", extracted, None, None, ValueError("no"))
+    assert failed["status"] == "failed" and failed["error"]["type"] == "ValueError" and failed["cleanup"]["status"] == "deleted"
+    assert run.cleanup_task(spark, cfg, "day:3", None, None, None)["cleanup"]["status"] == "not_found"

@@ -1,10 +1,11 @@
 import hashlib
 import json
 
+import pandas as pd
 import pytest
 
 from quern.plans import alerts, lineage, staging
-from quern.sources import settings, tables, weather
+from quern.sources import publish, ranges, settings, tables, weather
 
 
 def test_csv_is_text_with_missing_cells(spark, tmp_path):
@@ -21,8 +22,6 @@ def test_csv_quotes_and_line_ends(spark, tmp_path):
     tables.write_table(df.drop("_row"), f"{tmp_path}/b.csv", "csv")
     back = tables.read_rejected(spark, f"{tmp_path}/b.csv", df.drop("_row").schema)
     assert sorted(tuple(r) for r in back.collect()) == rows
-    (tmp_path / "plain.csv").write_text("id,x\n1,a\n2,b\n")
-    assert tables.read_csv(spark, str(tmp_path / "plain.csv"), quoted_lines=False).count() == 2
 
 
 def test_csv_faults(spark, tmp_path):
@@ -44,6 +43,79 @@ def test_write_formats(spark, tmp_path):
         tables.write_table(df, f"{tmp_path}/x.orc", "orc")
 
 
+def test_single_files(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b"), (1, None)], "k int, v string")
+    (tmp_path / "x.csv").mkdir()  # as an earlier release left
+    for n in (2, 1):
+        tables.write_table(df.limit(n), f"{tmp_path}/x.parquet", "parquet", single=True)
+        tables.write_table(df, f"{tmp_path}/x.csv", "csv", single=True, order=["k"])
+    assert (tmp_path / "x.parquet").is_file() and len(pd.read_parquet(tmp_path / "x.parquet")) == 1
+    assert (tmp_path / "x.csv").read_text() == 'k,v\n1,""\n2,b\n' or len(pd.read_csv(tmp_path / "x.csv")) == 2
+    assert {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")} == {"x.parquet", "x.csv"}
+
+
+@pytest.fixture
+def exports(tmp_path):
+    out = settings.merged(settings.DEFAULTS, {"exports": {"mart_formats": ["csv", "parquet"], "star_schema_formats": ["parquet"]}})
+    out["paths"] = {k: str(tmp_path / k) for k in out["paths"]}
+    return out
+
+
+def _gold(spark, n):
+    rows = spark.range(n)
+    keys = {t: {c: "id" for c in tables.EXPORT_ORDER[t]} for t in (*tables.STAR, tables.MART)}
+    return {t: rows.selectExpr(*[f"{v} AS {k}" for k, v in names.items()], f"{n} AS version") for t, names in keys.items()}
+
+
+def test_a_publication_is_seen_whole_or_not_at_all(spark, exports, monkeypatch):
+    with pytest.raises(FileNotFoundError):
+        tables.read_gold(spark, exports)
+    tables.save_gold(_gold(spark, 3), exports)
+    seen = tables.published(spark, exports, "gold")
+    real, calls = tables.write_table, []
+
+    def fourth_fails(*args, **more):
+        calls.append(args[1])
+        if len(calls) == 4:
+            raise OSError("lost")
+        real(*args, **more)
+
+    monkeypatch.setattr(tables, "write_table", fourth_fails)
+    with pytest.raises(OSError):
+        tables.save_gold(_gold(spark, 5), exports)
+    monkeypatch.setattr(tables, "write_table", real)
+    assert len(calls) == 4 and tables.published(spark, exports, "gold") == seen
+    assert {df.first()["version"] for df in tables.read_gold(spark, exports).values()} == {3} and {df.count() for df in tables.read_gold(spark, exports).values()} == {3}
+    held = tables.read_gold(spark, exports)  # a reader of the old version goes on
+    tables.save_gold(_gold(spark, 5), exports)
+    assert {df.first()["version"] for df in tables.read_gold(spark, exports).values()} == {5} and {df.count() for df in held.values()} == {3}
+    tables.save_gold(_gold(spark, 6), exports)
+    folder = f"{exports['paths']['gold_parquet_dir']}/{publish.VERSIONS}"
+    assert len([p for p in __import__("os").listdir(folder) if not p.startswith(".")]) == publish.KEPT
+
+
+def test_names_are_turned_to_whole_tables(spark, monkeypatch):
+    spark.sql("CREATE DATABASE IF NOT EXISTS turned")
+    spark.range(1).write.mode("overwrite").saveAsTable("turned.dim_products")  # as an earlier release left
+    tables.publish_tables(_gold(spark, 2), "turned")
+    real, calls = tables.write_table, []
+
+    def third_fails(*args, **more):
+        calls.append(args[1])
+        if len(calls) == 3:
+            raise OSError("lost")
+        real(*args, **more)
+
+    monkeypatch.setattr(tables, "write_table", third_fails)
+    with pytest.raises(OSError):
+        tables.publish_tables(_gold(spark, 4), "turned")
+    monkeypatch.setattr(tables, "write_table", real)
+    assert {spark.table(f"turned.{t}").count() for t in (*tables.STAR, tables.MART)} == {2}
+    tables.publish_tables(_gold(spark, 4), "turned")
+    assert {spark.table(f"turned.{t}").count() for t in (*tables.STAR, tables.MART)} == {4}
+    spark.sql("DROP DATABASE turned CASCADE")
+
+
 def test_contract_projection(spark):
     df = spark.createDataFrame([(1, 2, 3)], "b int, extra int, a int")
     assert tables.to_contract(df, ["a", "b"]).columns == ["a", "b"]
@@ -104,6 +176,8 @@ def test_weather_faults(spark, answer, error):
 def test_cities():
     odd = {"weather": {"cities": {"x": {"lat": 1, "lon": "2"}, "y": {"lat": 1}, "z": 3, "w": {"lat": "a", "lon": 1}, "v": {"lat": None, "lon": 1}, "u": {"name": " new  York", "lat": "-1.5", "lon": 3}}}}
     assert weather.cities_of(odd) == {"X": (1.0, 2.0), "New  York": (-1.5, 3.0)}
+    near = {"weather": {"cities": {"a": {"lat": "5e-05", "lon": "+51.5"}, "b": {"lat": ".5", "lon": -0.0001}, "c": {"lat": "nan", "lon": 1}, "d": {"lat": 1, "lon": "inf"}, "e": {"lat": [], "lon": 1}}}}
+    assert weather.cities_of(near) == {"A": (5e-05, 51.5), "B": (0.5, -0.0001)}
     for none in ({}, {"cities": {}}, {"cities": {"x": {}}}):
         assert weather.cities_of({"weather": none}) == {"Madrid": (40.4168, -3.7038), "Barcelona": (41.3851, 2.1734)}
 
@@ -121,11 +195,27 @@ def test_lineage_marks(spark, tmp_path):
     assert found["final_outputs"]["gone"] == {"path": str(tmp_path / "no"), "exists": False}
 
 
-def test_large_files_have_no_digest(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(lineage, "LARGEST_DIGEST", 3)
-    (tmp_path / "x").write_text("1234")
-    found = lineage.mark(spark, str(tmp_path / "x"))
-    assert found["sha256"] is None and found["size_bytes"] == 4 and found["modified_ms"] > 0
+def test_large_files_have_the_digest_of_a_tree(spark, tmp_path, monkeypatch):
+    data = bytes(range(256)) * 40
+    (tmp_path / "x").write_bytes(data)
+    (tmp_path / "y").write_bytes(data[:700])
+
+    def tree(hashes, fan):
+        while len(hashes) > 1:
+            hashes = [hashes[i] if i + 1 == len(hashes) and len(hashes) % fan == 1 else hashlib.sha256("".join(hashes[i : i + fan]).encode()).hexdigest() for i in range(0, len(hashes), fan)]
+        return hashes[0]
+
+    files = [(str(tmp_path / "x"), len(data)), (str(tmp_path / "y"), 700)]
+    monkeypatch.setattr(ranges, "FAN", 4)
+    for tasks in (1, 3, 50):  # the number of tasks does not matter
+        monkeypatch.setattr(ranges, "TASK_RANGES", tasks)
+        found = {r["path"]: r["digest"] for r in ranges.digests(spark, files, 1000).collect()}
+        pieces = [hashlib.sha256(data[i : i + 1000]).hexdigest() for i in range(0, len(data), 1000)]
+        assert found == {files[0][0]: tree(pieces, 4), files[1][0]: hashlib.sha256(data[:700]).hexdigest()}
+    monkeypatch.setattr(ranges, "RANGE", 5000)
+    assert lineage.mark(spark, files[1][0])["sha256"] == hashlib.sha256(data[:700]).hexdigest()
+    found = lineage.mark(spark, files[0][0])
+    assert found["sha256"] is not None and found["range_bytes"] == 5000 and found["size_bytes"] == len(data) and found["modified_ms"] > 0
 
 
 def test_accounts_of_rows(spark):
