@@ -24,7 +24,7 @@ from quern.llm.storage import bound_batches, pair_bounds, pair_index, shuffle_pa
 CELLS = 40
 _ROWS = 4
 _MASK = (1 << 64) - 1
-#: Odd multipliers: the upper half of a product with each gives a digest's cell in a row, and the last its check.
+#: Odd multipliers: the upper half of a product gives a digest's cell in a row of a wide sketch, and its check.
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _CHECK = 0xA0761D6478BD642F
 #: A paragraph ends at a line end, or within a line after a sentence's end, so a text of one line has several, too.
@@ -43,9 +43,8 @@ def paragraph_digests(text: str) -> list[int]:
 
 
 def _places(d: int, row: int) -> tuple[int, int, int, int]:
-    """A digest's cell in each row of so many cells."""
-    a, b, c, e = _MIX
-    return ((d * a & _MASK) >> 32) % row, row + ((d * b & _MASK) >> 32) % row, 2 * row + ((d * c & _MASK) >> 32) % row, 3 * row + ((d * e & _MASK) >> 32) % row
+    """A digest's cell in each row of so many cells, by its four quarters."""
+    return (d & 65535) % row, row + (d >> 16 & 65535) % row, 2 * row + (d >> 32 & 65535) % row, 3 * row + (d >> 48) % row
 
 
 class Sketch:
@@ -60,7 +59,7 @@ class Sketch:
         counts, sums, checks = self.counts, self.sums, self.checks
         for d in digests:
             c = (d * _CHECK & _MASK) >> 32
-            for i in _places(d, row):
+            for i in ((d & 65535) % row, row + (d >> 16 & 65535) % row, 2 * row + (d >> 32 & 65535) % row, 3 * row + (d >> 48) % row):
                 counts[i] += 1
                 sums[i] ^= d
                 checks[i] ^= c
