@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quern import roles
@@ -15,6 +15,7 @@ from quern.oracles import ORACLES
 from quern.plans import star
 from quern.plans.lineage import accounts
 from quern.sources import weather
+from quern.sources.scratch import stored
 from quern.sources.tables import MART, first_rows
 
 FLAGSHIP = "a1_mart"
@@ -202,10 +203,13 @@ def a13_profile(spark, sf):
 
 def a14_duplicates(spark, sf):
     """Duplicate rows and keys, and exact cardinalities."""
-    rows = roles.raw(spark, sf, "products")
-    wide = profile.cardinality(rows, rows.columns).groupBy().pivot("column", rows.columns).agg(F.max("distinct"))
-    wide = wide.select(*[F.col(c).alias(f"distinct_{c}") for c in rows.columns])
-    return wide.join(profile.duplicates(rows).withColumnRenamed("extra", "duplicate_rows")).join(profile.duplicates(rows, "product_id").withColumnRenamed("extra", "duplicate_keys"))  # one row each
+    return profile.duplicate_counts(roles.raw(spark, sf, "products"), ["product_id"])
+
+
+def a16_column_facts(spark, sf):
+    """Every raw sales column's nulls, different values and ten most frequent ones, from one count of all values."""
+    facts = profile.column_facts(roles.raw(spark, sf, "sales"), ["sale_id"]).filter(~F.col("column").isin(profile.ROW, profile.KEY))
+    return facts.select("column", "rows", "nulls", "distinct", F.array_join(F.transform("top", lambda x: F.concat(x["value"], F.lit("="), x["n"].cast("string"))), "|").alias("top"))
 
 
 def a18_top_categories(spark, sf):
@@ -226,15 +230,53 @@ def a23_row_accounts(spark, sf):
     return found.select("dataset", "extracted", "judged", "unpublished")
 
 
+def _observed(tables: dict[str, DataFrame], label: str) -> tuple[dict[str, DataFrame], dict[str, dict[str, int]]]:
+    """Tables computed once into scratch, and what the gate counts of each, observed meanwhile."""
+    seen = {name: Observation() for name in tables}
+    kept = {name: stored(df.observe(seen[name], *[c.alias(k) for k, c in quality.table_counts(name, df).items()]), f"{label}-{name}") for name, df in tables.items()}
+    return kept, {name: dict(o.get) for name, o in seen.items()}
+
+
+def _gated_silver(spark: SparkSession, sf: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Silver and rejected sales with each table cleaned once."""
+    customers, products = stored(_customers(spark, sf), "customers"), stored(_products(spark, sf), "products")
+    judged = stored(cleaning.judge_sales(roles.raw(spark, sf, "sales"), customers, products), "judged")
+    return {"customers": customers, "products": products, "sales": cleaning.accepted_sales(judged), "weather_daily": _weather(spark, sf)}, cleaning.rejected_sales(judged)
+
+
 def v1_gate(spark, sf):
     """The quality gate's blocks of metrics over silver, and what it would block and warn of (V1-V10): one row for each figure."""
-    silver, rejected = _silver(spark, sf), cleaning.rejected_sales(_judged(spark, sf))
-    report = quality.quality_report(silver, rejected, fail_on_critical=False)
+    silver, rejected = _gated_silver(spark, sf)
+    silver, counts = _observed(silver, "silver")
+    report = quality.quality_report(silver, rejected, fail_on_critical=False, counts=counts)
     rows = [(block, name, round(value * 1_000_000)) for block, figures in report["metrics"].items() for name, value in figures.items()]
     rows += [("gate", "critical_failures", 1_000_000 * len(report["critical_failures"])), ("gate", "warnings", 1_000_000 * len(report["warnings"]))]
     return spark.createDataFrame(rows, "block string, figure string, millionths long")
 
 
+def spoiled(silver: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Silver in which every kind of failure occurs, by fixed rules: repeated customers, products and days, null ids and dates, price
+    states that lie, and sales that refer to no one."""
+    customers, products, sales, weather = (silver[n] for n in ("customers", "products", "sales", "weather_daily"))
+    lie = F.col("product_id") % 7 == 0
+    return {
+        "customers": customers.unionByName(customers.filter("customer_id % 10 = 0")).withColumn("customer_id", F.when(F.col("customer_id") % 29 != 0, F.col("customer_id"))),
+        "products": products.withColumns({"is_price_valid": F.col("is_price_valid") != lie, "product_id": F.when(F.col("product_id") % 31 != 0, F.col("product_id"))}),
+        "sales": sales.withColumns({"sale_date": F.when(F.col("sale_id") % 11 != 0, F.col("sale_date")), "customer_id": F.when(F.col("sale_id") % 13 == 0, F.col("customer_id") + 7_000_000).otherwise(F.col("customer_id")),
+                                    "sale_id": F.when(F.col("sale_id") % 17 != 0, F.col("sale_id"))}),
+        "weather_daily": weather.unionByName(weather.filter("city < 'C'")).withColumn("city", F.when(F.col("city") < "X", F.col("city"))),
+    }
+
+
+def v7_spoiled_gate(spark, sf):
+    """What blocks when silver is spoiled in every way, in its order: contracts that break, ids that are null, repeat or refer to no
+    one (V1-V7, V10)."""
+    silver, rejected = _gated_silver(spark, sf)
+    silver, counts = _observed(spoiled(silver), "spoiled")
+    report = quality.quality_report(silver, rejected, fail_on_critical=False, counts=counts)
+    return spark.createDataFrame([(i + 1, text) for i, text in enumerate(report["critical_failures"])], "place int, failure string")
+
+
 def j6_orphans(spark, sf):
     """Raw sales that refer to no customer, by an anti join."""
     rows = roles.raw(spark, sf, "sales").select(to_number(F.col("customer_id")).cast("long").alias("customer_id")).filter("customer_id IS NOT NULL")
@@ -243,6 +285,6 @@ def j6_orphans(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     a1_mart, s4_pruned_scan, t1_tidy_texts, t4_title_case, t6_prices, t15_categories, d1_leet_names, d1_dates, m1_numbers, n4_json_rows, w1_customers, w2_products, w3_sales, t12_rejected_sales,
-    a19_reason_counts, f3_split, w4_weather, w5_repeated_lines, p3_dim_customers, p3_dim_products, m5_dim_weather, p6_fact_sales, o3_mart_preview, o4_duplicate_samples, v13_invariants, v1_gate, v11_link_counts, a13_profile,
-    a14_duplicates, a18_top_categories, a22_digits_in_names, a23_row_accounts, j6_orphans,
+    a19_reason_counts, f3_split, w4_weather, w5_repeated_lines, p3_dim_customers, p3_dim_products, m5_dim_weather, p6_fact_sales, o3_mart_preview, o4_duplicate_samples, v13_invariants, v1_gate, v7_spoiled_gate, v11_link_counts, a13_profile,
+    a14_duplicates, a16_column_facts, a18_top_categories, a22_digits_in_names, a23_row_accounts, j6_orphans,
 )}

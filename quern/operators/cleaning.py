@@ -14,6 +14,7 @@ from quern.functions.dates import parsed_ymd, to_ymd
 from quern.functions.numbers import is_whole, parsed_number, to_number, to_price, to_whole
 from quern.functions.text import joined_flags, letters_for_digits, looked_up, none_if_blank, squeezed, tidy, title_case, trimmed
 from quern.operators.best import best_row, filled
+from quern.operators.spread import left_join
 
 ORDINAL = "_row"
 UNKNOWN = "unknown"
@@ -77,15 +78,17 @@ def clean_products(raw: DataFrame, categories: Mapping[str, str] | None = None,
     )
 
 
-def _known(rows: DataFrame, ids: DataFrame, key: str, mark: str) -> DataFrame:
-    """`rows` with a flag whether `key` is one of `ids`. The planner picks the join by the sizes it finds."""
+def _known(rows: DataFrame, ids: DataFrame, key: str, mark: str, hot: Sequence[int]) -> DataFrame:
+    """`rows` with a flag whether `key` is one of `ids`. Rows without one, and those of `hot` keys, are spread over tasks."""
     marks = ids.select(F.col(ids.columns[0]).cast("long").alias(f"{mark}_id")).distinct().withColumn(mark, F.lit(True))
-    return rows.join(marks, F.col(key) == F.col(f"{mark}_id"), "left").drop(f"{mark}_id").withColumn(mark, F.coalesce(F.col(mark), F.lit(False)))
+    return left_join(rows, marks, {key: f"{mark}_id"}, hot).drop(f"{mark}_id").withColumn(mark, F.coalesce(F.col(mark), F.lit(False)))
 
 
-def judge_sales(raw: DataFrame, customers: DataFrame, products: DataFrame, tie: Sequence[Column] | None = None) -> DataFrame:
+def judge_sales(raw: DataFrame, customers: DataFrame, products: DataFrame, tie: Sequence[Column] | None = None, hot: Mapping[str, Sequence[int]] | None = None) -> DataFrame:
     """The best row of each valid sale_id (and every row without one), with parsed columns and `reject_reasons`: null for a
-    row that is clean. Reasons stand in the order of REASONS with `|` between them; raw columns stay as they were read."""
+    row that is clean. Reasons stand in the order of REASONS with `|` between them; raw columns stay as they were read. `hot` names
+    ids (by customer_id and product_id) that very many rows have; it changes how rows are dealt, and no result."""
+    hot = hot or {}
     ids = {"sale_id": "_sale", "customer_id": "_customer", "product_id": "_product"}
     # trimmed once, as columns of their own: what follows looks at each several times
     rows = raw.withColumns({f"_t_{c}": none_if_blank(trimmed(F.col(c))) for c in SALES_COLUMNS})
@@ -97,7 +100,8 @@ def judge_sales(raw: DataFrame, customers: DataFrame, products: DataFrame, tie:
         missing = F.col(f"_t_{c}").isNull()
         rows = rows.withColumns({f"{new}_missing": missing, f"{new}_bad": ~missing & F.col(new).isNull()})
     rows = rows.drop(*[f"_t_{c}" for c in SALES_COLUMNS])
-    rows = _known(_known(rows, customers.select("customer_id"), "_customer", "_has_customer"), products.select("product_id"), "_product", "_has_product")
+    rows = _known(rows, customers.select("customer_id"), "_customer", "_has_customer", hot.get("customer_id", ()))
+    rows = _known(rows, products.select("product_id"), "_product", "_has_product", hot.get("product_id", ()))
     in_range = F.coalesce(F.col("_discount").between(0, 100), F.lit(False))
     sold = F.coalesce((F.col("_quantity") % 1 == 0) & (F.col("_quantity") > 0), F.lit(False))
     score = filled(F.col("_date").isNotNull(), sold, in_range, ~F.col("_customer_bad") & F.col("_has_customer"), ~F.col("_product_bad") & F.col("_has_product"))

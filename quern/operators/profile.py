@@ -1,11 +1,11 @@
-"""Profiles of raw or clean tables: one aggregate pass for the scalars, and one for each column's distinct values."""
+"""Profiles of raw or clean tables, from one count of every column's values."""
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,42 +22,66 @@ KEYS = {"customers": ("customer_id",), "products": ("product_id",), "sales": ("s
 WATCHED = ("customer_id", "city", "signup_date", "product_id", "price", "category", "sale_id", "sale_date", "quantity", "discount", "date")
 
 
-def _rules(name: str, columns: list[str]) -> dict:
-    def number(c: str):
-        return to_number(F.col(c))
+def _rules(name: str, columns: list[str]) -> dict[str, tuple[str, Callable[[Column], Column]]]:
+    """The dataset's rules on columns that are there: a column, and when its value breaks the rule."""
 
-    def unparsed(c: str):
-        return none_if_blank(trimmed(F.col(c))).isNotNull() & to_ymd(F.col(c)).isNull()
+    def unparsed(c: Column) -> Column:
+        return none_if_blank(trimmed(c)).isNotNull() & to_ymd(c).isNull()
 
     rules = {
-        "customers": {"signup_date": ("signup_date_unparsed", lambda: unparsed("signup_date"))},
-        "products": {"price": ("price_le_0", lambda: number("price") <= 0)},
-        "sales": {"quantity": ("quantity_le_0", lambda: number("quantity") <= 0), "discount": ("discount_out_of_range", lambda: ~number("discount").between(0, 100)), "sale_date": ("sale_date_unparsed", lambda: unparsed("sale_date"))},
-        "weather_daily": {"precip_mm": ("precip_mm_lt_0", lambda: number("precip_mm") < 0), "date": ("date_unparsed", lambda: unparsed("date"))},
+        "customers": {"signup_date_unparsed": ("signup_date", unparsed)},
+        "products": {"price_le_0": ("price", lambda c: to_number(c) <= 0)},
+        "sales": {"quantity_le_0": ("quantity", lambda c: to_number(c) <= 0), "discount_out_of_range": ("discount", lambda c: ~to_number(c).between(0, 100)), "sale_date_unparsed": ("sale_date", unparsed)},
+        "weather_daily": {"precip_mm_lt_0": ("precip_mm", lambda c: to_number(c) < 0), "date_unparsed": ("date", unparsed)},
     }
-    return {rule: test() for c, (rule, test) in rules.get(name, {}).items() if c in columns}
+    return {rule: (c, test) for rule, (c, test) in rules.get(name, {}).items() if c in columns}
 
 
 def counts_row(name: str, df: DataFrame) -> DataFrame:
-    """One row: `n`, null_<column> for each column, and violations of the dataset's rules."""
+    """One row: `n`, null_<column> for each column, and violations of the dataset's rules. One scan, nothing shuffled but sums."""
     rules = _rules(name, df.columns)
-    return df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in df.columns], *[F.count_if(test).alias(rule) for rule, test in rules.items()])
-
-
-def duplicates(df: DataFrame, *keys: str) -> DataFrame:
-    """One row, `extra`: rows beyond the first of each key (all columns if none is given); null counts as a value."""
-    columns = [F.col(c) for c in (keys or df.columns)]
-    return df.groupBy(*columns).agg((F.count(F.lit(1)) - 1).alias("extra")).agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("extra"))
-
-
-def cardinality(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, distinct) of each column, nulls left out. Each is combined in its tasks by itself: one aggregate over all of
-    them would expand every row as often as there are columns."""
-    out = None
-    for c in columns:
-        row = df.select(c).groupBy(c).agg(F.lit(1)).agg(F.count(c).alias("distinct")).select(F.lit(c).alias("column"), "distinct")
-        out = row if out is None else out.unionByName(row)
-    return out
+    return df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in df.columns], *[F.count_if(test(F.col(c))).alias(rule) for rule, (c, test) in rules.items()])
+
+
+#: Names under which value_counts() has whole rows and their keys, as digests; no column is called so.
+ROW, KEY = "\0row", "\0key"
+
+
+def value_counts(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(column, value, n): how often each column has each value, as text, null included, and ROW and KEY the digests of whole rows
+    and of their `keys`. Values are counted in their tasks before the one shuffle, whatever the number of columns."""
+    columns, form = df.columns, {"ignoreNullFields": "false"}
+    # JSON keeps null, empty text and the bounds of cells apart
+    whole = {ROW: columns} | ({KEY: list(keys)} if keys else {})
+    digests = [F.md5(F.to_json(F.struct(*[F.col(c) for c in own]), form).cast("binary")).alias(name) for name, own in whole.items()]
+    texts = df.select(*[F.col(c).cast("string").alias(c) for c in columns], *digests)
+    return texts.unpivot([], texts.columns, "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def column_facts(df: DataFrame, keys: Sequence[str] = (), rules: Mapping[str, tuple[str, Callable[[Column], Column]]] | None = None, n: int = 10) -> DataFrame:
+    """(column, rows, nulls, distinct, top, violations) of each column, of ROW and of KEY: nulls and different values, the `n` most
+    frequent ones as an array of (value, n) (ties by the value), and how many rows break each of `rules`, which are tested once for
+    each value. All from value_counts(): the table is read and shuffled once; of it at most n values a column and task follow."""
+    counts = value_counts(df, keys)
+    broken = [F.sum(F.when((F.col("column") == c) & F.coalesce(test(F.col("value")), F.lit(False)), F.col("n")).otherwise(0)).alias(rule) for rule, (c, test) in (rules or {}).items()]
+    sums = counts.groupBy("column").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"), F.count("value").alias("distinct"), *broken)
+    violations = F.struct(*[F.col(rule) for rule in rules]) if rules else F.lit(None).cast("int")
+    # null comes last and goes after the choice: a filter before it would be pushed into the scan, which then had to run twice
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.col("value").isNull(), F.desc("n"), "value"))
+    most = counts.withColumn("place", place).filter(F.col("place") <= n).filter(F.col("value").isNotNull())
+    top = most.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("place", "value", "n"))).alias("top"))
+    top = top.select("column", F.transform("top", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias("top"))
+    shown = F.when(~F.col("column").isin(ROW, KEY), F.col("top")).alias("top")
+    return sums.join(top, "column", "left").select("column", "rows", "nulls", "distinct", shown, violations.alias("violations"))
+
+
+def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: distinct_<column> for each column (nulls left out), duplicate_rows and duplicate_keys (rows beyond the first of each;
+    null counts as a value)."""
+    facts = column_facts(df, keys)
+    extra = {"duplicate_rows": ROW, "duplicate_keys": KEY}
+    own = [F.coalesce(F.max(F.when(F.col("column") == c, F.col("distinct"))), F.lit(0)).alias(f"distinct_{c}") for c in df.columns]
+    return facts.agg(*own, *[F.coalesce(F.max(F.when(F.col("column") == c, F.col("rows") - F.col("distinct"))), F.lit(0)).alias(name) for name, c in extra.items()])
 
 
 def duplicate_samples(df: DataFrame, *keys: str, n: int = 10) -> DataFrame:
@@ -68,15 +92,19 @@ def duplicate_samples(df: DataFrame, *keys: str, n: int = 10) -> DataFrame:
 
 
 def profile(name: str, df: DataFrame) -> dict:
-    """Rows, columns, nulls (total, mean and of watched columns), duplicate rows and keys, cardinality of text columns, and
-    violations of the dataset's rules."""
+    """Rows, columns, nulls (total, mean and of watched columns), duplicate rows and keys, cardinality and the most frequent values
+    of text columns, and violations of the dataset's rules: one read of the table and one shuffle."""
     texts, keys = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)], KEYS.get(name, ())
-    row = counts_row(name, df).first()
-    nulls = {c: row[f"null_{c}"] for c in df.columns}
+    keys = keys if {*keys} <= {*df.columns} else ()
+    rules = _rules(name, df.columns)
+    facts = {r["column"]: r for r in column_facts(df, keys, rules).collect()}  # one for each column
+    of = lambda c, what: facts[c][what] if c in facts else 0
+    nulls = {c: of(c, "nulls") for c in df.columns}
     return {
-        "rows": row["n"], "columns": len(df.columns), "nulls": nulls, "nulls_total": sum(nulls.values()), "nulls_mean": sum(nulls.values()) / max(1, len(nulls)),
-        "key_nulls": {c: nulls[c] for c in WATCHED if c in nulls}, "duplicate_rows": duplicates(df).first()[0], "key_duplicates": duplicates(df, *keys).first()[0] if keys and {*keys} <= {*df.columns} else 0,
-        "cardinality": {r["column"]: r["distinct"] for r in cardinality(df, texts).collect()} if texts else {}, "violations": {r: row[r] for r in _rules(name, df.columns)},
+        "rows": of(ROW, "rows"), "columns": len(df.columns), "nulls": nulls, "nulls_total": sum(nulls.values()), "nulls_mean": sum(nulls.values()) / max(1, len(nulls)),
+        "key_nulls": {c: nulls[c] for c in WATCHED if c in nulls}, "duplicate_rows": of(ROW, "rows") - of(ROW, "distinct"), "key_duplicates": of(KEY, "rows") - of(KEY, "distinct"),
+        "cardinality": {c: of(c, "distinct") for c in texts}, "top": {c: [(x["value"], x["n"]) for x in (facts[c]["top"] or [])] if c in facts else [] for c in texts},
+        "violations": {rule: facts[c]["violations"][rule] if c in facts else 0 for rule, (c, _) in rules.items()},
     }
 
 
@@ -87,8 +115,8 @@ def profile_all(tables: Mapping[str, DataFrame], detail: bool = False) -> dict[s
         found = out[name] = profile(name, df)
         log.info("profile %s rows=%s cols=%s nulls=%s duplicate_rows=%s duplicate_keys=%s violations=%s", name, found["rows"], found["columns"], found["nulls_total"], found["duplicate_rows"], found["key_duplicates"], found["violations"])
         if detail:
-            for c in found["cardinality"]:
-                log.debug("profile %s top %s: %s", name, c, top_values(df, c).collect())
+            for c, top in found["top"].items():
+                log.debug("profile %s top %s: %s", name, c, top)
     return out
 
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import logging
+from collections import Counter
 from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.operators.spread import left_join
+
 log = logging.getLogger("quern.quality")
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -25,6 +28,8 @@ CONTRACTS = {
     "sales": {"sale_id": INTEGERS, "customer_id": INTEGERS, "product_id": INTEGERS, "sale_date": DATES, "quantity": INTEGERS, "discount": NUMBERS},
     "weather_daily": {"date": DATES, "city": TEXT, "temp_c": NUMBERS, "precip_mm": NUMBERS, "precip_hours": NUMBERS, "weather_code": INTEGERS},
 }
+#: The id of a dataset, of which nulls are counted.
+ID_OF = {"customers": ("customer_id",), "products": ("product_id",), "sales": ("sale_id",)}
 #: Columns in which the contract allows no null.
 REQUIRED = {"sales": ("sale_date",), "weather_daily": ("date", "city")}
 
@@ -54,22 +59,42 @@ def _ratio(part: float, whole: float) -> float:
     return part / whole if whole else 0.0
 
 
-def contract_failures(name: str, df: DataFrame) -> list[str]:
-    """What breaks the dataset's contract, each message once. With columns missing, only that is reported."""
+def table_counts(name: str, df: DataFrame) -> dict[str, Column]:
+    """What the gate counts of one table alone, as aggregates of one pass: to be taken by themselves, or observed while it is written.
+    Counts of columns that are missing or of another kind are left out."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    fits = lambda *columns: all(isinstance(kinds.get(c), CONTRACTS[name][c]) for c in columns)
+    tests: dict[str, tuple[tuple[str, ...], Column]] = {f"null_{c}": ((), F.col(c).isNull()) for c in {*REQUIRED.get(name, ()), *ID_OF.get(name, ())} & {*kinds}}
+    if name == "products":
+        valid, price = F.col("is_price_valid"), F.col("price")
+        tests["price_state"] = ("is_price_valid", "price"), (valid & (price.isNull() | (price <= 0))) | (~valid & price.isNotNull())
+        tests["price_le_0"] = ("price",), price <= 0
+        tests["with_digit"] = ("product_name",), _has_digit(F.col("product_name"))
+    if name == "sales":
+        tests["invalid_quantity"] = ("quantity",), F.col("quantity").isNull() | (F.col("quantity") <= 0)
+        tests["invalid_discount"] = ("discount",), F.col("discount").isNull() | ~F.col("discount").between(0, 100)
+    if name == "weather_daily":
+        tests["negative_rain"] = ("precip_mm",), F.col("precip_mm") < 0
+    return {"rows": F.count(F.lit(1))} | {n: F.count_if(F.coalesce(test, F.lit(False))) for n, (columns, test) in tests.items() if fits(*columns)}
+
+
+def counted(name: str, df: DataFrame) -> dict[str, int]:
+    """table_counts() by a job of their own."""
+    return df.agg(*[c.alias(n) for n, c in table_counts(name, df).items()]).first().asDict()
+
+
+def contract_failures(name: str, df: DataFrame, counts: Mapping[str, int] | None = None) -> list[str]:
+    """What breaks the dataset's contract, each message once. With columns missing, only that is reported. `counts` are the
+    table_counts() where they are known."""
     contract, start = CONTRACTS[name], f"{name}.silver contract violation: "
     missing = [c for c in contract if c not in df.columns]
     if missing:
         return [f"{start}missing columns {missing}"]
     found = [f"{start}{c} must be {_KIND[kinds]}" for c, kinds in contract.items() if not isinstance(df.schema[c].dataType, kinds)]
-    tests = {f"{c} must not contain nulls": F.count_if(F.col(c).isNull()) for c in REQUIRED.get(name, ())}
-    if name == "products":
-        valid, price = F.col("is_price_valid"), F.col("price")
-        off = (valid & (price.isNull() | (price <= 0))) | (~valid & price.isNotNull())
-        if not found:
-            tests["price must be positive when is_price_valid is true and NA otherwise"] = F.count_if(F.coalesce(off, F.lit(False)))
-    if tests:
-        row = df.agg(*tests.values()).first()
-        found += [start + text for text, n in zip(tests, row, strict=True) if n]
+    typed, counts = not found, counts or counted(name, df)
+    found += [f"{start}{c} must not contain nulls" for c in REQUIRED.get(name, ()) if counts[f"null_{c}"]]
+    if name == "products" and typed and counts["price_state"]:
+        found.append(f"{start}price must be positive when is_price_valid is true and NA otherwise")
     if name == "weather_daily" and _surplus(df, "date", "city"):
         found.append(f"{start}(date, city) must be unique")
     return list(dict.fromkeys(found))
@@ -79,18 +104,15 @@ def _surplus(df: DataFrame, *keys: str) -> int:
     return df.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def _count(df: DataFrame, **tests) -> dict[str, int]:
-    return df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.coalesce(t, F.lit(False))).alias(n) for n, t in tests.items()]).first().asDict()
-
-
 def link_counts(sales: DataFrame, customers: DataFrame, products: DataFrame, weather: DataFrame) -> DataFrame:
     """One row of counts over clean sales and what they refer to: orphans, unknown cities, missing weather and prices. Each
     side is made unique by its key first, and one chain of joins serves all counts."""
-    c = customers.groupBy("customer_id").agg(F.max("city").alias("_city"), F.lit(True).alias("_customer"))
-    p = products.groupBy("product_id").agg(F.max("price").alias("_price"), F.lit(True).alias("_product"))
-    w = weather.select(F.col("date").cast("date").alias("_date"), F.col("city").alias("_place"), F.lit(True).alias("_weather")).distinct()
-    rows = sales.select("customer_id", "product_id", F.col("sale_date").cast("date").alias("sale_date")).join(c, "customer_id", "left").join(p, "product_id", "left")
-    rows = rows.join(w, (F.col("sale_date") == F.col("_date")) & (F.col("_city") == F.col("_place")), "left")
+    c = customers.groupBy(F.col("customer_id").alias("_of_customer")).agg(F.max("city").alias("_city"), F.lit(True).alias("_customer"))
+    p = products.groupBy(F.col("product_id").alias("_of_product")).agg(F.max("price").alias("_price"), F.lit(True).alias("_product"))
+    w = weather.select(F.col("date").cast("date").alias("_date"), F.col("city").alias("_at"), F.lit(True).alias("_weather")).distinct()
+    rows = sales.select("customer_id", "product_id", F.col("sale_date").cast("date").alias("sale_date"))
+    rows = left_join(left_join(rows, c, {"customer_id": "_of_customer"}), p, {"product_id": "_of_product"})
+    rows = left_join(rows, w, {"_city": "_at", "sale_date": "_date"})
     known = F.col("_city").isNotNull()
     return rows.agg(
         F.count_if(F.col("_customer").isNull()).alias("unknown_cust_fk"), F.count_if(F.col("_product").isNull()).alias("unknown_prod_fk"),
@@ -100,18 +122,23 @@ def link_counts(sales: DataFrame, customers: DataFrame, products: DataFrame, wea
     )
 
 
+def _has_digit(c: Column) -> Column:
+    return c.rlike(r"\d")
+
+
 def names_with_digits(products: DataFrame) -> DataFrame:
     """One row: products whose name still holds a digit, and all."""
-    return products.agg(F.count_if(F.coalesce(F.col("product_name").rlike(r"\d"), F.lit(False))).alias("with_digit"), F.count(F.lit(1)).alias("products"))
+    return products.agg(F.count_if(F.coalesce(_has_digit(F.col("product_name")), F.lit(False))).alias("with_digit"), F.count(F.lit(1)).alias("products"))
 
 
-def metrics(cleaned: Mapping[str, DataFrame], rejected: DataFrame, limits: Thresholds) -> dict[str, dict]:
+def metrics(cleaned: Mapping[str, DataFrame], rejected: DataFrame, limits: Thresholds, counts: Mapping[str, Mapping[str, int]] | None = None) -> dict[str, dict]:
+    """The gate's figures by block. `counts` has table_counts() of each table, and rows of `rejected`, where they are known; what is
+    left for jobs is what compares rows: keys that repeat, and links between tables."""
     customers, products, sales, weather = (cleaned[k] for k in ("customers", "products", "sales", "weather_daily"))
-    c = _count(customers, null_id=F.col("customer_id").isNull())
-    p = _count(products, null_id=F.col("product_id").isNull(), invalid_price=F.col("price") <= 0) | {"digits": names_with_digits(products).first()["with_digit"]}
-    s = _count(sales, null_id=F.col("sale_id").isNull(), invalid_qty=F.col("quantity").isNull() | (F.col("quantity") <= 0), invalid_disc=F.col("discount").isNull() | ~F.col("discount").between(0, 100))
-    w = _count(weather, null_date=F.col("date").isNull(), neg_precip=F.col("precip_mm") < 0)
-    n_rejected = rejected.count()
+    counts = dict(counts or {})
+    # a count that a column of the wrong kind does not allow is 0; the contract has said so
+    c, p, s, w = (Counter(counts.get(k) or counted(k, cleaned[k])) for k in ("customers", "products", "sales", "weather_daily"))
+    n_rejected = counts["rejected"]["rows"] if "rejected" in counts else rejected.count()
     try:
         links = link_counts(sales, customers, products, weather).first().asDict()
     except AnalysisException as e:  # a column that coverage needs is missing or cannot be compared
@@ -120,14 +147,14 @@ def metrics(cleaned: Mapping[str, DataFrame], rejected: DataFrame, limits: Thres
     eligible, unmatched = links["eligible_sales_for_weather_match"], links["sales_with_no_weather_match"]
     return {
         "rows": {"customers": c["rows"], "products": p["rows"], "sales_clean": s["rows"], "sales_rejected": n_rejected, "weather": w["rows"]},
-        "customers": {"null_customer_id": c["null_id"], "dup_customer_id": _surplus(customers, "customer_id")},
-        "products": {"null_product_id": p["null_id"], "dup_product_id": _surplus(products, "product_id"), "invalid_price_le_0": p["invalid_price"], "digits_in_name": p["digits"]},
+        "customers": {"null_customer_id": c["null_customer_id"], "dup_customer_id": _surplus(customers, "customer_id")},
+        "products": {"null_product_id": p["null_product_id"], "dup_product_id": _surplus(products, "product_id"), "invalid_price_le_0": p["price_le_0"], "digits_in_name": p["with_digit"]},
         "sales": {
-            "null_sale_id": s["null_id"], "dup_sale_id": _surplus(sales, "sale_id"), "invalid_qty": s["invalid_qty"], "invalid_disc": s["invalid_disc"],
+            "null_sale_id": s["null_sale_id"], "dup_sale_id": _surplus(sales, "sale_id"), "invalid_qty": s["invalid_quantity"], "invalid_disc": s["invalid_discount"],
             "unknown_cust_fk": links["unknown_cust_fk"], "unknown_prod_fk": links["unknown_prod_fk"], "reject_rate": _ratio(n_rejected, s["rows"] + n_rejected), "max_reject_rate": limits.max_reject_rate,
         },
         "weather": {
-            "null_weather_date": w["null_date"], "dup_weather_key": _surplus(weather, "date", "city"), "neg_precip": w["neg_precip"], "sales_with_unknown_city": links["sales_with_unknown_city"],
+            "null_weather_date": w["null_date"], "dup_weather_key": _surplus(weather, "date", "city"), "neg_precip": w["negative_rain"], "sales_with_unknown_city": links["sales_with_unknown_city"],
             "unknown_city_rate": _ratio(links["sales_with_unknown_city"], s["rows"]), "eligible_sales_for_weather_match": eligible, "sales_with_no_weather_match": unmatched,
             "weather_coverage_rate": _ratio(eligible - unmatched, eligible), "missing_valid_price_rows": links["missing_valid_price_rows"],
             "price_coverage_rate": _ratio(s["rows"] - links["missing_valid_price_rows"], s["rows"]), "min_valid_price_coverage": limits.min_valid_price_coverage, "max_unknown_city_rate": limits.max_unknown_city_rate,
@@ -168,14 +195,14 @@ def warnings_of(m: Mapping[str, dict]) -> list[str]:
     ]
 
 
-def quality_report(cleaned: Mapping[str, DataFrame], rejected: DataFrame, limits: Thresholds = Thresholds(), fail_on_critical: bool = True) -> dict:  # noqa: B008
+def quality_report(cleaned: Mapping[str, DataFrame], rejected: DataFrame, limits: Thresholds = Thresholds(), fail_on_critical: bool = True, counts: Mapping[str, Mapping[str, int]] | None = None) -> dict:  # noqa: B008
     """The gate's report; raises QualityGateError on blocking failures unless told not to. Contracts come first: where columns
-    are missing, metrics would only fail on them."""
-    contracts = [x for name in CONTRACTS for x in contract_failures(name, cleaned[name])]
+    are missing, metrics would only fail on them. `counts`: what was observed while the tables were written."""
+    contracts = [x for name in CONTRACTS for x in contract_failures(name, cleaned[name], (counts or {}).get(name))]
     if any("missing columns" in x for x in contracts):
         found, failures, warnings = {}, contracts, []
     else:
-        found = metrics(cleaned, rejected, limits)
+        found = metrics(cleaned, rejected, limits, counts)
         failures, warnings = failures_of(found, contracts), warnings_of(found)
     report = {"status": "failed" if failures else "passed", "critical_failures": failures, "warnings": warnings, "metrics": found}
     for text in warnings:

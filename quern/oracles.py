@@ -200,7 +200,34 @@ UNION ALL SELECT 'gate', 'warnings', 1000000 * ((SELECT v FROM one WHERE figure
   + 1000000 * ((SELECT v FROM one WHERE figure = 'sales_with_no_weather_match') > 0)::INT + 1000000 * ((SELECT v FROM one WHERE figure = 'price_coverage_rate') < 0.9)::INT
   + 1000000 * ((SELECT v FROM one WHERE figure = 'digits_in_name') > 0)::INT"""
 
+_SPOILED = """
+spoiled_customers AS (SELECT CASE WHEN customer_id % 29 <> 0 THEN customer_id END AS customer_id FROM (SELECT customer_id FROM customers_silver UNION ALL SELECT customer_id FROM customers_silver WHERE customer_id % 10 = 0)),
+spoiled_products AS (SELECT CASE WHEN product_id % 31 <> 0 THEN product_id END AS product_id, price, is_price_valid <> (product_id % 7 = 0) AS is_price_valid FROM products_silver),
+spoiled_sales AS (SELECT CASE WHEN sale_id % 17 <> 0 THEN sale_id END AS sale_id, CASE WHEN sale_id % 13 = 0 THEN customer_id + 7000000 ELSE customer_id END AS customer_id, product_id, CASE WHEN sale_id % 11 <> 0 THEN sale_date END AS sale_date FROM sales_silver),
+spoiled_weather AS (SELECT date, CASE WHEN city < 'X' THEN city END AS city FROM (SELECT * FROM weather_silver UNION ALL SELECT * FROM weather_silver WHERE city < 'C'))"""
+#: What blocks over spoiled silver, in its order: text, count, and whether the count is shown.
+_BLOCKED = [
+    ("null sale_id after cleaning", "SELECT COUNT(*) - COUNT(sale_id) FROM spoiled_sales", True), ("duplicated sale_id after cleaning", "SELECT COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT sale_id FROM spoiled_sales)) FROM spoiled_sales", True),
+    ("null customer_id after cleaning", "SELECT COUNT(*) - COUNT(customer_id) FROM spoiled_customers", True), ("duplicated customer_id", "SELECT COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT customer_id FROM spoiled_customers)) FROM spoiled_customers", True),
+    ("null product_id after cleaning", "SELECT COUNT(*) - COUNT(product_id) FROM spoiled_products", True), ("duplicated product_id", "SELECT COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT product_id FROM spoiled_products)) FROM spoiled_products", True),
+    ("orphan customer_id in sales", "SELECT COUNT(*) FROM spoiled_sales s WHERE NOT EXISTS (SELECT 1 FROM spoiled_customers c WHERE c.customer_id = s.customer_id)", True),
+    ("orphan product_id in sales", "SELECT COUNT(*) FROM spoiled_sales s WHERE NOT EXISTS (SELECT 1 FROM spoiled_products p WHERE p.product_id = s.product_id)", True),
+    ("products.silver contract violation: price must be positive when is_price_valid is true and NA otherwise", "SELECT COUNT(*) FROM spoiled_products WHERE (is_price_valid AND NOT coalesce(price > 0, false)) OR (NOT is_price_valid AND price IS NOT NULL)", False),
+    ("sales.silver contract violation: sale_date must not contain nulls", "SELECT COUNT(*) - COUNT(sale_date) FROM spoiled_sales", False),
+    ("weather_daily.silver contract violation: date must not contain nulls", "SELECT COUNT(*) - COUNT(date) FROM spoiled_weather", False), ("weather_daily.silver contract violation: city must not contain nulls", "SELECT COUNT(*) - COUNT(city) FROM spoiled_weather", False),
+    ("weather_daily.silver contract violation: (date, city) must be unique", "SELECT COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT date, city FROM spoiled_weather)) FROM spoiled_weather", False),
+]
+_V7 = f"""WITH {_SILVER}, {_SPOILED},
+counts AS ({" UNION ALL ".join(f"SELECT {i} AS i, '{text}' || {f"' (' || ({sql}) || ')'" if shown else "''"} AS failure, ({sql}) AS n" for i, (text, sql, shown) in enumerate(_BLOCKED))})
+SELECT row_number() OVER (ORDER BY i)::INT AS place, failure FROM counts WHERE n > 0"""
+
+_SALES_COLUMNS = ("sale_id", "customer_id", "product_id", "sale_date", "quantity", "discount")
+_FACTS = " UNION ALL ".join(f"""SELECT '{c}' AS column, COUNT(*) AS rows, COUNT(*) - COUNT({c}) AS nulls, COUNT(DISTINCT {c}) AS distinct,
+  (SELECT string_agg(v || '=' || n, '|' ORDER BY n DESC, v) FROM (SELECT {c} AS v, COUNT(*) AS n FROM raw_sales WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)) AS top FROM raw_sales""".replace("AS column,", 'AS "column",').replace("AS distinct,", 'AS "distinct",') for c in _SALES_COLUMNS)
+
 ORACLES = {
+    "a16_column_facts": f"WITH {_raw('sales')} {_FACTS}",
+    "v7_spoiled_gate": _V7,
     "a1_mart": f"WITH {_GOLD} {_text_date('sale_date', 'mart')}",
     "s4_pruned_scan": f"SELECT l_orderkey::INT AS order_id, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS shipped, CAST({cents('l_extendedprice * (1.0::DOUBLE - l_discount)')} AS DECIMAL(18,2)) AS net FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_discount > 0.05::DOUBLE",
     "t1_tidy_texts": f"SELECT doc_id, md5(t) AS tidy_md5, length(t)::INT AS n_chars FROM (SELECT doc_id, {tidy('t')} AS t FROM (SELECT doc_id, chr(32) || chr(9) || text || chr(10) || chr(32) AS t FROM documents))",

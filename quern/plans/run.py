@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from quern.operators import cleaning
 from quern.operators.profile import profile_all
 from quern.operators.quality import QualityGateError, Thresholds, quality_report
+from quern.operators.spread import hot_values
 from quern.plans import lineage, staging, star
 from quern.plans.alerts import Alert, tell
 from quern.sources import files, tables
@@ -47,14 +48,15 @@ class Outcome:
     report: dict = field(default_factory=dict)
 
 
-def transform(raw: Mapping[str, DataFrame], settings: Mapping | None = None, hooks: Hooks | None = None, keep: Callable[[str, DataFrame], DataFrame] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+def transform(raw: Mapping[str, DataFrame], settings: Mapping | None = None, hooks: Hooks | None = None, keep: Callable[[str, DataFrame], DataFrame] | None = None, hot: Mapping | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """Silver tables and rejected sales: customers and products first, as sales refer to both. Without settings, those of the
-    configuration hold. All is lazy, unless `keep` stores what several tables are made of and gives it back."""
+    configuration hold. All is lazy, unless `keep` stores what several tables are made of and gives it back. `hot`: see judge_sales()."""
     settings, hooks, keep = settings or get_settings(), hooks or Hooks(), keep or (lambda name, df: df)
     cities, categories, leet = normalization(settings)
     customers = keep("customers", hooks.customers(raw["customers"], cities))
     products = keep("products", hooks.products(raw["products"], categories, leet))
-    judged = keep("judged", hooks.judge(raw["sales"], customers, products))
+    spread = {"hot": hot} if hot and hooks.judge is cleaning.judge_sales else {}
+    judged = keep("judged", hooks.judge(raw["sales"], customers, products, **spread))
     cleaned = {"customers": customers, "products": products, "sales": cleaning.accepted_sales(judged), "weather_daily": hooks.weather(raw["weather_daily"])}
     return cleaned, cleaning.rejected_sales(judged)
 
@@ -83,6 +85,15 @@ def _folder(settings: Mapping, run_id: str) -> str:
 # else the next ones need through the notes that a task returns. A task that is tried again writes its tables anew.
 
 
+def _whole(text: str) -> int | None:
+    """An id out of its cell as sales are judged, or None."""
+    try:
+        number = float(text)
+        return int(number) if number.is_integer() else None
+    except (ValueError, OverflowError):
+        return None
+
+
 def extract_task(spark: SparkSession, settings: Mapping, run_id: str, use_weather_service: bool = False, get: Callable = http_get, quarantine: str | None = None, story: lineage.RunLog | None = None) -> dict:
     """Reads the raw files once, into the staging folder, and profiles them. Without the weather service its file must be there."""
     story = story or lineage.RunLog("scheduled", name=run_id)
@@ -97,7 +108,9 @@ def extract_task(spark: SparkSession, settings: Mapping, run_id: str, use_weathe
         raw, counts = tables.stage_sources(spark, paths, f"{_folder(settings, run_id)}/raw", quarantine)
         story.figures["rows"] = {"extracted": counts}
     with story.stage("profile"):
-        profile_all({name: df.drop(cleaning.ORDINAL) for name, df in raw.items()})
+        found = profile_all({name: df.drop(cleaning.ORDINAL) for name, df in raw.items()})["sales"]
+        hot = hot_values({c: found["top"].get(c, ()) for c in ("customer_id", "product_id")}, found["rows"])
+        story.figures["hot"] = {c: [n for n in map(_whole, values) if n is not None] for c, values in hot.items()}
     return story.notes()
 
 
@@ -114,16 +127,21 @@ def transform_task(spark: SparkSession, settings: Mapping, run_id: str, notes: M
 
     with story.stage("transform"):
         raw = staging.staged(spark, f"{folder}/raw")
-        cleaned, rejected = transform(raw, settings, hooks, keep)
-        hooks.save(cleaned, rejected, settings, single)
+        cleaned, rejected = transform(raw, settings, hooks, keep, story.figures.get("hot"))
+        observed = hooks.save(cleaned, rejected, settings, single)
         # what follows reads the saved tables: a lost executor costs a read
         cleaned = tables.read_silver(spark, settings)
         rejected = tables.read_rejected(spark, tables.published(spark, settings, "silver")["rejected_sales"], rejected.schema)
-        story.count(lineage.accounts(raw, cleaned, {"sales": rejected}))
+        if observed:
+            extracted = story.figures.get("rows", {}).get("extracted") or {n: df.count() for n, df in raw.items()}
+            story.balance(extracted, {n: observed[n]["rows"] for n in cleaned}, {"sales": observed["rejected"]["rows"]})
+        else:  # by a saver of the caller's own
+            story.count(lineage.accounts(raw, cleaned, {"sales": rejected}))
         for name, n in story.figures["rows"]["cleaned"].items():
             log.info("cleaned %s: %s rows, %s columns", name, n, len(cleaned[name].columns))
     with story.stage("quality"):
-        story.figures["quality"] = hooks.checks(cleaned, rejected, Thresholds(**settings["quality"]))
+        known = {"counts": observed} if observed and hooks.checks is quality_report else {}
+        story.figures["quality"] = hooks.checks(cleaned, rejected, Thresholds(**settings["quality"]), **known)
     return story.notes()
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.numbers import money, to_cents
 from quern.functions.text import truthy
+from quern.operators.spread import left_join
 
 
 @dataclass(frozen=True)
@@ -58,12 +59,12 @@ def dim_weather(silver: DataFrame, buckets: Buckets = Buckets()) -> DataFrame:
 
 def _sold(sales: DataFrame, customers: DataFrame, products: DataFrame, weather: DataFrame) -> DataFrame:
     """Each sale that has its customer and product, with what is known of them and of the weather of its date in its
-    customer's city, and its amounts at the catalogue price (null if it is not valid). Joins carry no hints: the planner
+    customer's city (rows without one are spread), and its amounts at the catalogue price (null if it is not valid). Joins carry no hints: the planner
     broadcasts what it finds small."""
     s = sales.select(*[F.col(c).cast("int").alias(c) for c in ("sale_id", "customer_id", "product_id", "quantity")], F.col("sale_date").cast("date").alias("sale_date"), F.col("discount").cast("double").alias("discount"))
     rows = s.join(customers.select("customer_id", "city"), "customer_id").join(products.select("product_id", "category", "price", "is_price_valid"), "product_id")
     days = weather.select("weather_sk", F.col("date").alias("_date"), F.col("city").alias("_city"), *MEASURES)
-    rows = rows.join(days, (F.col("sale_date") == F.col("_date")) & (F.col("city") == F.col("_city")), "left")
+    rows = left_join(rows, days, {"city": "_city", "sale_date": "_date"})
     total = F.col("quantity") * F.col("price")
     share = F.col("discount") / F.lit(100.0)
 

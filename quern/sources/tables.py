@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.operators.cleaning import ORDINAL, SALES_COLUMNS
-from quern.operators.quality import CONTRACTS
+from quern.operators.quality import CONTRACTS, table_counts
 from quern.sources import delimited, files, publish
 from quern.sources.delimited import QUOTES
 from quern.sources.files import exists
@@ -140,10 +140,16 @@ def _export(tables: Mapping[str, tuple[DataFrame, str, Sequence[str]]], settings
             publish.copy(spark, at[name], path)
 
 
-def save_silver(cleaned: Mapping[str, DataFrame], rejected: DataFrame, settings: Mapping, single: bool = False, version: str | None = None) -> None:
-    """Publish the silver tables and the rejected sales as a whole."""
-    out = {f"silver_{n.removesuffix('_daily')}": (to_contract(cleaned[n], list(CONTRACTS[n])), "parquet", ()) for n in DATASETS}
-    _export(out | {"rejected_sales": (to_contract(rejected, [*SALES_COLUMNS, "reject_reasons"]), "csv", ())}, settings, "silver", version or publish.new_version(), single)
+def save_silver(cleaned: Mapping[str, DataFrame], rejected: DataFrame, settings: Mapping, single: bool = False, version: str | None = None) -> dict[str, dict[str, int]]:
+    """Publish the silver tables and the rejected sales as a whole. Returns what was observed while they were written: the gate's
+    table_counts() of each, and the rows of `rejected`."""
+    seen = {n: Observation() for n in (*DATASETS, "rejected")}
+    kept = {n: to_contract(cleaned[n], list(CONTRACTS[n])) for n in DATASETS}
+    kept = {n: df.observe(seen[n], *[c.alias(k) for k, c in table_counts(n, df).items()]) for n, df in kept.items()}
+    bad = to_contract(rejected, [*SALES_COLUMNS, "reject_reasons"]).observe(seen["rejected"], F.count(F.lit(1)).alias("rows"))
+    out = {f"silver_{n.removesuffix('_daily')}": (df, "parquet", ()) for n, df in kept.items()}
+    _export(out | {"rejected_sales": (bad, "csv", ())}, settings, "silver", version or publish.new_version(), single)
+    return {n: dict(o.get) for n, o in seen.items()}
 
 
 def published(spark: SparkSession, settings: Mapping, layer: str) -> dict[str, str]:
