@@ -147,30 +147,51 @@ def test_normalization_falls_back():
 DAILY = {"time": ["2025-01-01", "2025-01-02"], "temperature_2m_mean": [1.5, None], "precipitation_sum": [0.0, 2.0], "precipitation_hours": [0, 1], "weather_code": [3, 61]}
 
 
-def test_weather_rows_in_order_after_retries(spark):
-    calls, pauses = [], []
+def test_weather_rows_in_order_after_retries(spark, tmp_path):
+    """Tasks fetch: what they did is seen in files."""
+    folder = str(tmp_path)
 
     def get(url, params, timeout):
-        calls.append(params["latitude"])
-        if len(calls) == 1:
+        import os
+
+        name = f"{folder}/{params['latitude']}-{params['start_date']}"
+        tries = len([x for x in os.listdir(folder) if x.startswith(name.rsplit("/", 1)[1])])
+        open(f"{name}-{tries}", "w").close()
+        if tries == 0 and params["latitude"] > 41:
             raise weather.HttpError(503)
         return json.dumps({"daily": DAILY})
 
-    cfg = settings.merged(settings.DEFAULTS, {"weather": {"request": {"max_workers": 1}}})
-    found = weather.fetch_weather(spark, cfg, get, pauses.append).collect()
-    assert [(r["city"], r["date"]) for r in found] == [("Madrid", "2025-01-01"), ("Madrid", "2025-01-02"), ("Barcelona", "2025-01-01"), ("Barcelona", "2025-01-02")]
-    assert found[1]["temp_c"] is None and found[1]["weather_code"] == "61" and len(calls) == 3 and 1.0 <= pauses[0] <= 1.5
+    def sleep(seconds):
+        assert 1.0 <= seconds <= 1.5
+        open(f"{folder}/slept", "w").close()
+
+    cfg = settings.merged(settings.DEFAULTS, {"weather": {"start_date": "2025-01-01", "end_date": "2025-01-02", "request": {"max_workers": 1}}})
+    found = weather.fetch_weather(spark, cfg, get, sleep)
+    got = found.collect()
+    assert [(r["city"], r["date"]) for r in got] == [("Madrid", "2025-01-01"), ("Madrid", "2025-01-02"), ("Barcelona", "2025-01-01"), ("Barcelona", "2025-01-02")]
+    assert got[1]["temp_c"] is None and got[1]["weather_code"] == "61"
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["40.4168-2025-01-01-0", "41.3851-2025-01-01-0", "41.3851-2025-01-01-1", "slept"]
+
+
+def test_weather_requests_are_spans_of_days_in_few_tasks(spark):
+    cfg = settings.merged(settings.DEFAULTS, {"weather": {"start_date": "2020-02-01", "end_date": "2022-03-01", "request": {"max_workers": 2}}})
+    spans = [(city, p["start_date"], p["end_date"]) for city, p in weather.requests_of(cfg)]
+    assert spans[:3] == [("Madrid", "2020-02-01", "2021-01-31"), ("Madrid", "2021-02-01", "2022-02-01"), ("Madrid", "2022-02-02", "2022-03-01")] and len(spans) == 6
+    parts = weather.answers_source(cfg, None, None)({}).reader(None).partitions()
+    assert [len(p.wanted) for p in parts] == [3, 3]
 
 
-@pytest.mark.parametrize(("answer", "error"), [(weather.HttpError(404), weather.HttpError), (TimeoutError(), TimeoutError), ("[1]", ValueError), ("{}", ValueError)])
-def test_weather_faults(spark, answer, error):
+@pytest.mark.parametrize(("answer", "says"), [(404, "HTTP status 404"), (TimeoutError, "TimeoutError"), ("[1]", "not a JSON object"), ("{}", "unexpected answer for")])
+def test_weather_faults(spark, answer, says):
     def get(url, params, timeout):
-        if isinstance(answer, Exception):
-            raise answer
+        if isinstance(answer, int):
+            raise weather.HttpError(answer)
+        if isinstance(answer, type):
+            raise answer("late")
         return answer
 
-    with pytest.raises(error):
-        weather.fetch_weather(spark, settings.DEFAULTS, get, lambda s: None)
+    with pytest.raises(Exception, match=says):
+        weather.fetch_weather(spark, settings.DEFAULTS, get, lambda s: None).collect()
 
 
 def test_cities():
