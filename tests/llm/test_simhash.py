@@ -217,7 +217,7 @@ def test_pairs_among_texts_with_a_passage_in_common(spark, docs, words, monkeypa
     # unlike texts share most of their shingles' least; pairs hidden among them are found, and rows stay linear
     tried = []
     own = neardup._by_keys
-    monkeypatch.setattr(neardup, "_by_keys", lambda members: tried.append(own(members)) or tried[-1])
+    monkeypatch.setattr(neardup, "_by_keys", lambda *given: tried.append(own(*given)) or tried[-1])
     counted = neardup.discard
     monkeypatch.setattr(neardup, "discard", lambda *tables: counted(*[t for t in tables if t not in tried]))
     rows, table = {}, {}
@@ -238,6 +238,26 @@ def test_pairs_among_texts_with_a_passage_in_common(spark, docs, words, monkeypa
     assert rows[1800] < 5 * rows[600]
 
 
+@pytest.mark.parametrize(("bucket", "block"), [(4, 16), (32, 64)])
+def test_crowds_of_unlike_texts_that_share_keys_lose_no_pair(spark, docs, words, monkeypatch, bucket, block):
+    """Texts edited each by itself from one that is not there: pairs are below the threshold but for hidden ones, all in one crowd."""
+    monkeypatch.setattr(neardup, "BUCKET", bucket)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    base, table = words(300, 3, 5000), {}
+    for i in range(240):
+        own = list(base)
+        for j in random.Random(i).sample(range(300), 7):
+            own[j] = f"edit{i}x{j}"
+        table[i] = " ".join(own)
+        if i % 8 == 0:
+            for j in random.Random(-i - 1).sample(range(300), 5):
+                own[j] = f"again{i}x{j}"
+            table[1000 + i] = " ".join(own)
+    found = {r["doc_id"]: r["class_key"] for r in neardup.near_duplicate_classes(docs(*table.items())).collect()}
+    wanted = _brute_classes(table)
+    assert 100 < len(set(wanted.values())) < len(table) and found == wanted
+
+
 def test_classes_of_a_whole_table_against_brute_force(spark):
     from compare import TINY
 
