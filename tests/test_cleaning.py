@@ -90,3 +90,20 @@ def test_long_ids_stay_apart(rows):
     assert {r["sale_id"] for r in cleaning.accepted_sales(judged).collect()} == {9007199254740993, 9007199254740992, 9007199254740994, 1000}
     assert {r["sale_id"]: r["reject_reasons"] for r in judged.filter("reject_reasons IS NOT NULL").collect()} == {
         "9223372036854775808": "invalid_sale_id", "1.5": "invalid_sale_id", "x": "invalid_sale_id", " ": "missing_sale_id", "7": "unknown_customer_id"}
+
+
+def test_cleaners_take_the_tables_of_the_settings(rows, tmp_path, monkeypatch):
+    from quern.plans import configured
+    from quern.sources import settings
+
+    raw = rows("customer_id first_name last_name city signup_date", ("1", "a", "b", "madríd", None), ("2", "a", "b", "xx", None))
+    products = rows("product_id product_name category price", ("5", "B0tella", "xx", "3"))
+    assert sorted(r["city"] for r in configured.clean_customers(raw).collect()) == ["Madrid", "Xx"]
+    (tmp_path / "c.yaml").write_text("normalization:\n  city_map: {xx: lugo}\n  category_map: {xx: things}\n  product_name: {leet_enabled: false}\n")
+    monkeypatch.setenv(settings.CONFIG_ENV, str(tmp_path / "c.yaml"))
+    assert "Lugo" in {r["city"] for r in configured.clean_customers(raw).collect()}
+    assert configured.clean_products(products).first()[1:3] == ("B0Tella", "Things")
+    sales = rows("sale_id customer_id product_id sale_date quantity discount", ("1", "1", "5", "2024-01-01", "1", None), ("2", "7", "5", "2024-01-01", "1", None))
+    clean, bad = configured.clean_sales(sales, configured.clean_customers(raw), configured.clean_products(products))
+    assert [r["sale_id"] for r in clean.collect()] == [1] and [r["reject_reasons"] for r in bad.collect()] == ["unknown_customer_id"]
+    assert configured.clean_weather(rows("date city temp_c", ("2024-01-01", " madrid ", "1"))).first()["city"] == "Madrid"
