@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -58,17 +59,18 @@ def read_sources(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, Dat
 
 
 def stage_sources(spark: SparkSession, paths: Mapping[str, str], folder: str, quarantine: str | None = None) -> tuple[dict[str, DataFrame], dict[str, int]]:
-    """All datasets, each parsed once into Parquet below `folder`, and their numbers of rows, counted on the way. Records that cannot
+    """All datasets, each parsed once into Parquet below `folder`, and their numbers of rows, observed on the way. Records that cannot
     be read go to `quarantine`/<dataset> (path, line, fault, record), and without one raise MalformedInput, as in read_csv()."""
     _require_all(spark, paths)
     staged, counts = {}, {}
     for name, path in paths.items():
         found, seen = delimited.scan(spark, path), Observation()
-        _present(found.rows(ORDINAL)).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{folder}/{name}")
-        if quarantine is None:
-            found.require()
-        else:
+        watched = replace(found, records=found.records.observe(seen, F.count_if(F.col("fault").isNull()).alias("rows"), F.count_if(F.col("fault").isNotNull()).alias("faults")))
+        _present(watched.rows(ORDINAL)).write.mode("overwrite").parquet(f"{folder}/{name}")
+        if quarantine is not None:
             found.faults().write.mode("overwrite").parquet(f"{quarantine}/{name}")
+        elif seen.get["faults"]:
+            found.require()
         staged[name], counts[name] = spark.read.parquet(f"{folder}/{name}"), seen.get["rows"]
         log.info("extracted %s: %s rows of %s", name, counts[name], path)
     return staged, counts
