@@ -122,7 +122,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     One scan hashes every s-th position's shingle, where s is the largest step at which no similar window can pass unseen,
     and meets the benchmark's shingles in a broadcast join, beyond MAX_BROADCAST_SHINGLES in a shuffle of the hashes alone.
     Where a window's length holds as many of an item's shingles as it must at least, the texts of those documents are read
-    again and all positions are looked at. Long texts are scanned in overlapping pieces, so a row never carries more."""
+    again and all positions are looked at. Long texts are scanned in overlapping pieces, so a row never carries more. What is left
+    is held against whole items, so the work for an item grows with the square of its length. The similarity of shingles alone
+    decides; the search by fingerprints can only lose pairs beyond its radius, of windows edited up to the threshold at most one
+    in three hundred (a test)."""
     items = benchmark.select(F.col(item).alias("item"), words_of(F.col(item_text)).alias("item_words")).filter(F.size("item_words") > 0).distinct()
     items = items.withColumns({"item_n": F.size("item_words"), "item_shingles": shingles_of(F.col("item_words")), "iid": F.monotonically_increasing_id(), "size": F.least(F.size("item_words"), F.lit(SHINGLE))})
     items = materialise(items, "benchmark")
