@@ -28,8 +28,10 @@ SIMILARITY = 0.8
 TABLES, KEY = 24, 5
 #: Differing bits of SimHash fingerprints up to which texts are candidates.
 RADIUS = 2
-#: Texts under a key, or under two keys, up to which all pairs that are not connected are rows; above, they meet in blocks.
-BUCKET, BLOCK = 32, 64
+#: Texts under a key, or under two keys, up to which all pairs that are not connected are compared as rows.
+BUCKET = 32
+#: In a larger crowd, texts outside its largest connected part, and all of its texts, that meet in one task.
+LEFT, RIGHT = 64, 512
 #: The share of the TABLES * KEY orders under which two texts have the same least shingle estimates their similarity, with a
 #: standard deviation of 0.037 at the threshold. Pairs more than this below it, five deviations, are discarded unseen.
 DOUBT = 0.18
@@ -160,9 +162,11 @@ def _by_fingerprint(texts: DataFrame) -> DataFrame:
 
 
 def _unconnected(members: DataFrame) -> DataFrame:
-    """The rows (k, digest, root and others) of keys whose texts are not all connected, with the number `n` of texts under the key."""
-    some = members.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
-    return members.join(some.select("k", "n"), "k")
+    """The rows (k, digest, root) of keys whose texts are not all connected, with the number of texts under the key and one of
+    them, drawn by a hash, as `centre`."""
+    draw = F.min(F.struct(F.xxhash64("digest"), "digest", "root")).alias("centre")
+    some = members.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), draw).filter("lo != hi")
+    return members.select("k", "digest", "root").join(some.select("k", "n", F.col("centre.digest").alias("centre"), F.col("centre.root").alias("rc")), "k")
 
 
 def _pairs_under_keys(few: DataFrame) -> DataFrame:
@@ -170,60 +174,55 @@ def _pairs_under_keys(few: DataFrame) -> DataFrame:
     return one.join(other, "k").filter("a < b and ra != rb").select("a", "b")
 
 
-def _shared_places(one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of all pairs of rows, the first two tables in which they share a search key (TABLES where there is none)."""
-    same = one[:, None, :] == other[None, :, :]
-    first = np.where(same.any(axis=2), same.argmax(axis=2), TABLES)
-    np.put_along_axis(same, np.minimum(first, TABLES - 1)[:, :, None], False, axis=2)
-    return first, np.where(same.any(axis=2), same.argmax(axis=2), TABLES)
-
-
 def _met(similarity: float):
     def pairs(table: pa.Table) -> pa.Table:
-        """Those pairs of two blocks (or of one) of a crowd that are not connected, meet here first of all crowds, and whose samples
-        do not tell them apart."""
-        digests, roots, side = (table[c].to_numpy() for c in ("digest", "root", "side"))
+        """Of a crowd's rows of two sides, the pairs across that are not connected, share this key first, and whose samples do not
+        tell them apart."""
+        digests, roots, minor, left = (table[c].to_numpy(zero_copy_only=False) for c in ("digest", "root", "minor", "left"))
+        place = table["place"][0].as_py()
         search, sample = (np.array(table[c].combine_chunks().flatten()).reshape(len(digests), -1) for c in ("search", "sample"))
-        places, one = np.array(table["places"][0].as_py()), table["i"][0].as_py() == table["j"][0].as_py()
-        left, right = (np.arange(len(digests)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        first, second = _shared_places(search[left], search[right])
-        good = (first == places[0]) & (second == places[1]) & (roots[left][:, None] != roots[right][None, :])
-        if one:
-            good &= left[:, None] < right[None, :]
-        a, b = np.nonzero(good)
-        a, b = left[a], right[b]
-        own = sample.view(np.uint8).reshape(len(digests), -1)
-        alike = (own[a] == own[b]).mean(axis=1) >= similarity - DOUBT if len(a) else np.zeros(0, bool)
-        return pa.table({"a": digests[a[alike]].astype(str), "b": digests[b[alike]].astype(str)}, schema=pa.schema([("a", pa.string()), ("b", pa.string())]))
+        own, out = sample.view(np.uint8).reshape(len(digests), -1), []
+        ones, others = np.flatnonzero(left), np.flatnonzero(~left)
+        for a in ones:
+            good = (roots[others] != roots[a]) & (~minor[others] | (digests[others] > digests[a]))  # two minor ones meet twice
+            b = others[good]
+            b = b[~(search[b, :place] == search[a, :place]).any(axis=1)]
+            b = b[(own[b] == own[a]).mean(axis=1) >= similarity - DOUBT]
+            out += [(digests[a], x) for x in digests[b]]
+        return pa.table({"a": [x for x, _ in out], "b": [x for _, x in out]}, schema=pa.schema([("a", pa.string()), ("b", pa.string())]))
 
     return pairs
 
 
-def _in_blocks(crowds: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Candidates (a, b) of crowds (k, digest, root, n, places), groups of any size whose texts share the keys of two tables: the exact
-    way for what is too large for all pairs as rows. A crowd's texts are dealt to blocks of about BLOCK; each two blocks meet in a
-    task, which compares all their pairs but gives only those that could be alike. Of all crowds that hold a pair, it is
-    judged in that of the first two tables in which it shares a key."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = crowds.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(texts.select("digest", "search", "sample"), "digest")
-    met = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = (F.col("own") > F.col("x")).cast("int")
-    met = met.select("k", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), side.alias("side"), "places", "digest", "root", "search", "sample")
+def _in_blocks(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b) under keys (k, digest, root, place: the key's table) of more than BUCKET texts that are not all connected: the
+    exact way for what the steps before left. Texts outside the key's largest connected part are held against all of its texts, in
+    blocks of both that meet in tasks; of the keys that a pair shares it is judged under the first. Rows are the key's texts for
+    every LEFT of those outside, and pairs become rows only where they could be alike."""
+    sizes = members.groupBy("k", "root").agg(F.count(F.lit(1)).alias("c"))
+    crowds = sizes.groupBy("k").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("most")).filter((F.col("n") > BUCKET) & (F.col("most.c") < F.col("n")))
+    crowds = crowds.select("k", F.col("most.root").alias("major"), F.ceil((F.col("n") - F.col("most.c")) / LEFT).cast("int").alias("lefts"), F.ceil(F.col("n") / RIGHT).cast("int").alias("rights"))
+    rows = members.join(crowds, "k").withColumn("minor", F.col("root") != F.col("major"))
+    draw = F.xxhash64("digest")
+    i, j = F.pmod(draw, F.col("lefts")).cast("int"), F.pmod(draw, F.col("rights")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    right = F.transform(every("lefts"), lambda x: F.struct(x.alias("i"), j.alias("j"), F.lit(False).alias("left")))
+    left = F.transform(every("rights"), lambda x: F.struct(i.alias("i"), x.alias("j"), F.lit(True).alias("left")))
+    met = rows.withColumn("met", F.explode(F.when(F.col("minor"), F.concat(left, right)).otherwise(right))).join(texts.select("digest", "search", "sample"), "digest")
+    met = met.select("k", "met.i", "met.j", "met.left", "minor", "place", "digest", "root", "search", "sample")
     return met.groupBy("k", "i", "j").applyInArrow(_met(similarity), "a string, b string")
 
 
-def _by_keys(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Candidates (a, b) of texts that share a key (k, digest, root, place: its table) and are not connected: all pairs under a key of
-    up to BUCKET texts; under larger ones, all pairs that share two of them: as rows where up to BUCKET texts do, else in blocks. A
-    pair at the threshold shares two keys or more with a chance of 99.91 %."""
+def _by_keys(members: DataFrame) -> DataFrame:
+    """Candidates (a, b) of texts that share a key (k, digest, root) and are not connected: all pairs under a key of up to
+    BUCKET texts; under larger ones, all pairs that share two of them, if up to BUCKET texts do; else each text and one that
+    is drawn, which connects most of a crowd and leaves the others to _in_blocks(). A pair at the threshold shares two keys or more with a chance of 99.91 %."""
     left = materialise(_unconnected(members), "left")
-    crowded = left.filter(F.col("n") > BUCKET).groupBy("digest", "root").agg(F.sort_array(F.collect_list(F.struct("place", "k"))).alias("ks"))  # TABLES at most
-    twos = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, F.size("ks")), lambda y: F.struct(F.xxhash64(x["k"], y["k"]).alias("k"), F.array(x["place"], y["place"]).alias("places")))))
-    two = crowded.select("digest", "root", F.explode(twos).alias("two")).select("two.k", "digest", "root", "two.places")
-    both = materialise(_unconnected(two), "left")
-    pairs = _pairs_under_keys(left.filter(F.col("n") <= BUCKET)).union(_pairs_under_keys(both.filter(F.col("n") <= BUCKET)))
-    pairs = pairs.union(_in_blocks(both.filter(F.col("n") > BUCKET), texts, similarity))
+    crowded = left.filter(F.col("n") > BUCKET).groupBy("digest", "root").agg(F.sort_array(F.collect_list("k")).alias("ks"))  # TABLES at most
+    twos = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, F.size("ks")), lambda y: F.xxhash64(x, y))))
+    both = materialise(_unconnected(crowded.select("digest", "root", F.explode(twos).alias("k"))), "left")
+    stars = both.filter((F.col("n") > BUCKET) & (F.col("root") != F.col("rc"))).select(F.col("digest").alias("a"), F.col("centre").alias("b"))
+    pairs = _pairs_under_keys(left.filter(F.col("n") <= BUCKET)).union(_pairs_under_keys(both.filter(F.col("n") <= BUCKET))).union(stars)
     found = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     discard(left, both)
     return found
@@ -247,9 +246,17 @@ def _connected(texts: DataFrame, sketched: DataFrame, similarity: float) -> Data
     first = _alike(_by_fingerprint(texts).union(_by_centres(members)), texts, sketched, similarity)
     roots = components(first)
     rooted = members.join(roots, members["digest"] == roots["node"], "left").select("k", "digest", F.coalesce("root", "digest").alias("root"), "place")
-    tried = _by_keys(rooted, texts, similarity)
+    tried = _by_keys(rooted)
     links = first.union(_alike(tried, texts, sketched, similarity))
-    discard(members, tried)
+    discard(tried)
+    roots = components(links)
+    rooted = members.join(roots, members["digest"] == roots["node"], "left").select("k", "digest", F.coalesce("root", "digest").alias("root"), "place")
+    left = materialise(_in_blocks(rooted, texts, similarity), "left-pairs")
+    if left.isEmpty():
+        discard(members, left)
+        return roots
+    links = links.union(_alike(left, texts, sketched, similarity))
+    discard(members, left)
     return components(links)
 
 
@@ -260,9 +267,9 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
 
     Equal texts are combined first. Texts with close SimHash fingerprints are compared, and each text with the most central one
     of its most crowded search key; those alike are linked. Pairs that share a key and are then not connected are compared
-    under keys of few texts; where many texts share a key, under two keys. Rows stay in proportion to the texts in groups of
-    near copies and among unlike texts with a passage in common; crowds that share two keys and are yet unlike are compared in
-    blocks, whose work grows with the square of a crowd and whose rows do not. Tables of steps that have ended are deleted."""
+    under keys of few texts; where many texts share a key, under two keys, or with one that is drawn. What is then still not
+    connected in a crowd is compared with all of it, in blocks. Rows stay in proportion to the texts in groups of near copies and among
+    unlike texts with a passage in common. Tables of steps that have ended are deleted."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), text_digest(F.col(text)).alias("digest"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()

@@ -238,11 +238,12 @@ def test_pairs_among_texts_with_a_passage_in_common(spark, docs, words, monkeypa
     assert rows[1800] < 5 * rows[600]
 
 
-@pytest.mark.parametrize(("bucket", "block"), [(4, 16), (32, 64)])
-def test_crowds_of_unlike_texts_that_share_keys_lose_no_pair(spark, docs, words, monkeypatch, bucket, block):
+@pytest.mark.parametrize(("bucket", "left", "right"), [(4, 8, 16), (32, 64, 512)])
+def test_crowds_of_unlike_texts_that_share_keys_lose_no_pair(spark, docs, words, monkeypatch, bucket, left, right):
     """Texts edited each by itself from one that is not there: pairs are below the threshold but for hidden ones, all in one crowd."""
     monkeypatch.setattr(neardup, "BUCKET", bucket)
-    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "LEFT", left)
+    monkeypatch.setattr(neardup, "RIGHT", right)
     base, table = words(300, 3, 5000), {}
     for i in range(240):
         own = list(base)
