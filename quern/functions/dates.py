@@ -14,6 +14,5 @@ def to_ymd(c: Column) -> Column:
 
 
 def parsed_ymd(text: Column) -> Column:
-    """The same of text that is trimmed already."""
-    dashed = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, "y-M-d"))
-    return F.coalesce(dashed, F.when(text.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), F.try_to_date(text, "y/M/d")))
+    """The same of text that is trimmed already. The cast reads all that the pattern lets through, faster than a formatter."""
+    return F.when(text.rlike(r"^\d{4}([-/])\d{1,2}\1\d{1,2}\z"), F.translate(text, "/", "-").try_cast("date"))

@@ -13,9 +13,9 @@ SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def trimmed(c: Column) -> Column:
-    """Without white space (any Unicode one) at either end. Cells of printable ASCII alone, most of them, have none."""
-    text = c.cast("string")
-    return F.when(text.rlike(r"^[!-~]*\z"), text).otherwise(F.btrim(text, F.lit(SPACES)))
+    """Without white space (any Unicode one) at either end. Most cells have none but plain spaces, and begin and end in printable ASCII."""
+    text = F.trim(c.cast("string"))
+    return F.when(text.rlike(r"(?s)^(?:[!-~](?:.*[!-~])?)?\z"), text).otherwise(F.btrim(text, F.lit(SPACES)))
 
 
 def squeezed(c: Column) -> Column:
@@ -33,9 +33,10 @@ def tidy(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """A capital after every character that is not a letter: `o'neil 10l` gives `O'Neil 10L` (initcap looks at spaces only)."""
+    """A capital after every character that is not a letter: `o'neil 10l` gives `O'Neil 10L` (initcap looks at spaces only, which
+    is enough where a text has but spaces between ASCII letters)."""
     runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda run: F.initcap(run)), "")
+    return F.when(c.rlike(r"^[A-Za-z ]*\z"), F.initcap(c)).otherwise(F.array_join(F.transform(runs, lambda run: F.initcap(run)), ""))
 
 
 def looked_up(c: Column, table: Mapping[str, str]) -> Column:

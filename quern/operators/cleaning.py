@@ -63,17 +63,18 @@ def category_of(c: Column, categories: Mapping[str, str]) -> Column:
 
 def clean_products(raw: DataFrame, categories: Mapping[str, str] | None = None, leet: Mapping[str, str] | None = None, tie: Sequence[Column] | None = None) -> DataFrame:
     """The most complete row of each product (then the highest price read, valid or not). A price that is not positive
-    becomes null and the row stays, marked. Without a `leet` table names are only lowered."""
+    becomes null and the row stays, marked. Without a `leet` table names are only lowered. Names are spelt out when the rows are
+    chosen: look-alike letters never leave a name blank."""
     columns = ("product_id", "product_name", "category", "price")
     name = squeezed(trimmed(F.col("product_name")))
     rows = valid_ids(raw, "product_id").withColumns({
-        "_name": none_if_blank(letters_for_digits(name, leet or {})), "_category": tidy(F.col("category")), "_price": to_price(F.col("price")),
+        "_name": none_if_blank(name), "_category": tidy(F.col("category")), "_price": to_price(F.col("price")),
     })
     priced = F.coalesce(F.col("_price") > 0, F.lit(False))
     score = filled(F.col("_name").isNotNull(), F.col("_category").isNotNull(), priced)
     best = best_row(rows, ["_id"], score.desc(), F.col("_price").desc_nulls_last(), *_ties(rows, tie, columns))
     return best.select(
-        F.col("_id").alias("product_id"), title_case(F.col("_name")).alias("product_name"), category_of(F.col("_category"), categories or {}).alias("category"),
+        F.col("_id").alias("product_id"), title_case(letters_for_digits(F.col("_name"), leet or {})).alias("product_name"), category_of(F.col("_category"), categories or {}).alias("category"),
         F.when(priced, F.col("_price")).alias("price"), priced.alias("is_price_valid"),
     )
 

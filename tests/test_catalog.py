@@ -38,3 +38,37 @@ def test_the_rest_works_without_the_optional_part(tmp_path):
     code = "import sys\nclass Block:\n    def find_spec(self, name, path=None, target=None):\n        if name.split('.')[0] == 'corpus_pipeline' or name.startswith('quern.llm'):\n            raise ImportError(name)\nsys.meta_path.insert(0, Block())\nimport __spark_entry__ as e\nassert set(e.queries()) == set(e.oracle_sql()) and not any(x.startswith('op') or x == 'pipeline' for x in e.queries())"
     done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, env=os.environ | {"PYTHONPATH": str(ROOT)}, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+
+
+@pytest.mark.parametrize("name, tables", [
+    ("v1_gate", ["customers", "judged", "products", "weather_daily"]),
+    ("v7_spoiled_gate", ["customers", "customers", "judged", "products", "products", "sales", "weather_daily", "weather_daily"]),  # silver, and what is spoiled
+    ("o3_mart_preview", ["customers", "products", "weather_daily"]),
+])
+def test_a_gate_and_gold_clean_each_table_once(spark, monkeypatch, name, tables):
+    from quern.sources import scratch
+
+    written, stored = [], scratch.stored
+    for module in (scratch, catalog):
+        monkeypatch.setattr(module, "stored", lambda df, label: written.append(label) or stored(df, label))
+    catalog.QUERIES[name](spark, TINY)
+    assert sorted(written) == tables
+
+
+@pytest.mark.parametrize("name, lineitem, customer", [("o3_mart_preview", 1, 0), ("p6_fact_sales", 1, 0)])
+def test_shared_tables_are_read_once(spark, name, lineitem, customer):
+    plan = catalog.QUERIES[name](spark, TINY)._jdf.queryExecution().executedPlan().toString()
+    assert [plan.count(f"/{t}.parquet") for t in ("lineitem", "customer")] == [lineitem, customer]
+
+
+def test_short_ways_of_dates_and_titles(spark):
+    from pyspark.sql import functions as F
+
+    from quern.functions.dates import to_ymd
+    from quern.functions.text import title_case
+
+    dates = ["2024-1-2", " 2024/01/02\t", "2024-1/2", "2024-02-30", "2023/02/29", "2024-13-1", "0000-01-01", "24-1-1", "2024-1-2 00:00:00", "2024-01-02T00", "", None, " 2024-1-2 "]
+    found = [r[0] for r in spark.createDataFrame([(d,) for d in dates], "d string").select(to_ymd(F.col("d")).cast("string")).collect()]
+    assert found == ["2024-01-02", "2024-01-02", None, None, None, None, "0000-01-01", None, None, None, None, None, "2024-01-02"]
+    texts = {"": "", " a  bC ": " A  Bc ", "mad rid": "Mad Rid", "o'neil 10l": "O'Neil 10L", "ñu ab": "Ñu Ab", None: None}
+    assert dict(map(tuple, spark.createDataFrame([(t,) for t in texts], "t string").select("t", title_case(F.col("t"))).collect())) == texts
