@@ -237,9 +237,10 @@ def a22_digits_in_names(spark, sf):
 
 
 def a23_row_accounts(spark, sf):
-    """Extracted, judged and unpublished rows by dataset."""
-    silver, judged = _silver(spark, sf), _judged(spark, sf)
-    extracted = {name: roles.raw(spark, sf, name) for name in silver}
+    """Extracted, judged and unpublished rows by dataset (A20, A23, U2). Sales are judged once; of what was judged, counts need only the reasons."""
+    silver = stored_together(_referred(spark, sf))
+    judged = stored(_judged(spark, sf, silver).select(*_JUDGEMENT), "judged")
+    extracted = {name: roles.raw(spark, sf, name) for name in roles.RAW}
     found = accounts(extracted, silver | {"sales": cleaning.accepted_sales(judged)}, {"sales": cleaning.rejected_sales(judged)})
     return found.select("dataset", "extracted", "judged", "unpublished")
 
