@@ -55,7 +55,7 @@ def test_a_gate_and_gold_clean_each_table_once(spark, monkeypatch, name, tables)
     assert sorted(written) == tables
 
 
-@pytest.mark.parametrize("name, lineitem, customer", [("a23_row_accounts", 1, 1), ("o3_mart_preview", 1, 0), ("p6_fact_sales", 1, 0)])
+@pytest.mark.parametrize("name, lineitem, customer", [("a23_row_accounts", 1, 1), ("v13_invariants", 0, 0), ("o3_mart_preview", 1, 0), ("p6_fact_sales", 1, 0)])
 def test_shared_tables_are_read_once(spark, name, lineitem, customer):
     # a23 reads each raw table once more to count its rows
     plan = catalog.QUERIES[name](spark, TINY)._jdf.queryExecution().executedPlan().toString()
