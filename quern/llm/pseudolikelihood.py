@@ -6,7 +6,7 @@ probability as a product of decisions, one at each node on the way to the word (
 counted over all documents. Words outside it are in classes by their endings, which are leaves of the tree, too; a word of
 a class has besides its probability within the class, counted over all documents, so the words known grow with the corpus.
 
-The network is trained on masked positions of all documents. Documents are dealt by a hash to trainers of a fixed number of
+The network is trained on all positions of all documents, each masked in its turn. Documents are dealt by a hash to trainers of a fixed number of
 words and put in the hash's order, so results don't depend on how the table is laid out. All trainers of a round begin with
 the same weights; of what they make, each row of weights is averaged by how often it was used, in levels of bounded fan-in."""
 
@@ -37,9 +37,9 @@ VOCABULARY, CLASSES = 16_384, 1_023
 MIN_COUNT, MOST_COUNTED = 2, 1 << 24
 WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
-#: One in so many positions is a training target, at every size of the corpus. All positions are scored.
-MASK_EVERY = 3
 RATE = 0.15
+#: Nodes next to the root that training takes as one matrix: most decisions are at these.
+TOP = 128
 #: Words of a trainer.
 TRAINER = 2_000_000
 _BATCH = 1024
@@ -157,7 +157,7 @@ class Words(dict):
         lengths = np.array([len(words) for words in split], np.int64)
         numbers = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(lengths.sum()))
         self._learn()
-        return self.ids[numbers], lengths, np.bincount(np.repeat(np.arange(len(lengths)), lengths), self.within[numbers], len(lengths)).astype(np.float64)
+        return self.ids.take(numbers), lengths, np.bincount(np.repeat(np.arange(len(lengths)), lengths), self.within.take(numbers), len(lengths)).astype(np.float64)
 
 
 class Tree:
@@ -187,14 +187,27 @@ class Tree:
         self.lengths[used] = (signs != 0).sum(axis=1)
         self.starts[used] = np.cumsum(self.lengths[used]) - self.lengths[used]
         self.nodes, self.signs = nodes[signs != 0].astype(np.int32), signs[signs != 0].astype(np.float32)
+        self.cut = max(0, n - 1 - TOP)  # numbers grow towards the root, so a way's nodes below the cut come first
+        self.deep = np.zeros(len(weights), np.int64)
+        self.deep[used] = ((signs != 0) & (nodes < self.cut)).sum(axis=1)
+
+    def _parts(self, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        begin = np.cumsum(lengths) - lengths
+        place = np.repeat(np.arange(len(lengths)), lengths)
+        at = np.arange(len(place)) + (starts - begin).take(place)
+        return self.nodes.take(at), self.signs.take(at), place, begin
 
     def way(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Nodes and signs on the way to each id, the place of that id, and where each way begins."""
-        lengths = self.lengths[ids]
-        begin = np.cumsum(lengths) - lengths
-        place = np.repeat(np.arange(len(ids)), lengths)
-        at = np.arange(len(place)) + (self.starts[ids] - begin)[place]
-        return self.nodes[at], self.signs[at], place, begin
+        return self._parts(self.starts[ids], self.lengths[ids])
+
+    def halves(self, ids: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+        """The same in two parts: the nodes below the cut of those ids that have any (with their places among `ids` at the end), and
+        those from the cut on, numbered from it."""
+        deep = self.deep[ids]
+        some = np.flatnonzero(deep)
+        nodes, signs, place, _ = self._parts(self.starts[ids] + deep, self.lengths[ids] - deep)
+        return (*self._parts(self.starts[ids[some]], deep[some]), some), (nodes - self.cut, signs, place)
 
 
 def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,7 +215,7 @@ def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(rows.astype(np.int16) if VOCABULARY <= 1 << 15 else rows, kind="stable")  # short numbers sort by counting
     ordered = rows[order]
     begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return ordered[begin], np.add.reduceat(values[order], begin, axis=0), np.diff(np.concatenate([begin, [len(rows)]]))
+    return ordered[begin], np.add.reduceat(values.take(order, axis=0), begin, axis=0), np.diff(np.concatenate([begin, [len(rows)]]))
 
 
 class Network:
@@ -228,9 +241,9 @@ class Network:
         return self
 
     def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        total = self.embed[ids[at + OFFSETS[0]]] * self.scale[0]
+        total = self.embed.take(ids.take(at + OFFSETS[0]), axis=0) * self.scale[0]
         for k, o in enumerate(OFFSETS[1:], 1):
-            total += self.embed[ids[at + o]] * self.scale[k]
+            total += self.embed.take(ids.take(at + o), axis=0) * self.scale[k]
         out = np.ones((len(at), total.shape[1] + 1), np.float32)
         np.tanh(total, out=out[:, :-1])
         return out
@@ -241,26 +254,58 @@ class Network:
         for i in range(0, len(at), _SCORED):
             part = at[i : i + _SCORED]
             nodes, signs, place, begin = self.tree.way(ids[part])
-            logits = signs * np.einsum("ij,ij->i", self.hidden(ids, part)[place], self.out[nodes])
+            logits = signs * np.einsum("ij,ij->i", self.hidden(ids, part).take(place, axis=0), self.out.take(nodes, axis=0))
             out[i : i + _SCORED] = -np.add.reduceat(np.log1p(np.exp(np.clip(-logits, -80, 80))), begin)
         return out
 
     def step(self, ids: np.ndarray, at: np.ndarray, memory: list[np.ndarray]) -> None:
-        """One Adagrad step on the positions `at`."""
-        h = self.hidden(ids, at)
-        nodes, signs, place, begin = self.tree.way(ids[at])
-        own, weights = h[place], self.out[nodes]
-        slope = -signs / (1 + np.exp(np.clip(signs * np.einsum("ij,ij->i", own, weights), -80, 80)))
-        back = np.add.reduceat(slope[:, None] * weights, begin, axis=0)[:, :-1] * (1 - h[:, :-1] ** 2)
-        around = np.concatenate([ids[at + o] for o in OFFSETS])
-        moves = (back[None] * self.scale[:, None]).reshape(len(around), -1)
-        scaled = (back[None] * self.embed[around].reshape(len(OFFSETS), len(at), -1)).sum(axis=1)
-        found = (_summed(around, moves), (np.arange(len(OFFSETS)), scaled, np.full(len(OFFSETS), len(at))), _summed(nodes, slope[:, None] * own))
-        for x, m, used, (rows, g, n) in zip(self.arrays(), memory, self.used, found, strict=True):
-            grown = m[rows] + g * g
+        """One Adagrad step on the positions `at`, which ascend. The stretch of text that holds them is looked up once, and its
+        neighbours are that stretch, shifted."""
+        reach = max(OFFSETS)
+        stretch, at = ids[at[0] - reach : at[-1] + reach + 1], at - at[0]
+        words, n = stretch[reach:-reach][at], len(stretch) - 2 * reach
+        seen, around = self.embed.take(stretch, axis=0), [slice(reach + o, reach + o + n) for o in OFFSETS]
+        total = seen[around[0]] * self.scale[0]
+        for k, w in enumerate(around[1:], 1):
+            total += seen[w] * self.scale[k]
+        h = np.ones((len(at), total.shape[1] + 1), np.float32)
+        np.tanh(total.take(at, axis=0), out=h[:, :-1])
+        (nodes, signs, place, begin, some), (tops, top_signs, top_place) = self.tree.halves(words)
+        # decisions near the root: a matrix of positions and nodes
+        crown = self.out[self.tree.cut : self.tree.cut + TOP]
+        cell = top_place * len(crown) + tops
+        slopes = np.zeros(len(at) * len(crown), np.float32)
+        slopes[cell] = -top_signs / (1 + np.exp(np.clip(top_signs * (h @ crown.T).ravel()[cell], -80, 80)))
+        slopes = slopes.reshape(len(at), len(crown))
+        back, crowned = slopes @ crown, (slice(self.tree.cut, self.tree.cut + len(crown)), slopes.T @ h, np.bincount(tops, minlength=len(crown)))
+        found = [crowned]
+        if len(some):
+            own, weights = h.take(some[place], axis=0), self.out.take(nodes, axis=0)
+            slope = -signs / (1 + np.exp(np.clip(signs * np.einsum("ij,ij->i", own, weights), -80, 80)))
+            weights *= slope[:, None]
+            back[some] += np.add.reduceat(weights, begin, axis=0)
+            own *= slope[:, None]
+            found.append(_summed(nodes, own))
+        moved, uses = np.zeros((n, total.shape[1]), np.float32), np.zeros(n, np.int64)
+        moved[at], uses[at] = back[:, :-1] * (1 - h[:, :-1] ** 2), 1
+        moves, times = np.zeros_like(seen), np.zeros(len(stretch), np.int64)
+        scaled = np.empty_like(self.scale)
+        for k, w in enumerate(around):
+            moves[w] += moved * self.scale[k]
+            times[w] += uses
+            scaled[k] = np.einsum("ij,ij->j", moved, seen[w])
+        rows, g, _ = _summed(stretch, moves)
+        used = np.bincount(stretch, times, len(self.embed))[rows]
+        met = used > 0
+        every = [(0, rows[met], g[met], used[met]), (1, slice(None), scaled, len(at)), *[(2, *f) for f in found]]
+        for which, rows, g, n in every:
+            x, m = self.arrays()[which], memory[which]
+            grown = g * g
+            grown += m[rows] if isinstance(rows, slice) else m.take(rows, axis=0)
             m[rows] = grown
-            x[rows] -= RATE * g / np.sqrt(grown)
-            used[rows] += n
+            np.sqrt(grown, out=grown)
+            x[rows] -= RATE * g / grown
+            self.used[which][rows] += n
 
     def memory(self) -> list[np.ndarray]:
         return [np.full(x.shape, 0.1, np.float32) for x in self.arrays()]
@@ -275,18 +320,16 @@ def _lay(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return laid, at
 
 
-def _train(vector: np.ndarray, tree: Tree, phase: int):
+def _train(vector: np.ndarray, tree: Tree):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for id_, words, lengths in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 net, lengths = Network(tree).load(vector), np.frombuffer(lengths, np.int64)
                 ids, at = _lay(np.frombuffer(words, np.int32), lengths)
-                within = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                masked = at[(within + np.repeat(lengths, lengths) + phase) % MASK_EVERY == 0]
                 memory = net.memory()
-                for i in range(0, len(masked), _BATCH):
-                    net.step(ids, masked[i : i + _BATCH], memory)
-                if len(masked):
+                for i in range(0, len(at), _BATCH):
+                    net.step(ids, at[i : i + _BATCH], memory)
+                if len(at):
                     yield _weights(id_, [np.repeat(u, x.shape[1]) for u, x in zip(net.used, net.arrays(), strict=True)], net.vector())
 
     return rows
@@ -324,11 +367,11 @@ def words_at(path: str, known: tuple) -> Words:
 
 
 def train(dealt: DataFrame, tree: Tree) -> Network:
-    """Train on all trainers' documents (id, words, lengths): one position in MASK_EVERY of each, at every size of the corpus."""
+    """Train on all trainers' documents (id, words, lengths): every position of each, at every size of the corpus."""
     net, spark = Network(tree), dealt.sparkSession
     start = spark.sparkContext.broadcast(net.vector())  # of a fixed size
     with few_rows(spark):
-        parts = materialise(dealt.mapInArrow(lambda b, start=start: _train(start.value, tree, 0)(b), _WEIGHTS), "weights")
+        parts = materialise(dealt.mapInArrow(lambda b, start=start: _train(start.value, tree)(b), _WEIGHTS), "weights")
         while parts.count() > 1:
             before, parts = parts, materialise(parts.groupBy(F.floor(F.col("id") / FAN_IN)).applyInArrow(_merge, _WEIGHTS), "weights")
             discard(before)

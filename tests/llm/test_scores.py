@@ -167,6 +167,35 @@ def test_scores_do_not_depend_on_the_layout(spark, docs, words, monkeypatch):
     assert len(same) == 1
 
 
+def test_every_position_is_a_training_target_once(monkeypatch):
+    import pyarrow as pa
+
+    tree, words = small_tree(b"a", b"b", b"c")
+    ids, lengths, _ = words.of(["a b c zz a", "", "c", "b a " * 1500])
+    targets, step = [], pl.Network.step
+    monkeypatch.setattr(pl.Network, "step", lambda net, laid, at, memory: targets.extend(at.tolist()) or step(net, laid, at, memory))
+    batch = pa.record_batch([pa.array([7]), pa.array([ids.tobytes()], pa.binary()), pa.array([lengths.tobytes()], pa.binary())], names=["id", "words", "lengths"])
+    made = list(pl._train(pl.Network(tree).vector(), tree)(iter([batch])))
+    assert targets == pl._lay(ids, lengths)[1].tolist() and len(targets) == 3006
+    used = np.frombuffer(made[0]["used"][0].as_py(), np.float32)
+    assert used[: pl.VOCABULARY * pl.WIDTH : pl.WIDTH].sum() == 4 * 3006  # each looks at its four neighbours
+
+
+def test_a_step_equals_one_of_single_positions():
+    # against sums over positions taken one by one, from the same weights: near the root and below, with gaps between positions
+    tree, _ = small_tree(*[b"w%d" % i for i in range(50)])
+    ids = np.random.default_rng(4).integers(1, pl.VOCABULARY, 60).astype(np.int32)
+    at = np.array([2, 3, 4, 9, 20, 21, 50])
+    whole, parts = drawn(tree), [drawn(tree) for _ in at]
+    start = whole.vector()
+    huge = lambda: [np.full(x.shape, 1e6, np.float32) for x in whole.arrays()]  # so a step is the gradient, scaled
+    whole.step(ids, at, huge())
+    for net, i in zip(parts, at, strict=True):
+        net.step(ids, np.array([i]), huge())
+    assert whole.vector() - start == pytest.approx(sum(p.vector() - start for p in parts), abs=2e-6)
+    assert all((u == sum(p.used[k] for p in parts)).all() for k, u in enumerate(whole.used))
+
+
 def test_trainers_take_all_words_once(spark, docs, words, monkeypatch):
     monkeypatch.setattr(pl, "TRAINER", 300)
     table = [(i, " ".join(words(50, i))) for i in range(50)] + [(None, "alike in all")] * 900
