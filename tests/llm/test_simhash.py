@@ -259,6 +259,31 @@ def test_crowds_of_unlike_texts_that_share_keys_lose_no_pair(spark, docs, words,
     assert 100 < len(set(wanted.values())) < len(table) and found == wanted
 
 
+def test_pairs_of_a_crowd_do_not_become_rows(spark, docs, words, monkeypatch):
+    made, own = [], neardup.materialise
+    monkeypatch.setattr(neardup, "materialise", lambda df, label: made.append(own(df, label)) or made[-1])
+    monkeypatch.setattr(neardup, "discard", lambda *tables: None)
+    base, table = words(300, 3, 5000), {}
+    for i in range(400):  # unlike, but alike enough to share keys and to look alike in samples
+        edited = list(base)
+        for j in random.Random(i).sample(range(300), 7):
+            edited[j] = f"edit{i}x{j}"
+        table[i] = " ".join(edited)
+    found = {r["doc_id"]: r["class_key"] for r in neardup.near_duplicate_classes(docs(*table.items())).collect()}
+    assert found == _brute_classes(table)
+    assert all(t.count() <= neardup.TABLES * len(table) for t in made)
+
+
+@pytest.mark.parametrize("bits", [8, 1 << 25])
+def test_only_sets_that_are_wanted_are_given(spark, monkeypatch, bits):
+    monkeypatch.setattr(neardup, "WANTED", bits)  # few bits let all pass to the join
+    rows = [(f"d{i}", [i], [i], [i, i + 1] if i % 7 else None) for i in range(2000)]
+    sketched = spark.createDataFrame(rows + rows[:300], "digest string, search array<long>, sample array<long>, shingles array<int>")
+    wanted = spark.createDataFrame([(f"d{i}",) for i in (*range(0, 2000, 3), 3, 5000)], "digest string")
+    found = sorted((r["digest"], r["shingles"]) for r in neardup.sets_of(wanted, sketched).collect())
+    assert found == sorted((f"d{i}", [i, i + 1]) for i in range(0, 2000, 3) if i % 7)
+
+
 def test_classes_of_a_whole_table_against_brute_force(spark):
     from compare import TINY
 
