@@ -132,7 +132,7 @@ def estimated_similarity(a: Column, b: Column) -> Column:
 def sets_of(wanted: DataFrame, sketched: DataFrame) -> DataFrame:
     """(digest, search, sample, shingles) of the texts in `wanted` (digest, repeats allowed). Sets are most of what is sketched, and few are
     wanted: a bitmap of the wanted digests' hashes, of a fixed size, is broadcast and keeps nearly all others out of the
-    shuffle (it lets some pass where many are wanted). The join decides."""
+    shuffle (it lets some pass where many are wanted). The join decides; a semi join would be moved below the bitmap."""
     wanted = materialise(wanted.select("digest").distinct(), "wanted")
     place = F.pmod(F.xxhash64("digest"), F.lit(WANTED)) + 1
     numbered = lambda df: df.withColumns({"part": F.bitmap_bucket_number(place), "bit": F.bitmap_bit_position(place)})
@@ -141,7 +141,7 @@ def sets_of(wanted: DataFrame, sketched: DataFrame) -> DataFrame:
     met = numbered(sketched.filter(F.col("shingles").isNotNull()).select("digest", *columns)).join(F.broadcast(bits), "part")
     byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
     met = met.filter(F.call_function("shiftright", byte, (F.col("bit") % 8).cast("int")).bitwiseAND(1) == 1).select("digest", *columns)
-    found = materialise(met.join(wanted, "digest", "left_semi").groupBy("digest").agg(*[F.any_value(c).alias(c) for c in columns]), "shingles")
+    found = materialise(met.join(wanted, "digest").groupBy("digest").agg(*[F.any_value(c).alias(c) for c in columns]), "shingles")
     discard(wanted)
     return found
 
