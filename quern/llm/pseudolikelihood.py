@@ -38,8 +38,8 @@ MIN_COUNT, MOST_COUNTED = 2, 1 << 24
 WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
 RATE = 0.15
-#: Nodes next to the root that training takes as one matrix: most decisions are at these.
-TOP = 128
+#: Nodes next to the root that training takes as one matrix: most decisions are at these. One less than a power of two.
+TOP = 127
 #: Words of a trainer.
 TRAINER = 2_000_000
 _BATCH = 1024
@@ -111,7 +111,9 @@ class Words(dict):
 
     def __init__(self, vocabulary: dict[bytes, int], sums: dict[int, tuple[int, int, int]], path: str | None = None):
         super().__init__()
-        self.own, self.sums = {w: 1 + CLASSES + i for i, w in enumerate(vocabulary)}, sums
+        self.own, self.sums = {w: 1 + CLASSES + i for i, w in enumerate(vocabulary)}, np.ones((3, 1 + CLASSES), np.int64)
+        for c, three in sums.items():
+            self.sums[:, c] = three
         self.hashes = self.counts = np.zeros(0, np.int64)
         if path is not None:
             fs, root = open_fs(path)
@@ -131,23 +133,29 @@ class Words(dict):
         return found
 
     def _learn(self) -> None:
-        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in self.fresh], np.uint64).view(np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
-        counts = np.where(self.hashes[at] == hashes, self.counts[at], 0).tolist() if len(self.hashes) else [0] * len(hashes)
         while len(self) > len(self.ids):
             self.ids, self.within = np.concatenate([self.ids, self.ids]), np.concatenate([self.within, self.within])
         start = len(self) - len(self.fresh)
-        for i, (word, n) in enumerate(zip(self.fresh, counts, strict=True), start):
-            own = self.own.get(word)
-            if own is None:
-                own = word_class(word)
-                total, rare, kinds = self.sums.get(own, (1, 1, 1))
-                self.within[i] = np.log((n or max(rare, 1) / max(kinds, 1)) / total)
-            else:
-                self.within[i] = 0.0
-            self.ids[i] = own
+        ids = np.fromiter(map(self.own.get, self.fresh, itertools.repeat(0)), np.int32, len(self.fresh))
+        self.within[start : len(self)] = 0.0
+        outside = np.flatnonzero(ids == 0)
+        if len(outside):
+            words = [self.fresh[i] for i in outside.tolist()]
+            ids[outside] = classes = np.fromiter(map(word_class, words), np.int32, len(words))
+            total, rare, kinds = self.sums.take(classes, axis=1)
+            counts = self._counted(words)
+            self.within[start + outside] = np.log(np.where(counts > 0, counts, np.maximum(rare, 1) / np.maximum(kinds, 1)) / total)
+        self.ids[start : len(self)] = ids
         self.fresh = []
 
+    def _counted(self, words: list[bytes]) -> np.ndarray:
+        """The words' counts, 0 for one without its own."""
+        if not len(self.hashes):
+            return np.zeros(len(words), np.int64)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.counts[at], 0)
+
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts' words one after another, each text's number of words, and the sum of its words' log-probabilities
         within their classes."""
@@ -160,6 +168,29 @@ class Words(dict):
         return self.ids.take(numbers), lengths, np.bincount(np.repeat(np.arange(len(lengths)), lengths), self.within.take(numbers), len(lengths)).astype(np.float64)
 
 
+class Levels:
+    """Ways of the tree, or their beginnings, level by level: of ids put in the order of their numbers of nodes, most first, those
+    that have a node of some level are a beginning of them. So work on a level needs no look-up of an id's own row."""
+
+    def __init__(self, tree: Tree, starts: np.ndarray, lengths: np.ndarray):
+        self.lengths, self.most, self.size = lengths.astype(np.int16), int(lengths.max()), len(lengths)
+        nodes, signs, place, begin = tree._parts(starts, lengths)
+        level = np.arange(len(place)) - begin[place]
+        self.nodes, self.signs = np.zeros((self.most, self.size), np.int32), np.zeros((self.most, self.size), np.float32)
+        self.nodes[level, place], self.signs[level, place] = nodes, signs
+
+    def order(self, ids: np.ndarray) -> np.ndarray:
+        return np.argsort(self.most - self.lengths.take(ids), kind="stable")
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+        """Nodes and signs on the ways of ids in that order, level by level, and for each level how many ids have it and where it is."""
+        many = len(ids) - np.cumsum(np.bincount(self.lengths.take(ids), minlength=self.most + 1))[: self.most]
+        ends = np.cumsum(many).tolist()
+        levels = [(n, slice(end - n, end)) for n, end in zip(many.tolist(), ends, strict=True) if n]
+        at = np.concatenate([ids[:n] + k * self.size for k, (n, _) in enumerate(levels)]) if levels else np.zeros(0, np.int64)
+        return self.nodes.ravel().take(at), self.signs.ravel().take(at), levels
+
+
 class Tree:
     """The way from the root of a Huffman tree to each id: node numbers and signs, one after another."""
 
@@ -188,8 +219,15 @@ class Tree:
         self.starts[used] = np.cumsum(self.lengths[used]) - self.lengths[used]
         self.nodes, self.signs = nodes[signs != 0].astype(np.int32), signs[signs != 0].astype(np.float32)
         self.cut = max(0, n - 1 - TOP)  # numbers grow towards the root, so a way's nodes below the cut come first
-        self.deep = np.zeros(len(weights), np.int64)
-        self.deep[used] = ((signs != 0) & (nodes < self.cut)).sum(axis=1)
+        deep = np.zeros(len(weights), np.int64)
+        deep[used] = ((signs != 0) & (nodes < self.cut)).sum(axis=1)
+        self.whole, self.below = Levels(self, self.starts, self.lengths), Levels(self, self.starts, deep)
+        # nodes from the cut on, numbered from it, as a table; a shorter way is filled up with number TOP, of sign 0
+        found, signs, place, begin = self._parts(self.starts + deep, self.lengths - deep)
+        column = np.arange(len(place)) - begin[place]
+        self.tops = np.full((len(weights), int((self.lengths - deep).max())), TOP, np.int32)
+        self.top_signs = np.zeros(self.tops.shape, np.float32)
+        self.tops[place, column], self.top_signs[place, column] = found - self.cut, signs
 
     def _parts(self, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         begin = np.cumsum(lengths) - lengths
@@ -201,21 +239,62 @@ class Tree:
         """Nodes and signs on the way to each id, the place of that id, and where each way begins."""
         return self._parts(self.starts[ids], self.lengths[ids])
 
-    def halves(self, ids: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-        """The same in two parts: the nodes below the cut of those ids that have any (with their places among `ids` at the end), and
-        those from the cut on, numbered from it."""
-        deep = self.deep[ids]
-        some = np.flatnonzero(deep)
-        nodes, signs, place, _ = self._parts(self.starts[ids] + deep, self.lengths[ids] - deep)
-        return (*self._parts(self.starts[ids[some]], deep[some]), some), (nodes - self.cut, signs, place)
 
+def _begins(ordered: np.ndarray) -> np.ndarray:
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return np.flatnonzero(new)
 
-def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct numbers in `rows`, the sums of their `values` and how often each occurs."""
+
+#: Rows that occur so often are summed as runs, others in turns: first all first ones, then all second ones, and so on.
+_TURNS = 48
+
+
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in `rows` and the sums of their `values`."""
     order = np.argsort(rows.astype(np.int16) if VOCABULARY <= 1 << 15 else rows, kind="stable")  # short numbers sort by counting
-    ordered = rows[order]
-    begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return ordered[begin], np.add.reduceat(values.take(order, axis=0), begin, axis=0), np.diff(np.concatenate([begin, [len(rows)]]))
+    ordered = rows.take(order)
+    begin = _begins(ordered)
+    counts = np.full(len(begin), len(rows))
+    counts[:-1] = begin[1:]
+    counts -= begin
+    if counts.max() > _TURNS:
+        return ordered.take(begin), np.add.reduceat(_pairs(values.take(order, axis=0)), begin, axis=0).view(np.float32)
+    frequent = np.argsort(_TURNS - counts.astype(np.int16), kind="stable")
+    begin = begin.take(frequent)
+    many = len(begin) - np.cumsum(np.bincount(counts))  # so many occur more than 0, 1, 2... times
+    sums = values.take(order.take(begin), axis=0)
+    for k, n in enumerate(many[1:-1].tolist(), 1):
+        sums[:n] += values.take(order.take(begin[:n] + k), axis=0)
+    return ordered.take(begin), sums
+
+
+def _pairs(x: np.ndarray) -> np.ndarray:
+    """Pairs of a row's numbers as complex ones, of which a sum takes half the steps."""
+    return x.view(np.complex64) if x.shape[1] % 2 == 0 else x
+
+
+def _rows(x: np.ndarray) -> np.ndarray:
+    """A table's rows as single values, which are stored faster than rows."""
+    return x.view(f"V{x.shape[1] * x.itemsize}").ravel()
+
+
+def _with_constant(x: np.ndarray) -> np.ndarray:
+    out = np.ones((len(x), x.shape[1] + 1), np.float32)
+    out[:, :-1] = x
+    return out
+
+
+def _losses(x: np.ndarray) -> np.ndarray:
+    """log(1 + exp(-x)), exact for small values, too (as log1p, in fewer steps): what is lost by adding 1 is added to the logarithm."""
+    small = np.exp(np.minimum(-x, 80))
+    whole = 1 + small
+    return np.log(whole) + (small - (whole - 1)) / whole
+
+
+def _slopes(signs: np.ndarray, logits: np.ndarray) -> np.ndarray:
+    """Derivatives of the losses of signs * logits by the logits."""
+    return -signs / (1 + np.exp(np.minimum(signs * logits, 80)))
 
 
 class Network:
@@ -240,72 +319,101 @@ class Network:
             x[:] = part.reshape(x.shape)
         return self
 
-    def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        total = self.embed.take(ids.take(at + OFFSETS[0]), axis=0) * self.scale[0]
-        for k, o in enumerate(OFFSETS[1:], 1):
-            total += self.embed.take(ids.take(at + o), axis=0) * self.scale[k]
-        out = np.ones((len(at), total.shape[1] + 1), np.float32)
-        np.tanh(total, out=out[:, :-1])
-        return out
+    def contexts(self, stretch: np.ndarray) -> tuple[np.ndarray, list[slice], np.ndarray]:
+        """Embeddings of a stretch of ids, a column each; where the neighbours of its inner positions are, for each offset; the
+        context vectors of those, a row each. The stretch is looked up once, and neighbours are that stretch, shifted."""
+        reach = max(OFFSETS)
+        n = len(stretch) - 2 * reach
+        seen, around = np.ascontiguousarray(self.embed.take(stretch, axis=0).T), [slice(reach + o, reach + o + n) for o in OFFSETS]
+        total = seen[:, around[0]] * self.scale[0][:, None]
+        for k, w in enumerate(around[1:], 1):
+            total += seen[:, w] * self.scale[k][:, None]
+        return seen, around, np.ascontiguousarray(np.tanh(total, out=total).T)
 
     def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log-probability of the word at each position, given its neighbours."""
-        out = np.empty(len(at), np.float64)
+        """Log-probability of the word at each position (ascending), given its neighbours. No number depends on what else is scored
+        with it."""
+        reach, out = max(OFFSETS), np.empty(len(at), np.float64)
         for i in range(0, len(at), _SCORED):
             part = at[i : i + _SCORED]
-            nodes, signs, place, begin = self.tree.way(ids[part])
-            logits = signs * np.einsum("ij,ij->i", self.hidden(ids, part).take(place, axis=0), self.out.take(nodes, axis=0))
-            out[i : i + _SCORED] = -np.add.reduceat(np.log1p(np.exp(np.clip(-logits, -80, 80))), begin)
+            order = self.tree.whole.order(ids.take(part))
+            h = _with_constant(self.contexts(ids[part[0] - reach : part[-1] + reach + 1])[2].take((part - part[0]).take(order), axis=0))
+            nodes, signs, levels = self.tree.whole.of(ids.take(part.take(order)))
+            logits, sums = np.empty(len(nodes), np.float32), np.zeros(len(part))
+            for n, where in levels:
+                np.einsum("ij,ij->i", h[:n], self.out.take(nodes[where], axis=0), out=logits[where])
+            losses = _losses(signs * logits)
+            for n, where in levels:
+                sums[:n] -= losses[where]
+            out[i + order] = sums
         return out
 
     def step(self, ids: np.ndarray, at: np.ndarray, memory: list[np.ndarray]) -> None:
-        """One Adagrad step on the positions `at`, which ascend. The stretch of text that holds them is looked up once, and its
-        neighbours are that stretch, shifted."""
-        reach = max(OFFSETS)
+        """One Adagrad step on the positions `at`, which ascend."""
+        tree, reach = self.tree, max(OFFSETS)
         stretch, at = ids[at[0] - reach : at[-1] + reach + 1], at - at[0]
-        words, n = stretch[reach:-reach][at], len(stretch) - 2 * reach
-        seen, around = self.embed.take(stretch, axis=0), [slice(reach + o, reach + o + n) for o in OFFSETS]
-        total = seen[around[0]] * self.scale[0]
-        for k, w in enumerate(around[1:], 1):
-            total += seen[w] * self.scale[k]
-        h = np.ones((len(at), total.shape[1] + 1), np.float32)
-        np.tanh(total.take(at, axis=0), out=h[:, :-1])
-        (nodes, signs, place, begin, some), (tops, top_signs, top_place) = self.tree.halves(words)
-        # decisions near the root: a matrix of positions and nodes
-        crown = self.out[self.tree.cut : self.tree.cut + TOP]
-        cell = top_place * len(crown) + tops
+        words = stretch[reach:-reach].take(at)
+        order = tree.below.order(words)
+        at, words = at.take(order), words.take(order)
+        seen, around, found = self.contexts(stretch)
+        own = found.take(at, axis=0)
+        h = _with_constant(own)
+        # decisions near the root: a matrix of positions and nodes, whose last column takes what fills shorter ways
+        top = self.out[tree.cut : tree.cut + TOP]
+        crown = np.zeros((TOP + 1, h.shape[1]), np.float32)
+        crown[: len(top)] = top
+        cell = (tree.tops.take(words, axis=0) + np.arange(0, len(at) * len(crown), len(crown))[:, None]).ravel()
         slopes = np.zeros(len(at) * len(crown), np.float32)
-        slopes[cell] = -top_signs / (1 + np.exp(np.clip(top_signs * (h @ crown.T).ravel()[cell], -80, 80)))
+        slopes[cell] = _slopes(tree.top_signs.take(words, axis=0).ravel(), (h @ crown.T).ravel().take(cell))
         slopes = slopes.reshape(len(at), len(crown))
-        back, crowned = slopes @ crown, (slice(self.tree.cut, self.tree.cut + len(crown)), slopes.T @ h, np.bincount(tops, minlength=len(crown)))
-        found = [crowned]
-        if len(some):
-            own, weights = h.take(some[place], axis=0), self.out.take(nodes, axis=0)
-            slope = -signs / (1 + np.exp(np.clip(signs * np.einsum("ij,ij->i", own, weights), -80, 80)))
-            weights *= slope[:, None]
-            back[some] += np.add.reduceat(weights, begin, axis=0)
-            own *= slope[:, None]
-            found.append(_summed(nodes, own))
-        moved, uses = np.zeros((n, total.shape[1]), np.float32), np.zeros(n, np.int64)
-        moved[at], uses[at] = back[:, :-1] * (1 - h[:, :-1] ** 2), 1
-        moves, times = np.zeros_like(seen), np.zeros(len(stretch), np.int64)
-        scaled = np.empty_like(self.scale)
+        back = slopes @ crown
+        self._move(2, slice(tree.cut, tree.cut + len(top)), (slopes.T @ h)[: len(top)], memory)
+        # those below
+        nodes, signs, levels = tree.below.of(words)
+        if levels:
+            weights, logits = self.out.take(nodes, axis=0), np.empty(len(nodes), np.float32)
+            for m, where in levels:
+                np.einsum("ij,ij->i", h[:m], weights[where], out=logits[where])
+            slope = _slopes(signs, logits)[:, None]
+            weights *= slope
+            for m, where in levels:
+                back[:m] += weights[where]
+                np.multiply(h[:m], slope[where], out=weights[where])
+            self._move(2, *_summed(nodes, weights), memory)
+        moved = np.zeros_like(found)
+        moved[at] = back[:, :-1] * (1 - own * own)
+        moved = np.ascontiguousarray(moved.T)
+        moves, scaled = np.zeros_like(seen), np.empty_like(self.scale)
         for k, w in enumerate(around):
-            moves[w] += moved * self.scale[k]
-            times[w] += uses
-            scaled[k] = np.einsum("ij,ij->j", moved, seen[w])
-        rows, g, _ = _summed(stretch, moves)
-        used = np.bincount(stretch, times, len(self.embed))[rows]
-        met = used > 0
-        every = [(0, rows[met], g[met], used[met]), (1, slice(None), scaled, len(at)), *[(2, *f) for f in found]]
-        for which, rows, g, n in every:
-            x, m = self.arrays()[which], memory[which]
-            grown = g * g
-            grown += m[rows] if isinstance(rows, slice) else m.take(rows, axis=0)
-            m[rows] = grown
-            np.sqrt(grown, out=grown)
-            x[rows] -= RATE * g / grown
-            self.used[which][rows] += n
+            moves[:, w] += moved * self.scale[k][:, None]
+            scaled[k] = np.einsum("ij,ij->i", moved, seen[:, w])
+        self._move(0, *_summed(stretch, np.ascontiguousarray(moves.T)), memory)
+        self._move(1, slice(None), scaled, memory)
+
+    def _move(self, which: int, rows: np.ndarray | slice, g: np.ndarray, memory: list[np.ndarray]) -> None:
+        """Rows (distinct) of one of the arrays against their gradient. One that is zero moves nothing."""
+        x, m = self.arrays()[which], memory[which]
+        if isinstance(rows, slice):
+            m[rows] += g * g
+            x[rows] -= RATE * g / np.sqrt(m[rows])
+            return
+        grown = g * g
+        grown += m.take(rows, axis=0)
+        _rows(m)[rows] = _rows(grown)
+        np.sqrt(grown, out=grown)
+        np.divide(g, grown, out=grown)
+        grown *= -RATE
+        grown += x.take(rows, axis=0)
+        _rows(x)[rows] = _rows(grown)
+
+    def count_uses(self, ids: np.ndarray, at: np.ndarray) -> None:
+        """Adds to `used` how often steps on the positions `at` use each row."""
+        for o in OFFSETS:
+            self.used[0] += np.bincount(ids.take(at + o), minlength=len(self.embed))
+        self.used[1] += len(at)
+        times = np.bincount(ids.take(at), minlength=len(self.tree.lengths))
+        nodes, _, place, _ = self.tree.way(np.flatnonzero(times))
+        self.used[2] += np.bincount(nodes, times[times > 0].take(place), len(self.out))
 
     def memory(self) -> list[np.ndarray]:
         return [np.full(x.shape, 0.1, np.float32) for x in self.arrays()]
@@ -330,6 +438,7 @@ def _train(vector: np.ndarray, tree: Tree):
                 for i in range(0, len(at), _BATCH):
                     net.step(ids, at[i : i + _BATCH], memory)
                 if len(at):
+                    net.count_uses(ids, at)
                     yield _weights(id_, [np.repeat(u, x.shape[1]) for u, x in zip(net.used, net.arrays(), strict=True)], net.vector())
 
     return rows

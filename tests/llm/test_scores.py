@@ -196,6 +196,100 @@ def test_a_step_equals_one_of_single_positions():
     assert all((u == sum(p.used[k] for p in parts)).all() for k, u in enumerate(whole.used))
 
 
+class Looked(np.ndarray):
+    """A table that counts the rows taken from it."""
+
+    rows = 0
+
+    def take(self, at, *args, **named):
+        Looked.rows += np.size(at)
+        return np.asarray(self).take(at, *args, **named)
+
+
+def test_scoring_looks_a_text_up_once(monkeypatch):
+    # not once for each neighbour of each position
+    tree, _ = small_tree()
+    net, n = drawn(tree), 3 * pl._SCORED
+    ids, at = np.random.default_rng(5).integers(1, pl.VOCABULARY, n + 4).astype(np.int32), np.arange(2, n + 2)
+    plain = net.log_probabilities(ids, at)
+    monkeypatch.setattr(Looked, "rows", 0)
+    net.embed = net.embed.view(Looked)
+    assert (net.log_probabilities(ids, at) == plain).all() and n <= Looked.rows <= n + 4 * 3
+
+
+def test_losses_are_exact_for_sure_words():
+    x = np.concatenate([np.linspace(-85, 85, 2001), [-1e4, 0, 1e4]]).astype(np.float32)
+    assert pl._losses(x) == pytest.approx(np.log1p(np.exp(np.clip(-x.astype(float), -200, 80))), rel=1e-5, abs=1e-37)
+
+
+def test_a_score_does_not_depend_on_its_place():
+    # bit for bit: the same text anywhere among others, in whole and partly filled blocks
+    tree, _ = small_tree(*[b"w%d" % i for i in range(50)])
+    net, draw = drawn(tree), np.random.default_rng(6)
+    text, found = draw.integers(1, pl.VOCABULARY, 37).astype(np.int32), set()
+    for before in (0, 1, 2, 3, 5, 8, 13, 4000, 4090, 9001):
+        others = draw.integers(1, pl.VOCABULARY, before + 11).astype(np.int32)
+        ids = np.concatenate([others[:before], text, others[before:]])
+        found.add(net.log_probabilities(*pl._lay(ids, np.array([before, 37, 11])))[before : before + 37].tobytes())
+    assert len(found) == 1
+
+
+def plain_step(net, ids, at, memory):
+    """An Adagrad step with a gathered row for each decision and each neighbour."""
+    around, h = [ids[at + o] for o in pl.OFFSETS], np.ones((len(at), pl.WIDTH + 1))
+    h[:, :-1] = np.tanh(sum(net.embed[w].astype(float) * s for w, s in zip(around, net.scale, strict=True)))
+    nodes, signs, place, _ = net.tree.way(ids[at])
+    slope = -signs / (1 + np.exp(signs * (h[place] * net.out[nodes]).sum(axis=1)))
+    back = np.zeros_like(h)
+    np.add.at(back, place, slope[:, None] * net.out[nodes])
+    moved, grads = back[:, :-1] * (1 - h[:, :-1] ** 2), [np.zeros(x.shape) for x in net.arrays()]
+    for k, w in enumerate(around):
+        np.add.at(grads[0], w, moved * net.scale[k])
+        grads[1][k] = (moved * net.embed[w]).sum(axis=0)
+    np.add.at(grads[2], nodes, slope[:, None] * h[place])
+    for x, m, g in zip(net.arrays(), memory, grads, strict=True):
+        m += g * g
+        x -= pl.RATE * g / np.sqrt(m)
+
+
+@pytest.mark.parametrize("kinds", [3, 200, pl.VOCABULARY - 1])
+@pytest.mark.parametrize("vocabulary", [0, 5, 3000])
+def test_steps_equal_plain_ones(kinds, vocabulary):
+    # words that occur in most positions, in some and once, at many depths of the tree; several steps, the last of one position
+    draw = np.random.default_rng(kinds + vocabulary)
+    weights = np.ones(pl.VOCABULARY, np.int64)
+    weights[1 : 1 + vocabulary] = 1_000_000 // np.arange(1, 1 + vocabulary)
+    tree = pl.Tree(weights)
+    ids = draw.integers(1, kinds + 1, 1205).astype(np.int32)
+    at = np.flatnonzero(draw.random(1201) < 0.9) + 2
+    nets, memories = [drawn(tree) for _ in range(2)], [pl.Network(tree).memory() for _ in range(2)]
+    for part in (at[:500], at[500:-1], at[-1:]):
+        nets[0].step(ids, part, memories[0])
+        plain_step(nets[1], ids, part, memories[1])
+    for a, b in zip(nets[0].arrays() + tuple(memories[0]), nets[1].arrays() + tuple(memories[1]), strict=True):
+        assert np.allclose(a, b, rtol=1e-3, atol=1e-4)
+
+
+@pytest.mark.parametrize("leaves", [2, 3, 100, 128, 129, 400])
+def test_trees_of_any_size_are_trained(leaves):
+    weights = np.zeros(pl.VOCABULARY, np.int64)
+    weights[1 : 1 + leaves] = np.arange(1, 1 + leaves)
+    tree = pl.Tree(weights)
+    ids, (fast, plain) = np.random.default_rng(leaves).integers(1, 1 + leaves, 300).astype(np.int32), (drawn(tree), drawn(tree))
+    fast.step(ids, np.arange(2, 298), fast.memory())
+    plain_step(plain, ids, np.arange(2, 298), plain.memory())
+    assert all(np.allclose(a, b, rtol=1e-3, atol=1e-4) for a, b in zip(fast.arrays(), plain.arrays(), strict=True))
+
+
+def test_uses_are_counted():
+    tree, words = small_tree(b"a", b"b", b"c")
+    (ids, at), net = laid(words, "a b c zz a a", "", "c"), pl.Network(tree)
+    net.count_uses(ids, at)
+    around, nodes = Counter(int(ids[t + o]) for t in at for o in pl.OFFSETS), Counter(tree.way(ids[at])[0].tolist())
+    assert {i: n for i, n in enumerate(net.used[0].tolist()) if n} == around and net.used[1].tolist() == [7.0] * 4
+    assert {i: n for i, n in enumerate(net.used[2].tolist()) if n} == nodes
+
+
 def test_trainers_take_all_words_once(spark, docs, words, monkeypatch):
     monkeypatch.setattr(pl, "TRAINER", 300)
     table = [(i, " ".join(words(50, i))) for i in range(50)] + [(None, "alike in all")] * 900
