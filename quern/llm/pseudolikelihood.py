@@ -168,16 +168,21 @@ class Words(dict):
         return self.ids.take(numbers), lengths, np.bincount(np.repeat(np.arange(len(lengths)), lengths), self.within.take(numbers), len(lengths)).astype(np.float64)
 
 
+def _short(most: int) -> type:
+    """Tables of small numbers stay in a processor's cache."""
+    return np.int16 if most < 1 << 15 else np.int32
+
+
 class Levels:
     """Ways of the tree, or their beginnings, level by level: of ids put in the order of their numbers of nodes, most first, those
     that have a node of some level are a beginning of them. So work on a level needs no look-up of an id's own row."""
 
     def __init__(self, tree: Tree, starts: np.ndarray, lengths: np.ndarray):
-        self.lengths, self.most, self.size = lengths.astype(np.int16), int(lengths.max()), len(lengths)
+        self.lengths, self.most = lengths.astype(np.int16), int(lengths.max())
         nodes, signs, place, begin = tree._parts(starts, lengths)
         level = np.arange(len(place)) - begin[place]
-        self.nodes, self.signs = np.zeros((self.most, self.size), np.int32), np.zeros((self.most, self.size), np.float32)
-        self.nodes[level, place], self.signs[level, place] = nodes, signs
+        self.signed = np.zeros((len(lengths), self.most), _short(len(nodes) and int(nodes.max()) + 1))
+        self.signed[place, level] = (nodes + 1) * signs
 
     def order(self, ids: np.ndarray) -> np.ndarray:
         return np.argsort(self.most - self.lengths.take(ids), kind="stable")
@@ -187,8 +192,10 @@ class Levels:
         many = len(ids) - np.cumsum(np.bincount(self.lengths.take(ids), minlength=self.most + 1))[: self.most]
         ends = np.cumsum(many).tolist()
         levels = [(n, slice(end - n, end)) for n, end in zip(many.tolist(), ends, strict=True) if n]
-        at = np.concatenate([ids[:n] + k * self.size for k, (n, _) in enumerate(levels)]) if levels else np.zeros(0, np.int64)
-        return self.nodes.ravel().take(at), self.signs.ravel().take(at), levels
+        first = ids.astype(np.int64) * self.most
+        at = np.concatenate([first[:n] + k for k, (n, _) in enumerate(levels)]) if levels else first[:0]
+        signed = self.signed.ravel().take(at)
+        return np.abs(signed) - 1, np.sign(signed).astype(np.float32), levels
 
 
 class Tree:
@@ -222,12 +229,10 @@ class Tree:
         deep = np.zeros(len(weights), np.int64)
         deep[used] = ((signs != 0) & (nodes < self.cut)).sum(axis=1)
         self.whole, self.below = Levels(self, self.starts, self.lengths), Levels(self, self.starts, deep)
-        # nodes from the cut on, numbered from it, as a table; a shorter way is filled up with number TOP, of sign 0
+        # nodes from the cut on, numbered from it and 1, times their signs, as a table; a shorter way is filled up with 0
         found, signs, place, begin = self._parts(self.starts + deep, self.lengths - deep)
-        column = np.arange(len(place)) - begin[place]
-        self.tops = np.full((len(weights), int((self.lengths - deep).max())), TOP, np.int32)
-        self.top_signs = np.zeros(self.tops.shape, np.float32)
-        self.tops[place, column], self.top_signs[place, column] = found - self.cut, signs
+        self.tops = np.zeros((len(weights), int((self.lengths - deep).max())), np.int16)
+        self.tops[place, np.arange(len(place)) - begin[place]] = (found - self.cut + 1) * signs
 
     def _parts(self, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         begin = np.cumsum(lengths) - lengths
@@ -358,16 +363,17 @@ class Network:
         seen, around, found = self.contexts(stretch)
         own = found.take(at, axis=0)
         h = _with_constant(own)
-        # decisions near the root: a matrix of positions and nodes, whose last column takes what fills shorter ways
+        # decisions near the root: a matrix of positions and nodes, whose first column takes what fills shorter ways
         top = self.out[tree.cut : tree.cut + TOP]
         crown = np.zeros((TOP + 1, h.shape[1]), np.float32)
-        crown[: len(top)] = top
-        cell = (tree.tops.take(words, axis=0) + np.arange(0, len(at) * len(crown), len(crown))[:, None]).ravel()
+        crown[1 : 1 + len(top)] = top
+        signed = tree.tops.take(words, axis=0)
+        cell = (np.abs(signed) + np.arange(0, len(at) * len(crown), len(crown))[:, None]).ravel()
         slopes = np.zeros(len(at) * len(crown), np.float32)
-        slopes[cell] = _slopes(tree.top_signs.take(words, axis=0).ravel(), (h @ crown.T).ravel().take(cell))
+        slopes[cell] = _slopes(np.sign(signed).astype(np.float32).ravel(), (h @ crown.T).ravel().take(cell))
         slopes = slopes.reshape(len(at), len(crown))
         back = slopes @ crown
-        self._move(2, slice(tree.cut, tree.cut + len(top)), (slopes.T @ h)[: len(top)], memory)
+        self._move(2, slice(tree.cut, tree.cut + len(top)), (slopes.T @ h)[1 : 1 + len(top)], memory)
         # those below
         nodes, signs, levels = tree.below.of(words)
         if levels:
